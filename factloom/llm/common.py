@@ -119,3 +119,76 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
     return edges[::2], edges[1::2]
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """Equal texts as one row: c1, c2 (two hashes of the text, together its key), first_id (smallest id_key) and text.
+
+    Copies meet map-side first, so a text that a third of all rows share costs one row per input split.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(id_key().alias("id"), text.alias("text")).select("id", "text", *class_key())
+    return rows.groupBy("c1", "c2").agg(F.min("id").alias("first_id"), F.first("text").alias("text"))
+
+
+def class_key(text: str = "text") -> tuple[Column, Column]:
+    plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.xxhash64(plain).alias("c1"), F.hash(plain, F.octet_length(plain)).alias("c2")
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return int(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that repartition(n, column) deals to n different partitions."""
+    if n == 1:
+        return [0]
+    rows = spark.range(0, 40 * n + 400, 1, 1).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
+    found = {r.p: r.k for r in rows.groupBy("p").agg(F.min("k").alias("k")).collect()}
+    return [found.get(p, p) for p in range(n)]
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed string; unpack_arrays() gives them back."""
+    import zstandard
+
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), a.nbytes))], "<i8")
+    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+
+
+def unpack_arrays(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8), 8 * (2 * n + 1), []
+    for code, size in head.reshape(-1, 2).tolist():
+        kind = np.dtype(chr(code))
+        out.append(np.frombuffer(raw, kind, size // kind.itemsize, at))
+        at += size
+    return out
+
+
+def group_starts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    if not len(sorted_keys):
+        return np.zeros(0, np.int64)
+    return np.concatenate(([0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every `width` consecutive values."""
+    have, out = 1, x
+    while 2 * have <= width:
+        out = np.minimum(out[:-have], out[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, count values each."""
+    total = int(counts.sum())
+    ends = np.cumsum(counts)
+    return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)

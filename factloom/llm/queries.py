@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, sharding
+from . import decontamination, packing, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, sf_dir, "documents"), window=13)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op9_sharding)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op7_substring_dedup, op9_sharding)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
