@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, sharding, substring_dedup
+from . import decontamination, packing, sharding, substring_dedup, suffix_array_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removed(table(spark, sf_dir, "documents"), window=13)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup.removed(table(spark, sf_dir, "documents"), match=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op7_substring_dedup, op9_sharding)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op7_substring_dedup, op9_sharding, op10_suffix_array_dedup)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
