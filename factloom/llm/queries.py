@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, sharding, substring_dedup, suffix_array_dedup
+from . import decontamination, fingerprints, language_id, ngram_join, packing, sharding, substring_dedup, suffix_array_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"), k=5, percent=75)
 
@@ -44,7 +52,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op5_ngram_jaccard_join, op7_substring_dedup, op9_sharding, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_ngram_jaccard_join, op7_substring_dedup, op9_sharding, op10_suffix_array_dedup)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
