@@ -262,6 +262,21 @@ def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = 4,
     return roots.select(F.col("node").alias("c"), "root")
 
 
+def _classes(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (doc_id, id, c), and per class of equal texts (c, n, root, own: its smallest id, low: that of the component)."""
+    sets = cut(shared_grams(docs, k, percent, fragment_bytes))
+    roots = linked_classes(sets, percent)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), _class().alias("c"))
+    known = sets.select("c", "n").join(roots, "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"))
+    known = rows.groupBy("c").agg(F.min("id").alias("own")).join(known, "c")
+    least = known.groupBy("root").agg(F.min("own").alias("low"))
+    return rows, known.join(least, "root").select("c", "n", "root", "own", "low")
+
+
+def _class() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_bytes: int = 16 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links, itself included.
 
@@ -270,23 +285,21 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_byt
     an id is reachable; rows with one doc_id and different texts are different documents; equal rows come out each; an
     empty table gives an empty result; other columns of docs are ignored.
     """
-    sets = cut(shared_grams(docs, k, percent, fragment_bytes))
-    roots = linked_classes(sets, percent)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("id"), F.xxhash64(text).alias("c"))
-    known = sets.select("c", "n").join(roots, "c", "left").select("c", "n", F.coalesce("root", "c").alias("root"))
-    least = rows.groupBy("c").agg(F.min("id").alias("low")).join(known, "c").groupBy("root").agg(F.min("low").alias("low"))
-    classes = known.join(least, "root").select("c", "n", "low")
+    rows, found = _classes(docs, k, percent, fragment_bytes)
     component = F.when(F.col("n") > 0, F.nullif(F.col("low"), F.lit(NO_ID))).otherwise(F.col("doc_id"))
-    return rows.join(classes, "c").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.join(found.select("c", "n", "low"), "c").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_bytes: int = 16 << 20) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id.  Columns are those of docs.
+    """docs with one row of each component, one of the smallest doc_id.  Columns are those of docs.
 
-    Of several rows with that doc_id one stays; documents that link with nothing stay, blank ones included.
+    Documents that link with nothing stay, each blank one included.  Where several texts of a component have the
+    smallest doc_id, that of the smallest text hash stays; of equal rows one.
     """
-    found = linked(docs, k, percent, fragment_bytes)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
-    rows = docs.withColumn("_id", id_key())
-    return rows.join(kept, "_id", "left_semi").drop("_id").select(*docs.columns)
+    rows, found = _classes(docs, k, percent, fragment_bytes)
+    first = found.where("own = low").groupBy("root").agg(F.min("c").alias("c")).select("c", F.lit(True).alias("first"))
+    chosen = found.join(first, "c", "left").where("n = 0 or first").select("c", "n", "own")
+    kept = rows.join(chosen, "c").where("n = 0 or id = own").select(F.col("id").alias("_id"), F.col("c").alias("_c"), (F.col("n") == 0).alias("_blank")).distinct()
+    joined = docs.withColumn("_id", id_key()).withColumn("_c", _class()).join(kept, ["_id", "_c"])
+    one = joined.withColumn("_row", F.when(F.col("_blank"), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    return one.dropDuplicates(["_id", "_c", "_row"]).select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, buffers, class_key, classes, even_keys, group_starts, mix, pack_arrays, ranges, slices, sliding_min, spans_of, text_bytes, unpack_arrays
+from .common import NO_ID, buffers, class_key, classes, even_keys, group_starts, id_key, mix, pack_arrays, ranges, slices, sliding_min, spans_of, text_bytes, unpack_arrays
 from .superkmers import HITS, SENT, Outbox, covered, hit_rows, passed_on, runs
 
 MATCH = 50
@@ -276,15 +276,8 @@ def hits(found: DataFrame, match: int, buckets: int) -> DataFrame:
     return sent.repartition(buckets, "bucket").mapInArrow(_find(match), HITS).groupBy("c1", "c2").agg(F.collect_list("spans").alias("spans"))
 
 
-def removed(docs: DataFrame, match: int = MATCH, bucket_bytes: int = 16 << 20, keep_text: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the text of the bytes left).
-
-    A byte of the UTF-8 text goes where a string of `match` bytes that covers it also starts in a document with a
-    smaller doc_id; strings are those of the input and never cross documents.  A null text is empty; a null doc_id
-    counts as one id above all others; rows with one doc_id are one document for the comparison; a shorter text keeps
-    all; an empty table gives an empty result; other columns are ignored.  `kept` leaves out a character of which only
-    some bytes stay.
-    """
+def _by_class(docs: DataFrame, match: int, bucket_bytes: int, keep_text: bool) -> DataFrame:
+    """Per class of equal texts: its key, first_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept) in its first document."""
     buckets = max(1, math.ceil(text_bytes(docs) / bucket_bytes))
     found = classes(docs)
     marked = found.join(hits(found, match, buckets), ["c1", "c2"], "left")
@@ -309,27 +302,46 @@ def removed(docs: DataFrame, match: int = MATCH, bucket_bytes: int = 16 << 20, k
             columns += [pa.array(sha)] + [pa.array(kept, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
-    by_class = marked.select("c1", "c2", "first_id", "text", "spans").mapInArrow(digest, schema)
+    return marked.select("c1", "c2", "first_id", "text", "spans").mapInArrow(digest, schema)
+
+
+def removed(docs: DataFrame, match: int = MATCH, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans and kept_sha256.
+
+    A byte of the UTF-8 text goes where a string of `match` bytes that covers it also starts in a document with a
+    smaller doc_id; strings are those of the input and never cross documents.  A null text is empty; a null doc_id
+    counts as one id above all others; rows with one doc_id are one document for the comparison; a shorter text keeps
+    all; an empty table gives an empty result; other columns are ignored.
+    """
+    by_class = _by_class(docs, match, bucket_bytes, False)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *class_key())
     copy = (F.coalesce("doc_id", F.lit(NO_ID)) > F.col("first_id")) & (F.col("n_bytes") >= match)  # wholly in the first of its class
-    out = [
-        F.col("doc_id"), F.col("n_bytes"), F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+    return rows.join(by_class, ["c1", "c2"]).select(
+        "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-    ] + [F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] * keep_text
-    return rows.join(by_class, ["c1", "c2"]).select(*out)
+    )
 
 
 def deduplicated(docs: DataFrame, match: int = MATCH, bucket_bytes: int = 16 << 20) -> DataFrame:
     """docs with repeated strings cut out of their texts; documents of which nothing but white space is left go.
 
-    Columns are those of docs.  n_chars, where there is one, follows the text.  Rows with one doc_id and one text are
-    one row; a document that was empty before stays.
+    Columns are those of docs.  n_chars, where there is one, follows the text.  A character of which only some bytes
+    stay is left out.  Documents that lose nothing stay as they are, null and blank ones included.
     """
-    left = removed(docs, match, bucket_bytes, keep_text=True).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "n_bytes", "kept").distinct()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    rows = rows.withColumn("n_bytes_", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    joined = rows.join(left.withColumnRenamed("n_bytes", "n_bytes_"), ["_id", "n_bytes_"], "left")
-    text = F.coalesce("kept", "text")
-    out = [text.alias("text") if f.name == "text" else F.length(text).cast(f.dataType).alias("n_chars") if f.name == "n_chars" and not isinstance(f.dataType, T.StringType) else F.col(f.name) for f in docs.schema]
-    return joined.where(F.col("kept").isNull() | (F.trim("kept") != "")).select(*out)
+    by_class = _by_class(docs, match, bucket_bytes, True).select("c1", "c2", *[F.col(c).alias(f"_{c}") for c in ("first_id", "n_bytes", "n_removed", "kept")])
+    others = [F.col(f.name) for f in docs.schema if f.name != "text"]
+    rows = docs.select(*others, id_key().alias("_id"), F.col("text").isNull().alias("_null"), *class_key())
+    copy = (F.col("_id") > F.col("_first_id")) & (F.col("_n_bytes") >= match)
+    text = F.when(F.col("_null"), F.lit(None).cast("string")).when(copy, F.lit("")).otherwise(F.col("_kept"))
+    joined = rows.join(by_class, ["c1", "c2"]).withColumn("_text", text).withColumn("_less", copy | (F.col("_n_removed") > 0))
+    joined = joined.where(~F.col("_less") | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != ""))
+    out = []
+    for f in docs.schema:
+        if f.name == "text":
+            out.append(F.col("_text").cast(f.dataType).alias("text"))
+        elif f.name == "n_chars" and isinstance(f.dataType, T.IntegralType):
+            out.append(F.when(F.col("_less"), F.length("_text").cast(f.dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+        else:
+            out.append(F.col(f.name))
+    return joined.select(*out)
