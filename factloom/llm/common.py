@@ -149,12 +149,23 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [found.get(p, p) for p in range(n)]
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
+def six_bytes(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits of unsigned integers, as bytes; eight_bytes() gives them back."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
+
+
+def eight_bytes(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // 6, 8), np.uint8)
+    out[:, :6] = x.reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def pack_arrays(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays in one compressed string; unpack_arrays() gives them back."""
     import zstandard
 
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), a.nbytes))], "<i8")
-    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), level)
 
 
 def unpack_arrays(data: bytes) -> list[np.ndarray]:

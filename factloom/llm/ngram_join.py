@@ -7,13 +7,13 @@ works fragment by fragment:
    fragment counts in how many texts each of its n-grams occurs and answers with those that two texts or more have.
 2. A text that shares fewer than 75 % of its n-grams with any other cannot link.  The others (survivors) keep their
    shared n-grams in global order: rare first, ties by hash.
-3. Linking texts share an n-gram of their prefixes (n - ceil(t n) + 1 first n-grams, unshared ones included), at
-   positions that leave room for the overlap needed.  Candidates come from these postings.
+3. Linking texts share an n-gram of their prefixes (n - ceil(t n) + 1 first n-grams, unshared ones included), and their
+   first one leaves room behind it for the overlap needed.  Candidates come from these postings.
 4. A candidate pair's overlap is counted in each fragment of the order separately and summed per pair.
 
 Only components are asked for, so texts that are linked already need no comparison: each round first compares every text
 of a posting list with one member of it (a star), merges what links, and only what is still apart in a list is compared
-pair by pair in the last round.  A thousand near copies cost a few thousand comparisons, and no link between different
+pair by pair in the last round, where bitmaps of all n-grams rule most pairs out.  A thousand near copies cost a few thousand comparisons, and no link between different
 components is missed.
 """
 
@@ -34,6 +34,7 @@ from .components import components
 WORDS = 5
 PERCENT = 75
 _R = np.uint64(0x9E3779B97F4A7C15)
+SIGNATURE = 1024  # bits of a text's n-gram bitmap in the last round
 _LOW_BITS = 48  # sent per n-gram; the fragment's number holds the bits above
 _word_hash = Cache(xxhash.xxh64_intdigest)
 _PACKED = "bucket int, payload binary"
@@ -71,16 +72,6 @@ def shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.bincount(doc[new], minlength=len(counts))
 
 
-def _six(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
-
-
-def _eight(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = x.reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     b, p = zip(*rows, strict=True) if rows else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["bucket", "payload"])
@@ -226,34 +217,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int) -
 
 
 def _fits(x: str, y: str, percent: int) -> Column:
-    """Can these two postings of one n-gram belong to a link?  By the sizes, and by the shared n-grams before and behind."""
+    """Can this be the first n-gram that two texts have in common, and they link?  By their sizes and the shared n-grams behind it."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    most = F.least(F.col(f"{x}.i"), F.col(f"{y}.i")) + 1 + F.least(F.col(f"{x}.behind"), F.col(f"{y}.behind"))
+    most = 1 + F.least(F.col(f"{x}.behind"), F.col(f"{y}.behind"))
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & (most >= _needed(nx, ny, percent))
 
 
+def _signatures(sets: DataFrame) -> DataFrame:
+    """(c, shared, s0, s1, ...): the shared n-grams of a text as a bitmap of SIGNATURE bits, in longs."""
+    words = SIGNATURE // 64
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("grams")
+            counts = np.diff(grams.offsets.to_numpy())
+            value = grams.flatten().to_numpy().astype(np.uint64) >> np.uint64(8)
+            out = np.zeros((batch.num_rows, words), np.uint64)
+            np.bitwise_or.at(out, (np.repeat(np.arange(len(counts)), counts), ((value >> np.uint64(6)) % np.uint64(words)).astype(np.int64)), np.uint64(1) << (value & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(counts.astype(np.int64)), *(pa.array(w.astype(np.int64)) for w in out.T)], ["c", "shared", *(f"s{i}" for i in range(words))])
+
+    return sets.select("c", "grams").mapInArrow(sign, "c long, shared long, " + ", ".join(f"s{i} long" for i in range(words)))
+
+
+def _may_overlap(x: str, y: str, percent: int) -> Column:
+    """Bits that differ are n-grams that differ: overlap <= (shared x + shared y - differing bits) / 2."""
+    differ = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SIGNATURE // 64)), F.lit(0))
+    return F.col(f"{x}.shared") + F.col(f"{y}.shared") - differ >= 2 * _needed(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
+
+
 def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = 4, star_rounds: int = 2) -> DataFrame:
     """(c, root) for the texts of `sets` that link with others; root is the smallest c of the component."""
     may = sets.where(F.size("grams") > 0)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - (F.col("n") - F.size("grams"))
     posting = may.select("c", "n", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("i", "gram"))
-    posting = cut(posting.select("gram", "c", "n", "i", (F.col("shared") - F.col("i") - 1).alias("behind"), F.col("c").alias("label")))
+    posting = cut(posting.select("gram", "c", "n", (F.col("shared") - F.col("i") - 1).alias("behind"), F.col("c").alias("label")))
     roots = None
     for round_ in range(star_rounds + 1):
         current = posting
         if roots is not None:
             moved = roots.select(F.col("node").alias("c"), F.col("root").alias("new"))
-            current = posting.drop("label").join(moved, "c", "left").select("gram", "c", "n", "i", "behind", F.coalesce("new", "c").alias("label"))
-        open_ = current.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("c", "n", "i", "behind", "label"), F.xxhash64(F.lit(round_), "c") if round_ == 0 else F.xxhash64(F.lit(round_), "c", "gram")).alias("hub"))
+            current = posting.drop("label").join(moved, "c", "left").select("gram", "c", "n", "behind", F.coalesce("new", "c").alias("label"))
+        order = F.xxhash64(F.lit(round_), "c") if round_ == 0 else F.xxhash64(F.lit(round_), "c", "gram")
+        open_ = current.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("c", "n", "behind", "label"), order).alias("hub"))
         open_ = open_.where("lo < hi").select("gram", "hub")
         if round_ < star_rounds:
             x, y = current.alias("x"), open_.select("gram", "hub.*").alias("y")
-        else:
+        else:  # what is still apart: pair by pair, past a bitmap of all n-grams
             current = cut(current.join(open_.select("gram"), "gram"))
+            signed = cut(_signatures(may.join(current.select("c").distinct(), "c", "left_semi")))
+            current = current.join(signed, "c")
             x, y = current.alias("x"), current.alias("y")
         apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & _fits("x", "y", percent)
         if round_ == star_rounds:
-            apart &= F.col("x.c") < F.col("y.c")
+            apart &= (F.col("x.c") < F.col("y.c")) & _may_overlap("x", "y", percent)
         pairs = x.join(y, apart).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
         links = cut(_verified(pairs, may, percent, fragments).select(F.col("a").alias("u"), F.col("b").alias("v")))
         if roots is not None:

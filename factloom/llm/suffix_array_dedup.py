@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, buffers, class_key, classes, even_keys, group_starts, id_key, mix, pack_arrays, ranges, slices, sliding_min, spans_of, text_bytes, unpack_arrays
+from .common import NO_ID, buffers, class_key, classes, eight_bytes, even_keys, group_starts, id_key, mix, pack_arrays, ranges, six_bytes, slices, sliding_min, spans_of, text_bytes, unpack_arrays
 from .superkmers import HITS, SENT, Outbox, covered, hit_rows, passed_on, runs
 
 MATCH = 50
 _GRAM = 20
 _END = 255  # a byte that UTF-8 never has
 _SLICE = 2 << 20
-_BATCH = 6 << 20  # bytes of distinct super-k-mers whose BWT is built at once
+_BATCH = 1 << 18  # bytes of distinct super-k-mers whose BWT is built at once
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -59,7 +59,7 @@ def minimisers(data: np.ndarray, lengths: np.ndarray, match: int, gram: int) ->
     """The minimiser of the string at every byte, and whether that string lies within one text."""
     if len(data) < match:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    low = sliding_min(gram_hashes(data, gram), match - gram + 1)
+    low = sliding_min(gram_hashes(data, gram) >> np.uint64(16), match - gram + 1)  # 48 bits: six bytes each on the way
     valid = np.zeros(len(low), bool)
     valid[ranges(np.cumsum(lengths) - lengths, np.maximum(lengths - match + 1, 0))] = True
     return low, valid
@@ -76,7 +76,7 @@ def _anchors(match: int, gram: int, keys: list[int]):
         n = np.uint64(len(keys))
         for batch in slices(batches, most_bytes=_SLICE):
             data, offsets = buffers(batch.column("text"))
-            c1 = batch.column("c1").to_numpy(zero_copy_only=False)
+            c1, c2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("c1", "c2"))
             low, valid = minimisers(data, np.diff(offsets), match, gram)
             first, _ = runs(low, valid, 1 << 40)
             value, doc = low[first], (np.searchsorted(offsets, first, "right") - 1).astype(np.int32)
@@ -93,18 +93,18 @@ def _anchors(match: int, gram: int, keys: list[int]):
             own = np.argsort(doc[known], kind="stable")
             answered, whose = value[known][own], doc[known][own]
             for part in np.split(np.arange(len(own)), group_starts(whose)[1:]) if len(own) else ():
-                c = int(c1[whose[part[0]]])
-                rows.append((keys[c % len(keys)], None, c, answered[part].tobytes()))
+                c = whose[part[0]]
+                rows.append((keys[int(c1[c]) % len(keys)], None, int(c1[c]), int(c2[c]), answered[part].tobytes()))
             bucket = (value[starts] % n).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, group_starts(bucket[order])[1:]) if len(order) else ():
                 at = starts[part]
                 used, local = np.unique(doc[at], return_inverse=True)
-                packed = pack_arrays(c1[used], local.astype(np.uint16 if len(used) < 65536 else np.int32), value[at], shared[part])
-                rows.append((keys[int(bucket[part[0]])], packed, None, None))
+                packed = pack_arrays(c1[used], c2[used], local.astype(np.uint16 if len(used) < 65536 else np.int32), six_bytes(value[at]), shared[part])
+                rows.append((keys[int(bucket[part[0]])], packed, None, None, None))
             if rows:
-                b, p, c, v = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary()), pa.array(c, pa.int64()), pa.array(v, pa.binary())], ["bucket", "payload", "c1", "shared"])
+                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "payload", "c1", "c2", "shared"])
 
     return anchors
 
@@ -115,30 +115,31 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = batch.filter(batch.column("payload").is_null())
         if kept.num_rows:
-            yield kept.select(["c1", "shared"])
+            yield kept.select(["c1", "c2", "shared"])
         for payload in batch.column("payload").to_pylist():
             if payload is not None:
-                c1, local, value, shared = unpack_arrays(payload)
-                parts.append((local.astype(np.int32) + base, value, shared))
-                tables.append(c1)
+                c1, c2, local, value, shared = unpack_arrays(payload)
+                parts.append((local.astype(np.int32) + base, eight_bytes(value), shared))
+                tables.append((c1, c2))
                 base += len(c1)
     if not parts:
         return
     doc, value, shared = (np.concatenate(x) for x in zip(*parts, strict=True))
-    owner = np.concatenate(tables)[doc]
+    c1, c2 = (np.concatenate(x) for x in zip(*tables, strict=True))
     order = np.argsort(value, kind="stable")
-    value, owner, shared = value[order], owner[order], shared[order]
+    value, doc, shared = value[order], doc[order], shared[order]
+    owner = c1[doc]
     starts = group_starts(value)
     size = np.diff(np.append(starts, len(value)))
     many = np.logical_or.reduceat(shared, starts) | (np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts))
     keep = np.repeat(many, size)
-    value, owner = value[keep], owner[keep]
+    value, doc, owner = value[keep], doc[keep], owner[keep]
     order = np.argsort(owner, kind="stable")
-    value, owner = value[order], owner[order]
+    value, doc, owner = value[order], doc[order], owner[order]
     starts = group_starts(owner)
     if len(starts):
         packed = [p.tobytes() for p in np.split(value, starts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[starts], pa.int64()), pa.array(packed, pa.binary())], ["c1", "shared"])
+        yield pa.RecordBatch.from_arrays([pa.array(owner[starts], pa.int64()), pa.array(c2[doc[starts]], pa.int32()), pa.array(packed, pa.binary())], ["c1", "c2", "shared"])
 
 
 def _cut(match: int, gram: int, keys: list[int]):
@@ -178,24 +179,30 @@ def equal_windows(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np
     that agree in `depth` symbols.
     """
     ends = np.cumsum(lengths + 1).astype(np.int32)
-    n, rounds = len(lengths), int(lengths.max())
-    start = np.arange(n)
-    left = ends - 1  # of each suffix in order: the place of the symbol before it, to be inserted next
-    group = np.zeros(n, np.int32)
+    n, rounds, shortest = len(lengths), int(lengths.max()), int(lengths.min())
+    last = ends - 1
+    left = last  # of each suffix in order: the place of the symbol before it, to be inserted next
+    group = None  # of each suffix in order: its class; None while all are alike
     for j in range(1, rounds + 1):
         symbol = text[left]
-        going = np.flatnonzero(symbol != _END)
-        symbol = symbol[going]
-        order = np.argsort(symbol, kind="stable")  # the LF mapping
-        moved = going[order]
-        left = np.concatenate((ends - 1, left[moved] - 1))
+        order = np.argsort(symbol, kind="stable")  # the LF mapping; _END sorts last
+        symbol = symbol[order]
+        if j > shortest:  # some strings are complete
+            going = int(np.searchsorted(symbol, _END))
+            order, symbol = order[:going], symbol[:going]
         if rounds - j < depth:  # from here on classes are wanted; a terminator is like no other
-            symbol, was = symbol[order], group[moved]
-            new = np.ones(len(moved), bool)
-            new[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
-            group = np.concatenate((start, n - 1 + np.cumsum(new))).astype(np.int32)
-        else:
-            group = np.zeros(len(left), np.int32)
+            new = np.empty(n + len(order), bool)
+            new[: n + 1] = True
+            tail = new[n + 1 :]
+            np.not_equal(symbol[1:], symbol[:-1], out=tail)
+            if group is not None:
+                was = group[order]
+                tail |= was[1:] != was[:-1]
+            group = np.cumsum(new, dtype=np.int32)
+        longer = np.empty(n + len(order), np.int32)
+        longer[:n] = last
+        np.subtract(left[order], 1, out=longer[n:])
+        left = longer
     at, group = left[n:] + 1, group[n:]  # without the terminators
     long = ends[np.searchsorted(ends, at, "right")] - at >= depth
     return at[long], group[long]
@@ -270,9 +277,9 @@ def _string_minimisers(strings: list[bytes], lengths: np.ndarray, match: int) ->
 def hits(found: DataFrame, match: int, buckets: int) -> DataFrame:
     """Per class (c1, c2) of `found` the packed hit strings of all its buckets, as (first byte, count)."""
     keys, gram = even_keys(found.sparkSession, buckets), min(_GRAM, match)
-    texts = found.select("c1", "text").mapInArrow(_anchors(match, gram, keys), "bucket int, payload binary, c1 long, shared binary")
-    shared = texts.repartition(buckets, "bucket").mapInArrow(_shared, "c1 long, shared binary").groupBy("c1").agg(F.collect_list("shared").alias("shared"))
-    sent = found.join(shared, "c1").mapInArrow(_cut(match, gram, keys), SENT)
+    texts = found.select("c1", "c2", "text").mapInArrow(_anchors(match, gram, keys), "bucket int, payload binary, c1 long, c2 int, shared binary")
+    shared = texts.repartition(buckets, "bucket").mapInArrow(_shared, "c1 long, c2 int, shared binary").groupBy("c1", "c2").agg(F.collect_list("shared").alias("shared"))
+    sent = found.join(shared, ["c1", "c2"]).mapInArrow(_cut(match, gram, keys), SENT)
     return sent.repartition(buckets, "bucket").mapInArrow(_find(match), HITS).groupBy("c1", "c2").agg(F.collect_list("spans").alias("spans"))
 
 

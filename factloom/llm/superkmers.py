@@ -61,7 +61,7 @@ class Outbox:
             doc, start, windows, strings = zip(*found, strict=True)
             used, local = np.unique(np.array(doc), return_inverse=True)
             blob = np.frombuffer(separator.join(strings), np.uint8)
-            payloads.append(pack_arrays(c1[used], c2[used], ids[used], local.astype(np.int32), np.array(start, np.int32), np.array(windows, np.int32), blob))
+            payloads.append(pack_arrays(c1[used], c2[used], ids[used], local.astype(np.int32), np.array(start, np.int32), np.array(windows, np.int32), blob, level=3))
             buckets.append(self.keys[bucket]), k1.append(None), k2.append(None), spans.append(None)
         for doc, found in self.hits.items():
             buckets.append(self.keys[int(c1[doc]) % self.n]), payloads.append(None), k1.append(int(c1[doc])), k2.append(int(c2[doc]))
