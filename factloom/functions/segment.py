@@ -133,6 +133,11 @@ def salvage_array(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def salvaged(texts: pd.Series) -> pd.Series:
-    return texts.map(salvage_array)
+def salvaged(text: Column) -> Column:
+    """T43 on a column."""
+
+    @F.pandas_udf("string")
+    def salvage(texts: pd.Series) -> pd.Series:
+        return texts.map(salvage_array)
+
+    return salvage(text)

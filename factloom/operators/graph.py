@@ -81,13 +81,14 @@ def poisson_tail(w: int, mean: float) -> float:
         i += 1
 
 
-@F.pandas_udf("double")
-def _tail(w: pd.Series, mean: pd.Series) -> pd.Series:
-    return pd.Series([poisson_tail(int(a), float(b)) for a, b in zip(w, mean, strict=True)])
+def significance(model: DataFrame) -> DataFrame:
+    """P of each edge under the null model."""
 
+    @F.pandas_udf("double")
+    def tail(w: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series([poisson_tail(int(a), float(b)) for a, b in zip(w, mean, strict=True)])
 
-def significance(model: DataFrame) -> DataFrame:
-    return model.withColumn("p", _tail("weight", "expected"))
+    return model.withColumn("p", tail("weight", "expected"))
 
 
 def benjamini_hochberg(edges: DataFrame) -> DataFrame:

@@ -93,8 +93,11 @@ def matches(lex: Column, tree: Tree | None, stem: bool = False) -> Column:
         return ~matches(lex, arg, stem)
     if kind == "phrase":
         first = arg[0]
-        hit = lambda x: _all(F.exists(lex, lambda y, w=w, d=i - first[0]: (y["lexeme"] == word(w)) & (y["pos"] == x["pos"] + d)) for i, w in arg[1:])
-        return F.exists(lex, lambda x: (x["lexeme"] == word(first[1])) & hit(x))
+
+        def follows(x: Column, w: str, gap: int) -> Column:
+            return F.exists(lex, lambda y: (y["lexeme"] == word(w)) & (y["pos"] == x["pos"] + gap))
+
+        return F.exists(lex, lambda x: (x["lexeme"] == word(first[1])) & _all(follows(x, w, i - first[0]) for i, w in arg[1:]))
     parts = [matches(lex, t, stem) for t in arg]
     out = parts[0]
     for p in parts[1:]:
