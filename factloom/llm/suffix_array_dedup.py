@@ -275,9 +275,12 @@ def _string_minimisers(strings: list[bytes], lengths: np.ndarray, match: int) ->
 
 
 def hits(found: DataFrame, match: int, buckets: int) -> DataFrame:
-    """Per class (c1, c2) of `found` the packed hit strings of all its buckets, as (first byte, count)."""
+    """Per class (c1, c2) of `found` the packed hit strings of all its buckets, as (first byte, count).
+
+    All three readers of `found` take all its columns, so its texts are shuffled once.
+    """
     keys, gram = even_keys(found.sparkSession, buckets), min(_GRAM, match)
-    texts = found.select("c1", "c2", "text").mapInArrow(_anchors(match, gram, keys), "bucket int, payload binary, c1 long, c2 int, shared binary")
+    texts = found.select("c1", "c2", "first_id", "text").mapInArrow(_anchors(match, gram, keys), "bucket int, payload binary, c1 long, c2 int, shared binary")
     shared = texts.repartition(buckets, "bucket").mapInArrow(_shared, "c1 long, c2 int, shared binary").groupBy("c1", "c2").agg(F.collect_list("shared").alias("shared"))
     sent = found.join(shared, ["c1", "c2"]).mapInArrow(_cut(match, gram, keys), SENT)
     return sent.repartition(buckets, "bucket").mapInArrow(_find(match), HITS).groupBy("c1", "c2").agg(F.collect_list("spans").alias("spans"))
