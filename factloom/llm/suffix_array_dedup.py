@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import NO_ID, buffers, class_key, classes, eight_bytes, even_keys, group_starts, id_key, mix, pack_arrays, ranges, six_bytes, slices, sliding_min, spans_of, text_bytes, unpack_arrays
-from .superkmers import HITS, SENT, Outbox, covered, hit_rows, passed_on, runs
+from .superkmers import HITS, PACKED, SENT, Outbox, covered, gathered, hit_rows, packed_hits, passed_on, runs
 
 MATCH = 50
 _GRAM = 20
@@ -208,7 +208,10 @@ def equal_windows(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np
     return at[long], group[long]
 
 
-def _find(match: int):
+def _find(match: int, keys: list[int]):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed_hits(find(batches), keys)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, docs, base = [], [], 0
         distinct: dict[bytes, int] = {}
@@ -265,7 +268,7 @@ def _find(match: int):
             hit = least[offsets[which[some]][group] + step] < owner[some][group]
             yield hit_rows(hit, group, start[some][group] + step, c1, c2, doc[some])
 
-    return find
+    return send
 
 
 def _string_minimisers(strings: list[bytes], lengths: np.ndarray, match: int) -> np.ndarray:
@@ -283,7 +286,8 @@ def hits(found: DataFrame, match: int, buckets: int) -> DataFrame:
     texts = found.select("c1", "c2", "first_id", "text").mapInArrow(_anchors(match, gram, keys), "bucket int, payload binary, c1 long, c2 int, shared binary")
     shared = texts.repartition(buckets, "bucket").mapInArrow(_shared, "c1 long, c2 int, shared binary").groupBy("c1", "c2").agg(F.collect_list("shared").alias("shared"))
     sent = found.join(shared, ["c1", "c2"]).mapInArrow(_cut(match, gram, keys), SENT)
-    return sent.repartition(buckets, "bucket").mapInArrow(_find(match), HITS).groupBy("c1", "c2").agg(F.collect_list("spans").alias("spans"))
+    found = sent.repartition(buckets, "bucket").mapInArrow(_find(match, keys), PACKED)
+    return found.repartition(buckets, "bucket").mapInArrow(gathered, HITS).select("c1", "c2", F.array("spans").alias("spans"))
 
 
 def _by_class(docs: DataFrame, match: int, bucket_bytes: int, keep_text: bool) -> DataFrame:

@@ -7,16 +7,18 @@ cutting runs, dropping local copies before the shuffle, packing, and turning hit
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from .common import group_starts, pack_arrays
+from .common import group_starts, pack_arrays, unpack_arrays
 
 #: bucket: where a row goes; payload: packed super-k-mers; or the hits of the class (c1, c2), as pairs (start, windows).
 SENT = "bucket int, payload binary, c1 long, c2 int, spans binary"
 HITS = "c1 long, c2 int, spans binary"
+#: Hits of many classes together, on the way to the bucket of their classes.
+PACKED = "bucket int, payload binary"
 
 
 def runs(minimiser: np.ndarray, valid: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,3 +109,48 @@ def covered(n: int, spans: Iterable[bytes] | None, window: int) -> np.ndarray:
         np.add.at(edge, pairs[:, 0], 1)
         np.add.at(edge, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def packed_hits(found: Iterator[pa.RecordBatch], keys: list[int], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of HITS packed by the bucket of their class, in bounded memory: a few rows a task, however many classes it met."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        c1, c2, spans = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("c1", "c2", "spans"))
+        held.clear()
+        bucket = c1 % len(keys)
+        order = np.argsort(bucket, kind="stable")
+        rows = []
+        for part in np.split(order, group_starts(bucket[order])[1:]):
+            own = [spans[i] for i in part.tolist()]
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            rows.append((keys[int(bucket[part[0]])], pack_arrays(c1[part], c2[part], lengths, np.frombuffer(b"".join(own), np.int32))))
+        b, p = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["bucket", "payload"])
+
+    size = 0
+    for batch in found:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > most_bytes:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed hits of a bucket of classes as one row of HITS per class."""
+    by_class: dict[tuple[int, int], list[bytes]] = defaultdict(list)
+    for batch in batches:
+        for payload in batch.column("payload").to_pylist():
+            c1, c2, lengths, blob = unpack_arrays(payload)
+            raw, at = blob.tobytes(), 0
+            for a, b, k in zip(c1.tolist(), c2.tolist(), lengths.tolist(), strict=True):
+                by_class[a, b].append(raw[at : at + k])
+                at += k
+    known = list(by_class)
+    for i in range(0, len(known), 4000):
+        part = known[i : i + 4000]
+        yield _hits([a for a, _ in part], [b for _, b in part], [b"".join(by_class[k]) for k in part])
