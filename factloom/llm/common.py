@@ -110,6 +110,8 @@ class Cache(dict):
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on unsigned 64-bit integers."""
     x = np.asarray(x, np.uint64)
+    if not x.ndim:  # numpy warns of overflow in scalars alone
+        return mix(x[None])[0]
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

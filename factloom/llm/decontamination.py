@@ -14,7 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, slices, spans_of
@@ -144,12 +144,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 def _joined(spans: str):
     """Overlapping and touching spans merged (touching only for word spans; byte spans of touching words stay apart)."""
     kind = "array<struct<first:int,last:int>>"
-    return F.aggregate(
-        F.array_sort(spans), F.array().cast(kind),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= s["first"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], s["last"]).alias("last")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
+
+    def merge(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wider = F.array(F.named_struct(F.lit("first"), last["first"], F.lit("last"), F.greatest(last["last"], s["last"]))).cast(kind)
+        joins = (F.size(acc) > 0) & (last["last"] >= s["first"])
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), wider)).otherwise(F.concat(acc, F.array(s).cast(kind))).cast(kind)
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), merge)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:

@@ -60,10 +60,10 @@ def shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = []
         for i in short.tolist():
-            x = np.uint64(counts[i])  # a length tag: a short text is no shingle of a long one
+            x = np.array([counts[i]], np.uint64)  # a length tag: a short text is no shingle of a long one
             for w in h[starts[i] : starts[i] + counts[i]]:
                 x = mix(x * _R + w)
-            whole.append(x)
+            whole.append(x[0])
         doc, value = np.concatenate((doc, short)), np.concatenate((value, np.array(whole, np.uint64)))
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]

@@ -115,7 +115,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = batch.filter(batch.column("payload").is_null())
         if kept.num_rows:
-            yield kept.select(["c1", "c2", "shared"])
+            yield _by_class_rows(kept.column("c1"), kept.column("c2"), kept.column("shared"))
         for payload in batch.column("payload").to_pylist():
             if payload is not None:
                 c1, c2, local, value, shared = unpack_arrays(payload)
@@ -139,7 +139,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = group_starts(owner)
     if len(starts):
         packed = [p.tobytes() for p in np.split(value, starts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[starts], pa.int64()), pa.array(c2[doc[starts]], pa.int32()), pa.array(packed, pa.binary())], ["c1", "c2", "shared"])
+        yield _by_class_rows(pa.array(owner[starts], pa.int64()), pa.array(c2[doc[starts]], pa.int32()), pa.array(packed, pa.binary()))
+
+
+def _by_class_rows(c1: pa.Array, c2: pa.Array, spans: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c1, c2, spans], ["c1", "c2", "spans"])
 
 
 def _cut(match: int, gram: int, keys: list[int]):
@@ -284,7 +288,8 @@ def hits(found: DataFrame, match: int, buckets: int) -> DataFrame:
     """
     keys, gram = even_keys(found.sparkSession, buckets), min(_GRAM, match)
     texts = found.select("c1", "c2", "first_id", "text").mapInArrow(_anchors(match, gram, keys), "bucket int, payload binary, c1 long, c2 int, shared binary")
-    shared = texts.repartition(buckets, "bucket").mapInArrow(_shared, "c1 long, c2 int, shared binary").groupBy("c1", "c2").agg(F.collect_list("shared").alias("shared"))
+    counted = texts.repartition(buckets, "bucket").mapInArrow(lambda batches: packed_hits(_shared(batches), keys), PACKED)
+    shared = counted.repartition(buckets, "bucket").mapInArrow(gathered, HITS).select("c1", "c2", F.array("spans").alias("shared"))
     sent = found.join(shared, ["c1", "c2"]).mapInArrow(_cut(match, gram, keys), SENT)
     found = sent.repartition(buckets, "bucket").mapInArrow(_find(match, keys), PACKED)
     return found.repartition(buckets, "bucket").mapInArrow(gathered, HITS).select("c1", "c2", F.array("spans").alias("spans"))
