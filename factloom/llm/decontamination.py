@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from .common import mix, slices, spans_of
+from .common import cut as stored
+from .common import mix, release, slices, spans_of
 
 WINDOW = 10
 #: A-Z to a-z; digits, a-z and bytes above 127 as they are; all else separates words.
@@ -106,16 +108,22 @@ def _scan(windows: Windows):
     return scan
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Windows]:
-    """The items in blocks of at most block_bytes of text (or one item), each small enough to send to all executors."""
+def _dealt(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items with their block, and the number of blocks: each of at most block_bytes of text (or one item), small enough to send to all executors."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string"))
     total = items.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes))
-    if n == 1:
-        return [Windows([(r.item_id, r.text) for r in items.collect()], window)]
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [Windows([(r.item_id, r.text) for r in dealt.where(F.col("block") == b).collect()], window) for b in range(n)]
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) if n > 1 else F.lit(0)), n
+
+
+def _windows(dealt: DataFrame, block: int, window: int) -> Windows:
+    return Windows([(r.item_id, r.text) for r in dealt.where(F.col("block") == block).collect()], window)
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Windows]:
+    dealt, n = _dealt(benchmark, block_bytes)
+    return [_windows(dealt, b, window) for b in range(n)]
 
 
 def _mask_size(spans: str):
@@ -171,46 +179,62 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_shar
     """docs without the benchmark: hit spans are cut out of the text, and a document hit in drop_share of its words or more goes.
 
     Columns are those of docs.  n_chars, where there is one, follows the new text.  Documents without a hit pass unchanged.
+    With several blocks the spans of all are found on the unchanged text first; the result is that of one block.
     """
-    blocks = _blocks(benchmark, window, block_bytes)
-    for windows in blocks:
-        docs = _cleaned(docs, windows, drop_share)
-    if "n_chars" in docs.columns and len(blocks):
-        docs = docs.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.drop("_cut")
-
-
-def _cleaned(docs: DataFrame, windows: Windows, drop_share: float) -> DataFrame:
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
-    if "_cut" not in docs.columns:
-        docs = docs.withColumn("_cut", F.lit(False))
-    schema = StructType([StructField(f.name, f.dataType, True) if f.name != "_cut" else StructField("_cut", BooleanType()) for f in docs.schema])
+    dealt, n = _dealt(benchmark, block_bytes)
+    columns, kind = docs.columns, docs.schema
+    for block in range(n):
+        before, docs = docs, _cleaned(docs, _windows(dealt, block, window), drop_share, block == n - 1)
+        if block < n - 1:  # written, so that an executor holds the windows of one block at a time
+            docs = stored(docs)
+            if block:
+                release(before)
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(kind["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return docs.select(*columns)
+
+
+def _cleaned(docs: DataFrame, windows: Windows, drop_share: float, last: bool) -> DataFrame:
+    """One pass over unchanged texts: adds the hit word spans of a block to `_hits`, or, as the last one, cuts what all passes hit and sets `_cut`."""
+    names = [n for n in docs.columns if n != "_hits"]
+    added = StructField("_cut", BooleanType()) if last else StructField("_hits", ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])))
+    schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema if f.name != "_hits"] + [added])
     scan = _scan(windows)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             zero = pa.array(np.zeros(batch.num_rows, np.int64))
             found = next(scan(iter([pa.RecordBatch.from_arrays([zero, batch.column("text").cast(pa.string()), zero], ["doc_id", "text", "row"])])))
+            spans, counts = (found.column(c).to_pylist() for c in ("spans", "n_words"))
+            if "_hits" in batch.schema.names:
+                spans = [a + b for a, b in zip(batch.column("_hits").to_pylist(), spans, strict=True)]
+            kept = [batch.column(n) for n in names]
+            if not last:
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, found.column("spans").type)], [*names, "_hits"])
+                continue
             texts, keep, was_cut = [], [], []
-            spans, places, counts = (found.column(c).to_pylist() for c in ("spans", "bytes", "n_words"))
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                hit = sum(s["last"] - s["first"] for s in spans[i])
-                keep.append(not hit or hit < drop_share * counts[i])
-                if hit:
-                    raw, at, parts = text.encode("utf-8", "surrogatepass"), 0, []
-                    for s in places[i]:
-                        parts.append(raw[at : s["first"]])
-                        at = s["last"]
-                    text = b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
-                texts.append(text)
-                was_cut.append(bool(hit))
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
-            had = batch.column("_cut").to_pylist()
-            columns[batch.schema.names.index("_cut")] = pa.array([a or b for a, b in zip(had, was_cut, strict=True)])
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep))
-
-    return docs.mapInArrow(cut, schema)
+            for text, hits, n in zip(batch.column("text").to_pylist(), spans, counts, strict=True):
+                mask = np.zeros(n, bool)
+                for s in hits:
+                    mask[s["first"] : s["last"]] = True
+                keep.append(not hits or int(mask.sum()) < drop_share * n)
+                texts.append(_without(text, mask) if hits else text)
+                was_cut.append(bool(hits))
+            kept[names.index("text")] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(was_cut)], [*names, "_cut"]).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _without(text: str, mask: np.ndarray) -> str:
+    """text without the runs of words that mask marks."""
+    raw = text.encode("utf-8", "surrogatepass")
+    first, last = spans_of(np.frombuffer(raw.translate(_WORDS), np.uint8) != 32)
+    at, parts = 0, []
+    for a, b in zip(*spans_of(mask), strict=True):
+        parts.append(raw[at : first[a]])
+        at = last[b - 1]
+    return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
 def items_digest(items: list[str]) -> str:

@@ -93,6 +93,33 @@ def test_cleaned_documents_hold_no_window(spark):
     assert not any(hit for *_, hit in brute.decontaminate([(d, t) for d, t in got.items() if d not in clean], BENCH))
 
 
+def test_cleaning_does_not_depend_on_blocks(spark):
+    from factloom.llm import decontamination
+
+    rng = np.random.default_rng(11)
+    word = lambda a, b: " ".join(f"k{i}" for i in range(a, b))
+    bench = [(f"i{k}", word(a, a + 10)) for k, a in enumerate(range(0, 80, 5))] + [("far", word(200, 225)), ("join", "left " + word(300, 304) + " right")]
+    docs = [(1, word(0, 15) + " plain end"), (2, word(0, 40) + " " + word(200, 225) + " " + word(500, 535)), (3, "left " + word(0, 20) + " right"), (4, None), (5, ""), (1, word(0, 15) + " plain end")]
+    docs += [(10 + d, ", ".join(word(a, a + n) for a, n in zip(rng.integers(0, 300, 6).tolist(), rng.integers(3, 30, 6).tolist()))) for d in range(40)]
+    items = spark.createDataFrame(bench, "item_id string, text string")
+    pattern = re.compile(r"[a-z0-9]+")
+    grams = {tuple(w[i : i + 10]) for w in (t.split() for _, t in bench) for i in range(max(1, len(w) - 9))}
+    want = []
+    for d, t in docs:
+        w = list(pattern.finditer(t or ""))
+        hit = {j for i in range(len(w)) for n in (6, 10) if tuple(x[0] for x in w[i : i + n]) in grams for j in range(i, i + n)}
+        if not hit:
+            want.append((d, t))
+        elif len(hit) < 0.5 * len(w):
+            gone = {c for i in hit for c in range(w[i].start(), w[i + 1].start() if i + 1 in hit else w[i].end())}
+            want.append((d, "".join(c for k, c in enumerate(t) if k not in gone)))
+    for block in (16 << 20, 700, 150):
+        got = decontamination.clean(frame(spark, docs), items, block_bytes=block)
+        assert got.columns == frame(spark, docs).columns
+        got = [tuple(r) for r in got.select("doc_id", "text", "n_chars").collect()]
+        assert sorted(map(str, got)) == sorted(str((d, t, len(t or ""))) for d, t in want)
+
+
 def test_jaccard_components(spark, cases):
     from factloom.llm import ngram_join
 
