@@ -181,6 +181,11 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, most_bytes=4 << 20):
+        yield batch.filter(pa.array([_has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score.  `und`, score 0, where the text is null or has no letter, or no model could be learned."""
     extra = [n for n in docs.columns if n not in ("lang_pred", "score")]
@@ -215,10 +220,16 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """docs whose language could be told (with at least that score); the others go.  Columns are those of docs."""
+    """docs whose language could be told (with at least that score); the others go.  Columns are those of docs.
+
+    Where no label is there to learn from nothing can be predicted: then only texts that are null or without a letter go.
+    """
     held = crc_mod("doc_id", 3) == 1
     model = train(docs.where(~held).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     names = [f"_{i}" for i in range(len(docs.columns))]  # columns may be called like those of a prediction
     plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("string"))
-    kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    if model is None:
+        kept = plain.mapInArrow(_lettered, plain.schema)
+    else:
+        kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

@@ -252,3 +252,21 @@ def test_pipeline(spark):
         after = stage(spark, docs, SF)
         assert after.columns == docs.columns and after.count() <= docs.count()
         docs = after
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from factloom.llm import language_id
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    edge = frame(spark, EDGES)
+    kept = {d for d, t in EDGES if t and any(map(str.isalpha, t))}
+    held = [d for d in kept if zlib.crc32(str(d).encode()) % 3 == 1]
+    for lang in (F.lit(None).cast("string"), F.lit(" "), F.when(F.col("doc_id").isin(held), "en")):
+        got = language_id.accepted(edge.withColumn("lang", lang))
+        assert got.columns == edge.columns and {r["doc_id"] for r in got.collect()} == kept
