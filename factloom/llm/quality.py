@@ -22,18 +22,47 @@ BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _SAME = 1  # the bucket of a word followed by itself
-_LONG = 64  # bytes of a word from which on only its ends give n-grams
+_LONG = 62  # characters of a word above which its n-grams are counted, not only met: most likely a text without spaces
+_PIECE = 60_000  # characters of a long word that are looked at at once; four of so many different ones go into 64 bits
+
+
+def _gram_bucket(gram: str) -> int:
+    return 2 + xxhash.xxh64_intdigest(gram.encode("utf-8", "surrogatepass")) % (BUCKETS - 2)
+
+
+_bucket = Cache(_gram_bucket)
+
+
+def is_long(word: bytes) -> bool:
+    return len(word) > _LONG and len(word.decode("utf-8", "surrogatepass")) > _LONG
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word and of the n-grams of its characters, with marks at both ends."""
+    """Buckets of a word that is not long and of the n-grams of its characters, with marks at both ends."""
     text = f"<{word.decode('utf-8', 'surrogatepass')}>"
-    if len(text) > _LONG:
-        text = text[: _LONG // 2] + text[-_LONG // 2 :]
     grams = {text[i : i + n] for n in SIZES for i in range(len(text) - n + 1)}
-    out = [2 + xxhash.xxh64_intdigest(b"w" + word) % (BUCKETS - 2)]
-    out += [2 + xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) % (BUCKETS - 2) for g in grams]
-    return tuple(out)
+    return (2 + xxhash.xxh64_intdigest(b"w" + word) % (BUCKETS - 2), *map(_gram_bucket, grams))
+
+
+def long_features(word: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (some repeat) of a long word and of all n-grams of its characters, with marks at both ends, and how often each occurs."""
+    text = f"<{word.decode('utf-8', 'surrogatepass')}>"
+    buckets, counts = [[2 + xxhash.xxh64_intdigest(b"w" + word) % (BUCKETS - 2)]], [[1]]
+    for start in range(0, len(text), _PIECE):
+        piece = text[start : start + _PIECE + max(SIZES) - 1]  # n-grams that begin among the first _PIECE characters
+        codes, ids = np.unique(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4"), return_inverse=True)
+        width = max(1, len(codes) - 1).bit_length()
+        ids, key = ids.astype(np.uint64), np.zeros(len(piece), np.uint64)
+        for n in range(1, max(SIZES) + 1):
+            size = min(_PIECE, len(piece) - n + 1)
+            if size <= 0:
+                break
+            key = (key[: len(piece) - n + 1] << np.uint64(width)) | ids[n - 1 :]
+            if n in SIZES:
+                _, first, count = np.unique(key[:size], return_index=True, return_counts=True)
+                buckets.append([_bucket[piece[i : i + n]] for i in first.tolist()])
+                counts.append(count)
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(counts).astype(np.int64)
 
 
 _features = Cache(word_features, 100_000)
@@ -46,6 +75,10 @@ def pair_buckets(h: np.ndarray) -> np.ndarray:
     return np.where(a == b, _SAME, (2 + mix(a * _R + b) % np.uint64(BUCKETS - 2)).astype(np.int64))
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((_hash[w] if len(w) <= 4 * _LONG else xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -55,9 +88,18 @@ def histogram(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = _words(text)
     if not words:
         return np.zeros(1, np.int32), np.ones(1, np.float32)  # bucket 0: no word
-    flat = np.concatenate([np.array(_features[w]) for w in words])
-    h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
-    bucket, count = np.unique(np.concatenate((flat, pair_buckets(h))) if len(h) > 1 else flat, return_counts=True)
+    long = [w for w in words if is_long(w)]
+    flat = np.concatenate([np.zeros(0, np.int64), *[np.array(_features[w]) for w in words if not (long and is_long(w))]])
+    if len(words) > 1:
+        flat = np.concatenate((flat, pair_buckets(_hashes(words))))
+    if long:
+        counts = np.bincount(flat, minlength=BUCKETS)
+        for own, number in map(long_features, long):
+            np.add.at(counts, own, number)
+        bucket = np.flatnonzero(counts)
+        count = counts[bucket]
+    else:
+        bucket, count = np.unique(flat, return_counts=True)
     return bucket.astype(np.int32), (count / count.sum()).astype(np.float32)
 
 
@@ -124,6 +166,9 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = 4000, threshold: floa
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def share(word: bytes) -> tuple[float, int]:
+            if is_long(word):
+                own, counts = long_features(word)
+                return float(adds[own].astype(np.float64) @ counts), int(counts.sum())
             own = word_features(word)
             return float(adds[list(own)].sum()), len(own)
 
@@ -133,10 +178,10 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = 4000, threshold: floa
             for text in batch.column("text").to_pylist():
                 words = _words(text)
                 if words:
-                    pairs = [of_word[w] for w in words]
+                    pairs = [of_word[w] if len(w) <= 4 * _LONG else share(w) for w in words]
                     total, n = sum(x for x, _ in pairs), sum(k for _, k in pairs)
                     if len(words) > 1:
-                        total += float(adds[pair_buckets(np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words)))].sum())
+                        total += float(adds[pair_buckets(_hashes(words))].sum())
                         n += len(words) - 1
                     z = total / n + bias
                 else:

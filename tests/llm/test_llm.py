@@ -225,6 +225,35 @@ def test_quality(spark):
     assert (none.score == 0.5).all()
 
 
+def test_quality_reads_long_words_whole(spark):
+    from collections import Counter
+
+    from factloom.llm import quality
+
+    rng = np.random.default_rng(2)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    texts = ["你好" * 30 + draw("学习语言" if d % 2 else "广告点击", 400) + "再见" * 30 for d in range(60)]
+    docs = frame(spark, list(enumerate(texts)))
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(60)], "doc_id long, quality int, toxic int")
+    got = quality.scored(docs, labels).toPandas()
+    held = got[got.held_out]
+    assert len(held) and held.score[held.doc_id % 2 == 1].min() > held.score[held.doc_id % 2 == 0].max()
+    for word in (texts[0], "x" * 63, draw("ab😀é", 700)):
+        text = f"<{word}>"
+        want = Counter(quality._gram_bucket(text[i : i + n]) for n in quality.SIZES for i in range(len(text) - n + 1))
+        want[2 + quality.xxhash.xxh64_intdigest(b"w" + word.encode()) % (quality.BUCKETS - 2)] += 1
+        for piece in (quality._PIECE, 100):
+            quality._PIECE, old = piece, quality._PIECE
+            counts = Counter()
+            for b, n in zip(*quality.long_features(word.encode())):
+                counts[int(b)] += int(n)
+            quality._PIECE = old
+            assert counts == want
+        bucket, weight = quality.histogram(f"one {word}")
+        one = Counter(quality.word_features(b"one")) + want + Counter(quality.pair_buckets(np.array([quality._hash[b"one"], quality._hash[word.encode()]], np.uint64)).tolist())
+        assert dict(zip(bucket.tolist(), weight.tolist())) == pytest.approx({b: n / sum(one.values()) for b, n in one.items()}, rel=1e-5)
+
+
 def test_sharding(spark, cases):
     from factloom.llm import sharding
 
