@@ -6,7 +6,8 @@
 3. Every page is extracted again from the first of its host's paths that it has; a page with none uses its own.
 
 Within the chosen container menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and
-styles are left out.
+styles are left out.  A class or id name (or a form) marks such a part only while the page's text is elsewhere: a container
+that holds most of it stays, whatever its name.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "audio", "video", "head", "title")
+_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "audio", "video", "title")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINER = frozenset("html body div section article main aside header footer nav form ul ol dl table tbody thead tfoot tr td th fieldset dialog details figure menu center".split())
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre address figcaption caption summary legend hr br option".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-_DROPPED = frozenset("nav aside footer form menu dialog button fieldset label input".split())
+_DROPPED = frozenset("nav aside footer menu dialog button fieldset label input".split())
 #: Tokens of class and id names that mark what is not the article.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored teaser nav navbar navigation menu breadcrumb breadcrumbs "
@@ -34,6 +35,8 @@ _MARKS = frozenset(
     "share sharing social related recommended recommendations popular trending comment comments commentlist respond reply replies disqus discussion form search popup modal "
     "overlay widget widgets pagination pager toolbar tags taglist copyright legal disclaimer skip hidden".split()
 )
+#: First words of names of what readers wrote, which can be longer than the article.
+_READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -46,33 +49,38 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    """A container: its path step, its parent, whether it is boilerplate, and its text as (text, in a link, in prose) or children."""
+    """A container: its path step, its parent, whether it is boilerplate, and its text as (text, in a link, in prose) or children.
 
-    __slots__ = ("dropped", "items", "parent", "step", "tag")
+    named: the names by which alone it is boilerplate, else ''.
+    """
+
+    __slots__ = ("dropped", "items", "named", "parent", "step", "tag")
 
-    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool) -> None:
-        self.tag, self.step, self.parent, self.dropped, self.items = tag, step, parent, dropped, []
+    def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool, named: str = "") -> None:
+        self.tag, self.step, self.parent, self.dropped, self.named, self.items = tag, step, parent, dropped or bool(named), "" if dropped else named, []
 
     @property
     def path(self) -> str:
         return f"{self.parent.path}/{self.step}" if self.parent else self.step
 
 
-def _look(tag: str, attrs: str, within_article: bool) -> tuple[str, bool]:
-    """The generalised step of a container, and whether it is boilerplate by its tag, role or names."""
-    names, dropped = [], tag in _DROPPED or tag == "header" and not within_article
+def _look(tag: str, attrs: str, within_article: bool) -> tuple[str, bool, str]:
+    """The generalised step of a container, whether it is boilerplate by its tag or role, and the names that say so."""
+    names, said, marked, dropped = [], [], tag == "form", tag in _DROPPED or tag == "header" and not within_article
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "class":
             names = [re.sub(r"\d+", "#", c) for c in value.lower().split()[:2]]
         if key in ("class", "id"):
             words = {w.lower() for w in _WORDS.findall(value)}
-            dropped |= bool(words & _MARKS) or "header" in words and not within_article
+            marked |= bool(words & _MARKS) or "header" in words and not within_article
+            said.append(re.sub(r"\d+", "#", value.lower()))
         elif key == "role":
             dropped |= value.lower() in _ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             dropped = True
-    return ".".join([tag, *names]), dropped and tag not in ("html", "body", "article", "main")
+    exempt = tag in ("html", "body", "article", "main")
+    return ".".join([tag, *names]), dropped and not exempt, " ".join([tag, *said]) if marked and not exempt else ""
 
 
 def parse(text: str) -> Node:
@@ -92,11 +100,11 @@ def parse(text: str) -> Node:
         at = m.end()
         if m["cdata"] is not None:
             say(m["cdata"])
-        if m["raw"] and m["raw"].lower() not in ("head", "title"):
-            continue
         if not m["tag"]:
             continue
         tag = m["tag"].lower()
+        if tag == "head":  # its end may be left out; what is text in it belongs to the body
+            continue
         if tag in _BLOCK:
             say(" ")
         if m["end"]:
@@ -121,8 +129,8 @@ def parse(text: str) -> Node:
                 while inline.pop() != "p":
                     pass
             if not m["attrs"].endswith("/"):
-                step, dropped = _look(tag, m["attrs"], article > 0)
-                child = Node(tag, step, node, dropped)
+                step, dropped, named = _look(tag, m["attrs"], article > 0)
+                child = Node(tag, step, node, dropped, named)
                 node.items.append(child)
                 node = child
                 article += tag in ("article", "main")
@@ -144,9 +152,74 @@ def parse(text: str) -> Node:
                 inline.append(tag)
                 links += tag == "a"
     say(text[at:])
+    _restore(root)
     return root
 
 
+def _size(s: str) -> int:
+    return len(s) - s.count(" ") if not s.isspace() else 0
+
+
+def _restore(root: Node) -> None:
+    """Keeps containers dropped by name alone that hold most of the text around them, or without which next to none is left.
+
+    Containers with the same names are judged together: by prose, or by all text where little is prose.  Those of links
+    stay dropped while there is other text, as do those beside an article and readers' comments beside some text.
+    """
+    order, weigh = [root], {}
+    for node in order:
+        order.extend(x for x in node.items if isinstance(x, Node) and (x.named or not x.dropped))
+    if not any(node.named for node in order):
+        return
+    for node in reversed(order):  # characters outside links, of these in prose, and in links
+        text = prose = linked = 0
+        for x in node.items:
+            if not isinstance(x, Node):
+                n = _size(x[0])
+                text, prose, linked = (text, prose, linked + n) if x[1] else (text + n, prose + n * x[2], linked)
+            elif id(x) in weigh:
+                a, b, c = weigh[id(x)]
+                text, prose, linked = text + a, prose + b, linked + c
+        weigh[id(node)] = text, prose, linked
+    scopes = [root]
+    while scopes:
+        scope = scopes.pop()
+        all_text, all_prose, _ = weigh[id(scope)]
+        by = 1 if 4 * all_prose >= all_text else 0
+        whole = weigh[id(scope)][by]
+        groups: dict[str, list[Node]] = {}
+        articles: list[Node] = []
+        todo = [scope]
+        for node in todo:
+            for x in node.items:
+                if isinstance(x, Node) and x.named and x.dropped:
+                    groups.setdefault(x.named, []).append(x)
+                elif isinstance(x, Node) and not x.dropped:
+                    todo.append(x)
+                    if x.tag in ("article", "main"):
+                        articles.append(x)
+        held = {k: [sum(weigh[id(x)][i] for x in g) for i in range(3)] for k, g in groups.items()}
+        left = whole - sum(h[by] for h in held.values())
+        for key in sorted(groups, key=lambda k: (-held[k][by], k)):
+            text, _, linked = held[key]
+            own = held[key][by]
+            if not own or linked > text and left:
+                continue
+            above = set()
+            for x in groups[key]:
+                while x is not None and id(x) not in above:
+                    above.add(id(x))
+                    x = x.parent
+            beside = any(id(a) not in above and 10 * weigh[id(a)][by] >= whole for a in articles)
+            words = _WORDS.findall(key.split(" ", 1)[-1])
+            scarce = 10 if words and words[0] in _READERS else 4
+            if scarce * left < whole if beside or scarce == 10 else 2 * own >= whole or scarce * left < whole:
+                for x in groups[key]:
+                    x.dropped = False
+                    scopes.append(x)
+                left += own
+
+
 def _mass(node: Node, found: dict[int, tuple[float, float]]) -> tuple[float, float]:
     """Characters of text outside links, all and in prose, of what is not boilerplate; found: the same by node."""
     total = prose = 0.0
@@ -161,7 +234,7 @@ def _mass(node: Node, found: dict[int, tuple[float, float]]) -> tuple[float, flo
                     stack.append((now, i, total, prose))
                     now, i, total, prose = x, 0, 0.0, 0.0
             elif not x[1]:
-                n = len(x[0]) - x[0].count(" ") if not x[0].isspace() else 0
+                n = _size(x[0])
                 total += n
                 prose += n * x[2]
         found[id(now)] = (total, prose)
@@ -202,7 +275,12 @@ def text_at(root: Node, path: str) -> str:
     wanted = [s for s in path.split("/") if s]
     nodes = [root]
     for step in wanted:
-        nodes = [x for n in nodes for x in n.items if isinstance(x, Node) and x.step == step and not x.dropped]
+        there = [x for n in nodes for x in n.items if isinstance(x, Node) and x.step == step]
+        nodes = [x for x in there if not x.dropped]
+        if not nodes:  # the host's pages have their text here, though little of it is on this one
+            nodes = [x for x in there if x.named]
+            for x in nodes:
+                _restore(x)
     parts: list[str] = []
     for top in nodes:
         stack = [(top, 0)]

@@ -210,6 +210,27 @@ def test_html_extraction(spark):
     assert (all_pages.n_chars > 0).all() and not all_pages.text.str.contains("<p>|<div", regex=True).any()
 
 
+def test_html_containers_with_misleading_names(spark):
+    from factloom.llm import html_extraction
+
+    said = "<h1>Title</h1><p>The first paragraph of the article, which is long.</p><p>And a second one.</p>"
+    text = "Title The first paragraph of the article, which is long. And a second one."
+    side = "<div class='sidebar'><p>Read this too.</p><a href=x>More of this and of that</a></div>"
+    names = ["class='content with-sidebar'", "class='has-ads'", "id='page-search'", "class='post hidden-nav'", "class='legal-news'"]
+    html = [f"<html><head><title>T</title></head><body><nav>Menu</nav><div {n}>{said}{side}</div><footer>foot</footer></body></html>" for n in names]
+    html += [f"<html><body><form action=x><div>{said}</div><input><label>Name</label></form></body></html>"]
+    html += [f"<html><head><meta charset=utf-8><title>T</title><script>'<div>no</div>'</script>{end}<div>{said}</div>" for end in ("<body>", "", "</head>")]
+    html += [f"<body><div class=story>{said}</div><div class=comments>{'<p>A reader says much about it, again and again.</p>' * 4}</div>"]
+    html += [f"<body><article>{said}</article><div class=related>{'<p>Another story about something else altogether.</p>' * 4}</div>"]
+    pages = spark.createDataFrame([(i, f"http://h{i}.b/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extracted(pages).collect()}
+    assert got == dict.fromkeys(range(len(html)), text)
+    page = lambda inner, top="": f"<body>{top}<div class='content with-sidebar'>{inner}</div></body>"
+    host = [(i, "http://one.b/", page(said)) for i in range(3)] + [(3, "http://one.b/", page("<p>Brief.</p>", "<p>Our site</p>"))]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extracted(spark.createDataFrame(host, pages.schema)).collect()}
+    assert got == {0: text, 1: text, 2: text, 3: "Brief."}
+
+
 def test_quality(spark):
     from factloom.llm import quality
 
