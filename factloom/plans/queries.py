@@ -610,10 +610,10 @@ def r15_context_windows(t: Tables) -> DataFrame:
 
 @query()
 def t32_annotations(t: Tables) -> DataFrame:
-    rows = t.raw("conversations").select(F.col("conv_id").alias("report_id"), F.col("turn").cast("int").alias("idx"), F.rpad("text", 400, ".").alias("text"))
+    rows = t.raw("conversations").select(F.col("conv_id").alias("report_id"), F.col("turn").cast("int").alias("idx"), F.when(F.length("text") < 40, F.rpad("text", 40, ".")).otherwise(F.col("text")).alias("text"))  # all are candidates
     vectors = rows.select("report_id", "idx", ((F.col("report_id") * 31 + F.col("idx")) % 500).alias("id")).join(t.vectors, "id").select("report_id", "idx", "embedding")
-    own = t.vectors.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("id"), "embedding")
-    facts = t.facts.where("sidx = 0").select(F.concat(F.lit("f"), F.col("source_id").cast("string")).alias("fact_id"), "text")
+    own = t.facts.select(F.col("fact_id").alias("fid"), F.pmod(F.xxhash64("fact_id"), F.lit(t.vectors.count())).alias("id")).join(t.vectors, "id").select(F.col("fid").alias("id"), "embedding")
+    facts = t.facts.select("fact_id", "text")
     return reports.annotate(rows, vectors, facts, own, own.select("id", F.lit("fact").alias("kind")), threshold=NEAR)
 
 
