@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Models, components and tokens are beyond SQL; tests/llm compares the stages with brute force.
+#: Models, components and tokens are beyond SQL; tests/llm compares operators with brute force, not the rows of the whole pipeline.
 ORACLE_SQL: str | None = None
 
 
