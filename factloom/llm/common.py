@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,46 +16,88 @@ from pyspark.sql import functions as F
 #: A missing doc_id counts as one identifier above all others.
 NO_ID = 2**63 - 1
 
-_made: set[tuple[SparkSession, str]] = set()
+_made: dict[str, SparkSession] = {}
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of its own where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir.
+
+    Where that is unset a local session gets a folder of its own; on a cluster, whose machines share no such folder, it
+    is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_dirs.setdefault(context.applicationId, "")
+        if not base:
+            base = _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="factloom-")
     return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that later plans start from files that outlive any executor.
 
-    Unlike DataFrame.checkpoint() this computes df once.  The folder is deleted when the driver ends.
+    Unlike DataFrame.checkpoint() this computes df once.  The folder is deleted by release() or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.add((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored = path
+    return back
 
 
-def release(df_or_all: DataFrame | None = None) -> None:
-    """Delete the folders written by cut(): those that df reads, or all."""
-    wanted = None if df_or_all is None else {f.rsplit("/", 1)[0] for f in df_or_all.inputFiles()}
-    for spark, path in list(_made):
-        if wanted is not None and not any(w.endswith(path.split("://")[-1]) for w in wanted):
-            continue
+def release(*tables: DataFrame | None) -> None:
+    """Delete the folders behind these results of cut(); other tables (and None) are left alone."""
+    for df in tables:
+        _delete(getattr(df, "_stored", None))
+
+
+def _delete(path: str | None) -> None:
+    spark = _made.pop(path, None)
+    if spark is None:
+        return
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_made):
+        _delete(path)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; at its end a worker, which Spark keeps for later tasks, gives its free memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            pass
-        _made.discard((spark, path))
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
 
+def positional(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns called _0, _1, ..., so that no name of the caller meets one of an operator, and the new names of `used`."""
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), {c: names[docs.columns.index(c)] for c in used if c in docs.columns}
 
-atexit.register(release)
+
+def named_back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """df, whose columns include those of positional(docs), with the columns of docs alone and their names."""
+    return df.select(*[F.col(f"_{i}") for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def id_key(column: str = "doc_id") -> Column:
@@ -94,16 +137,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
 
 
 class Cache(dict):
-    """A dict that fills itself by make(key) and is emptied once it holds `most` entries."""
+    """A dict of bytes to bytes (or a number) that fills itself by make(key) and is emptied before it takes `most_bytes`."""
 
-    def __init__(self, make, most: int = 400_000) -> None:
+    def __init__(self, make, most_bytes: int = 48 << 20) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.size = make, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.make(key)
+        size = 200 + len(key) + (len(value) if isinstance(value, bytes) else 0)  # two objects and a slot of the table
+        if self.size + size > self.most:
             self.clear()
-        value = self[key] = self.make(key)
+            self.size = 0
+        if size <= self.most:
+            self[key] = value
+            self.size += size
         return value
 
 
@@ -117,6 +165,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: ASCII white space, as bytes.split() has it.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+_SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SHORT = 40  # symbols up to which words are hashed together, one symbol of all of them at a time
+
+
+def words_in(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of texts lie that stand back to back in `data` (see buffers()): starts, ends, and their number by text."""
+    inside = ~breaks[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    if len(data):
+        edge = offsets[1:-1]
+        edge = edge[(edge > 0) & (edge < len(data))]  # no word crosses from one text to the next
+        first[edge] = inside[edge]
+        last[edge - 1] = inside[edge - 1]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.diff(np.searchsorted(start, offsets))
+
+
+def word_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; symbols: bytes, or 64-bit hashes of larger symbols."""
+    length = end - start
+    order = np.argsort(-length, kind="stable")
+    at, sizes = start[order], length[order]
+    h = sizes.astype(np.uint64)
+    long = int(np.searchsorted(-sizes, -_SHORT, "left"))
+    of = (lambda x: _SYMBOLS[x]) if symbols.dtype == np.uint8 else (lambda x: x)
+    for j in range(int(sizes[long]) if long < len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -j, "left"))  # words that have a symbol j
+        h[long:n] = h[long:n] * _STEP + of(symbols[at[long:n] + j])
+    if long:
+        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(int(sizes[0]) - 1, _STEP))))
+        for i in range(long):
+            n = int(sizes[i])
+            h[i] += (of(symbols[at[i] : at[i] + n]) * power[:n]).sum(dtype=np.uint64)
+    out = np.empty(len(h), np.uint64)
+    out[order] = mix(h)
+    return out
+
+
 def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))

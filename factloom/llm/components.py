@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,11 +29,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     before = None
     for _ in range(most_rounds):
-        now = cut(_star(_star(now, True), False))
+        last, now = now, cut(_star(_star(now, True), False))
+        release(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._stored = getattr(now, "_stored", None)  # release() of the result deletes its table
+    return out

@@ -2,29 +2,29 @@
 
 The benchmark is a stated, small item set.  It is split into blocks of a checked size; each block's windows are sent to
 the executors once and every document's windows are looked up against it (hash first, then the exact word sequence).
-With one block, the usual case, one pass over the documents does; with more, the hits of the passes are merged.
+With one block, the usual case, one pass over the documents does; with more, each pass but the last is written to the
+shared folder with the hits so far beside the unchanged texts, so the result never depends on the number of blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from .common import cut as stored
-from .common import mix, release, slices, spans_of
+from .common import lean, mix, named_back, positional, release, slices, spans_of
 
 WINDOW = 10
 #: A-Z to a-z; digits, a-z and bytes above 127 as they are; all else separates words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-_FOUND = "doc_id long, n_words long, spans array<struct<first:int,last:int>>, bytes array<struct<first:int,last:int>>, items array<string>, row long"
+_SPANS = "array<struct<first:int,last:int>>"
+_KIND = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -67,45 +67,35 @@ class Windows:
         return found
 
 
-def _scan(windows: Windows):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = windows.vocabulary.get
-        for batch in slices(batches):
-            ids, counts, raw = [], [], []
-            for text in batch.column("text").to_pylist():
-                plain = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
-                words = plain.split()
-                ids.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-                ids.append(np.zeros(1, np.int64))  # no window crosses from one document to the next
-                counts.append(len(words))
-                raw.append(plain)
-            counts = np.array(counts)
-            starts = np.concatenate(([0], np.cumsum(counts + 1)))
-            flat = np.concatenate(ids)
-            hits: dict[int, list[tuple[int, int, set[str]]]] = defaultdict(list)
-            for i, n, items in windows.find(flat):
-                doc = int(np.searchsorted(starts, i, "right")) - 1
-                hits[doc].append((i - int(starts[doc]), n, items))
-            spans, places, names = [], [], []
-            for doc in range(batch.num_rows):
-                if doc not in hits:
-                    spans.append([]), places.append([]), names.append([])
-                    continue
-                mask = np.zeros(counts[doc], bool)
-                for i, n, _ in hits[doc]:
-                    mask[i : i + n] = True
-                a, b = spans_of(mask)
-                first, last = spans_of(np.frombuffer(raw[doc], np.uint8) != 32)
-                spans.append([{"first": int(x), "last": int(y)} for x, y in zip(a, b, strict=True)])
-                places.append([{"first": int(first[x]), "last": int(last[y - 1])} for x, y in zip(a, b, strict=True)])
-                names.append(sorted(set().union(*(x[2] for x in hits[doc]))))
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, kind), pa.array(places, kind), pa.array(names, pa.list_(pa.string())), batch.column("row")],
-                ["doc_id", "n_words", "spans", "bytes", "items", "row"],
-            )
-
-    return scan
+def _hits(windows: Windows, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """Per text: its words, the runs of words that windows hit, and the items found."""
+    get = windows.vocabulary.get
+    ids, counts = [], []
+    for text in texts:
+        words = words_of(text)
+        ids.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
+        ids.append(np.zeros(1, np.int64))  # no window crosses from one document to the next
+        counts.append(len(words))
+    starts = np.concatenate(([0], np.cumsum(np.array(counts) + 1)))
+    hits: dict[int, list[tuple[int, int, set[str]]]] = defaultdict(list)
+    for i, n, items in windows.find(np.concatenate(ids)):
+        doc = int(np.searchsorted(starts, i, "right")) - 1
+        hits[doc].append((i - int(starts[doc]), n, items))
+    spans, names = [], []
+    for doc, n_words in enumerate(counts):
+        if doc not in hits:
+            spans.append([]), names.append([])
+            continue
+        spans.append(_merged([(i, i + n) for i, n, _ in hits[doc]], n_words))
+        names.append(sorted(set().union(*(x[2] for x in hits[doc]))))
+    return counts, spans, names
+
+
+def _merged(spans: list[tuple[int, int]], n_words: int) -> list[tuple[int, int]]:
+    mask = np.zeros(n_words, bool)
+    for a, b in spans:
+        mask[a:b] = True
+    return [(int(a), int(b)) for a, b in zip(*spans_of(mask), strict=True)]
 
 
 def _dealt(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -121,45 +111,44 @@ def _windows(dealt: DataFrame, block: int, window: int) -> Windows:
     return Windows([(r.item_id, r.text) for r in dealt.where(F.col("block") == block).collect()], window)
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Windows]:
-    dealt, n = _dealt(benchmark, block_bytes)
-    return [_windows(dealt, b, window) for b in range(n)]
+def _pass(docs: DataFrame, windows: Windows) -> DataFrame:
+    """docs, which has a column text, with n_words and with the hits of one block added to spans and items."""
+    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
+    more = "spans" in docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept) + f", n_words long, spans {_SPANS}, items array<string>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most_bytes=4 << 20):
+            counts, spans, names = _hits(windows, batch.column("text").to_pylist())
+            if more:
+                before = [[(s["first"], s["last"]) for s in own] for own in batch.column("spans").to_pylist()]
+                spans = [_merged(a + b, n) for a, b, n in zip(before, spans, counts, strict=True)]
+                names = [sorted({*a, *b}) for a, b in zip(batch.column("items").to_pylist(), names, strict=True)]
+            added = [pa.array(counts, pa.int64()), pa.array([[{"first": a, "last": b} for a, b in own] for own in spans], _KIND), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *added], [*kept, "n_words", "spans", "items"])
 
-def _mask_size(spans: str):
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + (s["last"] - s["first"]))
+    return docs.mapInArrow(lean(run), schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """Per row of docs: doc_id, n_words, hit word spans, the same as byte spans of the UTF-8 text, and the items found."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("row"))
-    blocks = _blocks(benchmark, window, block_bytes)
-    if len(blocks) == 1:
-        return rows.mapInArrow(_scan(blocks[0]), _FOUND).drop("row")
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = None
-    for windows in blocks:
-        part = rows.mapInArrow(_scan(windows), _FOUND)
-        found = part if found is None else found.unionByName(part)
-    # equal rows are found equally often by each block: they merge into one row, counted by `copies`
-    merged = found.groupBy("doc_id", "row").agg(
-        F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("bytes")).alias("bytes"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("copies"),
-    )
-    return merged.select("doc_id", "n_words", _joined("spans").alias("spans"), _joined("bytes").alias("bytes"), "items", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("col")
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """docs, which has a column text, with n_words, spans (runs of hit words) and items of all blocks; one block's windows at a time are on the driver."""
+    dealt, n = _dealt(benchmark, block_bytes)
+    for block in range(n):
+        before, docs = docs, _pass(docs, _windows(dealt, block, window))
+        if block < n - 1:
+            docs = stored(docs)
+            release(before)
+    return docs
 
 
-def _joined(spans: str):
-    """Overlapping and touching spans merged (touching only for word spans; byte spans of touching words stay apart)."""
-    kind = "array<struct<first:int,last:int>>"
+def _mask_size(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + (s["last"] - s["first"]))
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.array(F.named_struct(F.lit("first"), last["first"], F.lit("last"), F.greatest(last["last"], s["last"]))).cast(kind)
-        joins = (F.size(acc) > 0) & (last["last"] >= s["first"])
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), wider)).otherwise(F.concat(acc, F.array(s).cast(kind))).cast(kind)
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), merge)
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
+    """Per row of docs: doc_id, n_words, spans (runs of hit words, first and the one behind the last) and items found, in order."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _marked(rows, benchmark, window, block_bytes).drop("text")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
@@ -178,64 +167,36 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """docs without the benchmark: hit spans are cut out of the text, and a document hit in drop_share of its words or more goes.
 
-    Columns are those of docs.  n_chars, where there is one, follows the new text.  Documents without a hit pass unchanged.
-    With several blocks the spans of all are found on the unchanged text first; the result is that of one block.
+    Columns are those of docs, whatever their names.  n_chars, where there is one, follows the new text.  Documents
+    without a hit, null and blank ones included, pass unchanged; repeated rows are judged each; an empty benchmark
+    changes nothing; an empty table gives an empty result.
     """
-    dealt, n = _dealt(benchmark, block_bytes)
-    columns, kind = docs.columns, docs.schema
-    for block in range(n):
-        before, docs = docs, _cleaned(docs, _windows(dealt, block, window), drop_share, block == n - 1)
-        if block < n - 1:  # written, so that an executor holds the windows of one block at a time
-            docs = stored(docs)
-            if block:
-                release(before)
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(kind["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.select(*columns)
-
-
-def _cleaned(docs: DataFrame, windows: Windows, drop_share: float, last: bool) -> DataFrame:
-    """One pass over unchanged texts: adds the hit word spans of a block to `_hits`, or, as the last one, cuts what all passes hit and sets `_cut`."""
-    names = [n for n in docs.columns if n != "_hits"]
-    added = StructField("_cut", BooleanType()) if last else StructField("_hits", ArrayType(StructType([StructField("first", IntegerType()), StructField("last", IntegerType())])))
-    schema = StructType([StructField(f.name, f.dataType, True) for f in docs.schema if f.name != "_hits"] + [added])
-    scan = _scan(windows)
+    plain, at = positional(docs, "text", "n_chars")
+    kinds, where = plain.schema, plain.columns.index(at["text"])
+    marked = _marked(plain.withColumn("text", F.col(at["text"]).cast("string")).drop(at["text"]), benchmark, window, block_bytes)
+    marked = marked.where((F.size("spans") == 0) | (_mask_size("spans") < drop_share * F.col("n_words")))
+    kept = [c for c in marked.columns if c not in ("text", "n_words", "spans", "items")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name in kept) + ", text string, less boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            zero = pa.array(np.zeros(batch.num_rows, np.int64))
-            found = next(scan(iter([pa.RecordBatch.from_arrays([zero, batch.column("text").cast(pa.string()), zero], ["doc_id", "text", "row"])])))
-            spans, counts = (found.column(c).to_pylist() for c in ("spans", "n_words"))
-            if "_hits" in batch.schema.names:
-                spans = [a + b for a, b in zip(batch.column("_hits").to_pylist(), spans, strict=True)]
-            kept = [batch.column(n) for n in names]
-            if not last:
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, found.column("spans").type)], [*names, "_hits"])
-                continue
-            texts, keep, was_cut = [], [], []
-            for text, hits, n in zip(batch.column("text").to_pylist(), spans, counts, strict=True):
-                mask = np.zeros(n, bool)
-                for s in hits:
-                    mask[s["first"] : s["last"]] = True
-                keep.append(not hits or int(mask.sum()) < drop_share * n)
-                texts.append(_without(text, mask) if hits else text)
-                was_cut.append(bool(hits))
-            kept[names.index("text")] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(was_cut)], [*names, "_cut"]).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, schema)
-
-
-def _without(text: str, mask: np.ndarray) -> str:
-    """text without the runs of words that mask marks."""
+            spans = [[(s["first"], s["last"]) for s in own] for own in batch.column("spans").to_pylist()]
+            texts = [_without(t, own) if own else t for t, own in zip(batch.column("text").to_pylist(), spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(list(map(bool, spans)))], [*kept, "text", "less"])
+
+    done = marked.mapInArrow(lean(run), schema).withColumn(f"_{where}", F.col("text").cast(kinds[where].dataType))
+    if "n_chars" in at:
+        size = F.length("text").cast(kinds[at["n_chars"]].dataType)
+        done = done.withColumn(at["n_chars"], F.when(F.col("less"), size).otherwise(F.col(at["n_chars"])))
+    return named_back(done, docs)
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without these runs of words."""
     raw = text.encode("utf-8", "surrogatepass")
     first, last = spans_of(np.frombuffer(raw.translate(_WORDS), np.uint8) != 32)
     at, parts = 0, []
-    for a, b in zip(*spans_of(mask), strict=True):
+    for a, b in spans:
         parts.append(raw[at : first[a]])
         at = last[b - 1]
     return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

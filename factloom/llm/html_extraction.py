@@ -17,12 +17,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, lean, slices
 
-_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "audio", "video", "title")
+_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "canvas", "audio", "video", "title")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINER = frozenset("html body div section article main aside header footer nav form ul ol dl table tbody thead tfoot tr td th fieldset dialog details figure menu center".split())
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre address figcaption caption summary legend hr br option".split())
@@ -35,8 +35,11 @@ _MARKS = frozenset(
     "share sharing social related recommended recommendations popular trending comment comments commentlist respond reply replies disqus discussion form search popup modal "
     "overlay widget widgets pagination pager toolbar tags taglist copyright legal disclaimer skip hidden".split()
 )
+#: Those that an article may well use for its own parts: there they mark only what is mostly links.
+_WEAK = frozenset("related social discussion popular trending legal tags alert side skip hidden search register recommended widget overlay".split())
 #: First words of names of what readers wrote, which can be longer than the article.
 _READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+_MILD = "~"  # before the names of a container that only weak marks make boilerplate, within an article
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -66,21 +69,23 @@ class Node:
 
 def _look(tag: str, attrs: str, within_article: bool) -> tuple[str, bool, str]:
     """The generalised step of a container, whether it is boilerplate by its tag or role, and the names that say so."""
-    names, said, marked, dropped = [], [], tag == "form", tag in _DROPPED or tag == "header" and not within_article
+    names, said, marked, strong, dropped = [], [], tag == "form", tag == "form", tag in _DROPPED or tag == "header" and not within_article
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "class":
             names = [re.sub(r"\d+", "#", c) for c in value.lower().split()[:2]]
         if key in ("class", "id"):
             words = {w.lower() for w in _WORDS.findall(value)}
-            marked |= bool(words & _MARKS) or "header" in words and not within_article
+            hits = words & _MARKS
+            marked |= bool(hits) or "header" in words and not within_article
+            strong |= bool(hits - _WEAK) or not within_article
             said.append(re.sub(r"\d+", "#", value.lower()))
         elif key == "role":
             dropped |= value.lower() in _ROLES
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             dropped = True
     exempt = tag in ("html", "body", "article", "main")
-    return ".".join([tag, *names]), dropped and not exempt, " ".join([tag, *said]) if marked and not exempt else ""
+    return ".".join([tag, *names]), dropped and not exempt, ("" if strong else _MILD) + " ".join([tag, *said]) if marked and not exempt else ""
 
 
 def parse(text: str) -> Node:
@@ -164,7 +169,8 @@ def _restore(root: Node) -> None:
     """Keeps containers dropped by name alone that hold most of the text around them, or without which next to none is left.
 
     Containers with the same names are judged together: by prose, or by all text where little is prose.  Those of links
-    stay dropped while there is other text, as do those beside an article and readers' comments beside some text.
+    stay dropped while there is other text, as do those beside an article and readers' comments beside some text.  Within
+    an article weak names drop only what is mostly links.
     """
     order, weigh = [root], {}
     for node in order:
@@ -181,6 +187,8 @@ def _restore(root: Node) -> None:
                 a, b, c = weigh[id(x)]
                 text, prose, linked = text + a, prose + b, linked + c
         weigh[id(node)] = text, prose, linked
+        if node.named.startswith(_MILD) and text > linked:
+            node.dropped = False
     scopes = [root]
     while scopes:
         scope = scopes.pop()
@@ -309,17 +317,16 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(votes, pa.float64())], ["host", "path", "vote"])
 
 
-def consensus(pages: DataFrame, most_paths: int = 8) -> DataFrame:
-    """(host, paths): the container paths of each host, most votes first; ties by path.
+def consensus(pages: DataFrame) -> DataFrame:
+    """(host, paths): all container paths that pages of the host voted for, most votes first; ties by path.
 
-    most_paths bounds the table, not the result: a page with none of them is extracted by its own best container.
+    Pages without a host vote together; an empty table gives an empty one.  The votes of a host are summed map-side
+    first, so a host that holds a third of all pages costs one row per path and input split.
     """
-    voted = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_vote, "host string, path string, vote double")
+    voted = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(lean(_vote), "host string, path string, vote double")
     summed = voted.where("path <> ''").groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    top = summed.withColumn("rank", rank).where(F.col("rank") <= most_paths)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"])
-    return top.groupBy("host").agg(ordered.alias("paths"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path")))
+    return summed.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
 
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +339,19 @@ def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, broadcast_bytes: int = 16 << 20, parts: int = 16) -> DataFrame:
     """Per row of pages: page_id, url, text and n_chars.
 
     Null html is empty and gives an empty text; pages without a host (or url) vote together; repeated rows come out
-    each; an empty table gives an empty result; other columns are ignored.
+    each; an empty table gives an empty result; other columns are ignored.  The paths of all hosts are written first:
+    up to broadcast_bytes of them are broadcast; beyond that pages meet them by host and one of `parts` groups.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
-    return rows.join(consensus(pages), "host", "left").select("page_id", "url", "html", "paths").mapInArrow(_take, "page_id long, url string, text string, n_chars long")
+    found = cut(consensus(pages))
+    size = found.agg(F.sum(F.octet_length("host") + F.aggregate("paths", F.lit(40).cast("long"), lambda n, p: n + F.octet_length(p) + 16))).first()[0] or 0
+    if size <= broadcast_bytes:
+        met = rows.join(F.broadcast(found), "host", "left")
+    else:
+        salted = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int")).join(salted, ["host", "part"], "left")
+    return met.select("page_id", "url", "html", "paths").mapInArrow(lean(_take), "page_id long, url string, text string, n_chars long")

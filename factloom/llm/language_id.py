@@ -12,10 +12,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, crc_mod, mix, slices
+from .common import buffers, crc_mod, lean, mix, named_back, positional, slices
 
 UNKNOWN = "und"
 # Language families by ISO 639-1 code; a language not listed is a family of its own.
@@ -111,42 +111,56 @@ class Model:
         return [self.languages[i] for i in lang], np.clip(pf[rows, best] * within[rows, lang], 0, 1)
 
 
-def _softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    w, b, vw, vb = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32), 0.0, 0.0
-    target = np.eye(k, dtype=np.float32)[y]
-    per = (len(y) / (k * np.maximum(np.bincount(y, minlength=k), 1))).astype(np.float32)[y][:, None]  # families weigh alike
+def _softmax(k: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression by gradient descent; k: inner products of the rows.  Returns each row's share in the weights, and the bias."""
+    a, b, va, vb = np.zeros((len(k), classes), np.float32), np.zeros(classes, np.float32), 0.0, 0.0
+    target = np.eye(classes, dtype=np.float32)[y]
+    per = (len(y) / (classes * np.maximum(np.bincount(y, minlength=classes), 1))).astype(np.float32)[y][:, None]  # families weigh alike
     for _ in range(rounds):
-        z = x @ w + b
+        z = k @ a + b
         e = np.exp(z - z.max(1, keepdims=True))
         g = (e / e.sum(1, keepdims=True) - target) * per / len(y)
-        vw, vb = 0.9 * vw - rate * (x.T @ g + decay * w), 0.9 * vb - rate * g.sum(0)
-        w, b = w + vw, b + vb
-    return w, b
+        va, vb = 0.9 * va - rate * (g + decay * a), 0.9 * vb - rate * g.sum(0)
+        a, b = a + va, b + vb
+    return a, b
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear support vector machine by subgradient descent on the hinge loss; y is 1 or -1."""
-    w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, 0.0, 0.0
+def _svm(k: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """A linear support vector machine by subgradient descent on the hinge loss; y is 1 or -1.  Returns as _softmax."""
+    a, b, va, vb = np.zeros(len(k), np.float32), 0.0, 0.0, 0.0
     per = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))).astype(np.float32)
     for _ in range(rounds):
-        g = np.where(y * (x @ w + b) < 1, -y * per, 0).astype(np.float32) / len(y)
-        vw, vb = 0.9 * vw - rate * (x.T @ g + decay * w), 0.9 * vb - rate * g.sum()
-        w, b = w + vw, b + vb
-    return w, float(b)
+        g = np.where(y * (k @ a + b) < 1, -y * per, 0).astype(np.float32) / len(y)
+        va, vb = 0.9 * va - rate * (g + decay * a), 0.9 * vb - rate * g.sum()
+        a, b = a + va, b + vb
+    return a, float(b)
+
+
+def drawn(labelled: DataFrame, per_lang: int, most: int) -> DataFrame | None:
+    """(lang, text): of the distinct texts of each language those of the smallest hashes, at most per_lang, and at most `most` of all.
+
+    Copies count once, so a text that a third of all rows hold takes one place.  None without a labelled row.
+    """
+    labelled = labelled.where("lang is not null and text is not null and trim(lang) <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not counts:
+        return None
+    share = max(1, min(per_lang, most // len(counts)))
+    wide = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, (1.2 * share + 100) / n))])  # a language at most once
+    few = labelled.where(F.shiftrightunsigned("h", 2) <= wide[F.col("lang")] * 2.0**62)
+    once = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 2), "h"))  # over some 1.2 share rows a language
+    return once.withColumn("rank", rank).where(F.col("rank") <= share).select("lang", "text")
 
 
 def train(labelled: DataFrame, per_lang: int = 700, most: int = 3000) -> Model | None:
-    """A model from rows (lang, text); at most about per_lang texts a language and `most` in all, drawn by a hash of the text.
+    """A model from rows (lang, text); of each language at most per_lang distinct texts, and `most` in all.
 
     The sample is the only bound; its n-gram histograms are made by the executors.  None without a labelled row.
     """
-    labelled = labelled.where("lang is not null and text is not null and trim(lang) <> ''").select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    chosen = drawn(labelled, per_lang, most)
+    if chosen is None:
         return None
-    share = min(per_lang, most // len(counts) or 1)
-    wanted = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, share / n))) for x, n in counts.items()])
-    drawn = labelled.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < wanted * (1 << 20)).limit(most)
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -154,7 +168,7 @@ def train(labelled: DataFrame, per_lang: int = 700, most: int = 3000) -> Model |
             packed = [_histogram(data[a:b]).astype(np.float16).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "x"])
 
-    rows = drawn.mapInArrow(histograms, "lang string, x binary").collect()
+    rows = chosen.mapInArrow(lean(histograms), "lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -166,13 +180,14 @@ def train(labelled: DataFrame, per_lang: int = 700, most: int = 3000) -> Model |
     families = sorted({family(n) for n in names})
     lang = np.array([names.index(r["lang"]) for r in rows])
     of = np.array([families.index(family(n)) for n in names])
-    w, b = _softmax(x, of[lang], len(families))
-    columns, bias = [*w.T], [*b]
+    products = x @ x.T  # there are fewer rows than n-grams, so descent goes by the rows
+    a, b = _softmax(products, of[lang], len(families))
+    columns, bias = [*(x.T @ a).T], [*b]
     pairs = [(i, j) for i, j in combinations(range(len(names)), 2) if of[i] == of[j]]
     for i, j in pairs:
-        own = (lang == i) | (lang == j)
-        w1, b1 = _svm(x[own], np.where(lang[own] == i, 1.0, -1.0).astype(np.float32))
-        columns.append(w1), bias.append(b1)
+        own = np.flatnonzero((lang == i) | (lang == j))
+        a1, b1 = _svm(products[np.ix_(own, own)], np.where(lang[own] == i, 1.0, -1.0).astype(np.float32))
+        columns.append(x[own].T @ a1), bias.append(b1)
     weights = np.stack(columns, 1) / (spread * np.sqrt(x.shape[1]))[:, None]
     return Model(families, names, pairs, weights.astype(np.float32), np.array(bias) - mean @ weights)
 
@@ -204,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 p = np.where(letters, q, 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(p)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(lean(score), schema)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -219,17 +234,22 @@ def identified(docs: DataFrame) -> DataFrame:
     return predict(rows, model).drop("text")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """docs whose language could be told (with at least that score); the others go.  Columns are those of docs.
+def accepted(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
+    """docs whose language could be told with at least that score; the others go.  Columns are those of docs, whatever their names.
 
-    Where no label is there to learn from nothing can be predicted: then only texts that are null or without a letter go.
+    A row without a language (lang null or blank) gets the predicted one, where docs has a text column lang.  Rows go
+    whose text is null or has no letter, or is too unlike every language that was learned; where no label is there to
+    learn from nothing can be predicted: then only the former go.  Repeated rows are judged each; an empty table gives
+    an empty result.
     """
     held = crc_mod("doc_id", 3) == 1
     model = train(docs.where(~held).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
-    names = [f"_{i}" for i in range(len(docs.columns))]  # columns may be called like those of a prediction
-    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("string"))
+    plain, at = positional(docs, "text", "lang")
+    plain = plain.withColumn("text", F.col(at["text"]).cast("string"))
     if model is None:
-        kept = plain.mapInArrow(_lettered, plain.schema)
-    else:
-        kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+        return named_back(plain.mapInArrow(lean(_lettered), plain.schema), docs)
+    kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    if docs.schema["lang"].dataType.simpleString() == "string":
+        lang = F.col(at["lang"])
+        kept = kept.withColumn(at["lang"], F.when(F.trim(lang) != "", lang).otherwise(F.col("lang_pred")))
+    return named_back(kept, docs)

@@ -9,12 +9,13 @@ works fragment by fragment:
    shared n-grams in global order: rare first, ties by hash.
 3. Linking texts share an n-gram of their prefixes (n - ceil(t n) + 1 first n-grams, unshared ones included), and their
    first one leaves room behind it for the overlap needed.  Candidates come from these postings.
-4. A candidate pair's overlap is counted in each fragment of the order separately and summed per pair.
+4. That order (rare n-grams first, ties by hash) is cut into fragments at fixed places; a candidate pair's overlap is
+   counted in each fragment separately and summed per pair.
 
 Only components are asked for, so texts that are linked already need no comparison: each round first compares every text
 of a posting list with one member of it (a star), merges what links, and only what is still apart in a list is compared
-pair by pair in the last round, where bitmaps of all n-grams rule most pairs out.  A thousand near copies cost a few thousand comparisons, and no link between different
-components is missed.
+pair by pair in the last round, where bitmaps of all n-grams rule most pairs out; a long list is dealt to several tasks
+there.  A thousand near copies cost a few thousand comparisons, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -24,32 +25,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Cache, cut, even_keys, group_starts, id_key, mix, pack_arrays, ranges, slices, text_bytes, unpack_arrays
+from .common import NO_ID, buffers, cut, even_keys, group_starts, id_key, lean, mix, named_back, pack_arrays, positional, ranges, release, slices, text_bytes, unpack_arrays, word_hashes, words_in
 from .components import components
 
 WORDS = 5
 PERCENT = 75
 _R = np.uint64(0x9E3779B97F4A7C15)
 SIGNATURE = 1024  # bits of a text's n-gram bitmap in the last round
-_LOW_BITS = 48  # sent per n-gram; the fragment's number holds the bits above
-_word_hash = Cache(xxhash.xxh64_intdigest)
+LIST = 4096  # members of a posting list that one task compares with all others of the list
 _PACKED = "bucket int, payload binary"
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: Where the global order is cut: below these (texts that have the n-gram, hash).
+PIVOTS = ((2, 1 << 62), (2, 2 << 62), (2, 3 << 62), (3, 0), (6, 0))
 
 
-def shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """All shingle hashes of the texts, one text after another and sorted within each without repeats, and their numbers."""
-    words, counts = [], []
-    for text in texts:
-        own = text.encode("utf-8", "surrogatepass").lower().split()  # A-Z only, as bytes
-        words += own
-        counts.append(len(own))
-    counts = np.array(counts, np.int64)
+    data, offsets = buffers(texts)
+    data = _LOWER[data]
+    start, end, counts = words_in(data, offsets)
+    h = word_hashes(data, start, end)
     starts = np.cumsum(counts) - counts
-    h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
     rolled = h[: max(0, len(h) - k + 1)].copy()
     for j in range(1, k if len(rolled) else 0):
         rolled = rolled * _R + h[j : j + len(rolled)]
@@ -78,18 +77,16 @@ def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 def _scatter(k: int, keys: list[int]):
-    """Texts to fragments: (classes, numbers of n-grams in the fragment, low bits of the n-grams), and sizes to class buckets."""
+    """Texts to ranges of the hash: (classes, numbers of n-grams in the range, the n-grams), and sizes to class buckets."""
     n = len(keys)
-    shift = np.uint64(64 - _LOW_BITS - 16)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most_bytes=6 << 20):
+        for batch in slices(batches, most_bytes=3 << 20):
             c1 = batch.column("c1").to_numpy(zero_copy_only=False)
             _, own = np.unique(c1, return_index=True)  # equal texts of the slice once
             c1 = c1[own]
-            value, sizes = shingle_hashes(batch.column("text").take(pa.array(own)).to_pylist(), k)
-            value >>= shift  # 64 bits: 16 of these choose the fragment
-            fragment = (value >> np.uint64(_LOW_BITS)).astype(np.int64) * n >> 16
+            value, sizes = shingle_hashes(batch.column("text").take(pa.array(own)), k)
+            fragment = ((value >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
             doc = np.repeat(np.arange(len(c1)), sizes)
             order = np.argsort(fragment.astype(np.int32), kind="stable")  # keeps documents, and values within them, in order
             value, doc, fragment = value[order], doc[order], fragment[order]
@@ -174,6 +171,7 @@ def _survivors(percent: int):
         owner = np.searchsorted(c, np.concatenate(owners)) if owners else none
         value = np.concatenate(values) if values else none.astype(np.uint64)
         df = np.concatenate(dfs) if dfs else none.astype(np.int32)
+        del owners, values, dfs, classes, sizes
         shared = np.bincount(owner, minlength=len(c))
         may = 100 * shared >= percent * n
         keep = may[owner]
@@ -183,21 +181,25 @@ def _survivors(percent: int):
         count = np.where(may, shared, 0)
         offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
         grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value.astype(np.int64)))
+        # how many of a text's n-grams lie below each pivot of the global order
+        ends = np.stack([np.bincount(owner[(df < d) | (df == d) & (value < np.uint64(v))], minlength=len(c)) for d, v in PIVOTS], 1).astype(np.int32)
+        ends = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(PIVOTS)), pa.array(ends.reshape(-1)))
         for i in range(0, len(c), 2000):
             part = slice(i, i + 2000)
-            yield pa.RecordBatch.from_arrays([pa.array(c[part]), pa.array(n[part].astype(np.int64)), grams.slice(i, len(c[part]))], ["c", "n", "grams"])
+            size = len(c[part])
+            yield pa.RecordBatch.from_arrays([pa.array(c[part]), pa.array(n[part].astype(np.int64)), grams.slice(i, size), ends.slice(i, size)], ["c", "n", "grams", "ends"])
 
     return gather
 
 
 def shared_grams(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> DataFrame:
-    """(c, n, grams) for every distinct text: hash of the text, size of its set, its shared n-grams if it may link."""
+    """Per distinct text c: its hash, n: size of its set, grams: its shared n-grams if it may link, ends: where PIVOTS cut these."""
     n = max(1, math.ceil(text_bytes(docs) / fragment_bytes))
     keys = even_keys(docs.sparkSession, n)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sent = docs.select(F.xxhash64(text).alias("c1"), text.alias("text")).mapInArrow(_scatter(k, keys), _PACKED)
-    answered = sent.repartition(n, "bucket").mapInArrow(_fragment(keys), _PACKED)
-    return answered.repartition(n, "bucket").mapInArrow(_survivors(percent), "c long, n long, grams array<long>")
+    sent = docs.select(F.xxhash64(text).alias("c1"), text.alias("text")).mapInArrow(lean(_scatter(k, keys)), _PACKED)
+    answered = sent.repartition(n, "bucket").mapInArrow(lean(_fragment(keys)), _PACKED)
+    return answered.repartition(n, "bucket").mapInArrow(lean(_survivors(percent)), "c long, n long, grams array<long>, ends array<int>")
 
 
 def _needed(na: Column, nb: Column, percent: int) -> Column:
@@ -205,10 +207,11 @@ def _needed(na: Column, nb: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (na + nb) / F.lit(100.0 + percent) - 1e-9)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps counted per fragment of the order, then summed per pair."""
-    segment = F.pmod(F.shiftright("g", 12), F.lit(fragments))
-    cuts = sets.select("c", "n", F.explode("grams").alias("g")).groupBy("c", "n", segment.alias("fragment")).agg(F.collect_list("g").alias("part"))
+    edges = F.concat(F.array(F.lit(0)), "ends", F.array(F.size("grams")))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(len(PIVOTS))), lambda i: F.slice("grams", F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i)))
+    cuts = sets.select("c", "n", F.posexplode(parts).alias("fragment", "part")).where(F.size("part") > 0)
     a = cuts.select(F.col("c").alias("a"), F.col("n").alias("na"), "fragment", F.col("part").alias("pa"))
     b = cuts.select(F.col("c").alias("b"), F.col("n").alias("nb"), "fragment", F.col("part").alias("pb"))
     partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("o"))
@@ -236,7 +239,7 @@ def _signatures(sets: DataFrame) -> DataFrame:
             np.bitwise_or.at(out, (np.repeat(np.arange(len(counts)), counts), ((value >> np.uint64(6)) % np.uint64(words)).astype(np.int64)), np.uint64(1) << (value & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(counts.astype(np.int64)), *(pa.array(w.astype(np.int64)) for w in out.T)], ["c", "shared", *(f"s{i}" for i in range(words))])
 
-    return sets.select("c", "grams").mapInArrow(sign, "c long, shared long, " + ", ".join(f"s{i} long" for i in range(words)))
+    return sets.select("c", "grams").mapInArrow(lean(sign), "c long, shared long, " + ", ".join(f"s{i} long" for i in range(words)))
 
 
 def _may_overlap(x: str, y: str, percent: int) -> Column:
@@ -245,36 +248,41 @@ def _may_overlap(x: str, y: str, percent: int) -> Column:
     return F.col(f"{x}.shared") + F.col(f"{y}.shared") - differ >= 2 * _needed(F.col(f"{x}.n"), F.col(f"{y}.n"), percent)
 
 
-def linked_classes(sets: DataFrame, percent: int = PERCENT, fragments: int = 4, star_rounds: int = 2) -> DataFrame:
+def linked_classes(sets: DataFrame, percent: int = PERCENT, star_rounds: int = 2) -> DataFrame:
     """(c, root) for the texts of `sets` that link with others; root is the smallest c of the component."""
     may = sets.where(F.size("grams") > 0)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - (F.col("n") - F.size("grams"))
     posting = may.select("c", "n", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", F.lit(1), prefix.cast("int"))).alias("i", "gram"))
     posting = cut(posting.select("gram", "c", "n", (F.col("shared") - F.col("i") - 1).alias("behind"), F.col("c").alias("label")))
-    roots = None
+    roots = known = None
     for round_ in range(star_rounds + 1):
         current = posting
         if roots is not None:
             moved = roots.select(F.col("node").alias("c"), F.col("root").alias("new"))
             current = posting.drop("label").join(moved, "c", "left").select("gram", "c", "n", "behind", F.coalesce("new", "c").alias("label"))
         order = F.xxhash64(F.lit(round_), "c") if round_ == 0 else F.xxhash64(F.lit(round_), "c", "gram")
-        open_ = current.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("c", "n", "behind", "label"), order).alias("hub"))
-        open_ = open_.where("lo < hi").select("gram", "hub")
+        open_ = current.groupBy("gram").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("c", "n", "behind", "label"), order).alias("hub"), F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts")
+        )
+        open_ = open_.where("lo < hi").select("gram", "hub", "parts")
+        apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & _fits("x", "y", percent)
+        signed = stuck = None
         if round_ < star_rounds:
             x, y = current.alias("x"), open_.select("gram", "hub.*").alias("y")
-        else:  # what is still apart: pair by pair, past a bitmap of all n-grams
-            current = cut(current.join(open_.select("gram"), "gram"))
-            signed = cut(_signatures(may.join(current.select("c").distinct(), "c", "left_semi")))
-            current = current.join(signed, "c")
-            x, y = current.alias("x"), current.alias("y")
-        apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & _fits("x", "y", percent)
-        if round_ == star_rounds:
-            apart &= (F.col("x.c") < F.col("y.c")) & _may_overlap("x", "y", percent)
+        else:  # what is still apart: pair by pair, past a bitmap of all n-grams, a long list part by part
+            stuck = cut(current.join(open_.select("gram", "parts"), "gram"))
+            signed = cut(_signatures(may.join(stuck.select("c").distinct(), "c", "left_semi")))
+            both = stuck.join(signed, "c")
+            x = both.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).alias("x")
+            y = both.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+            apart &= (F.col("x.part") == F.col("y.part")) & (F.col("x.c") < F.col("y.c")) & _may_overlap("x", "y", percent)
         pairs = x.join(y, apart).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-        links = cut(_verified(pairs, may, percent, fragments).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(links)
+        found = cut(_verified(pairs, may, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        links = found if roots is None else found.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        before, known = known, components(links)
+        roots = known.select("node", "root")
+        release(found, stuck, signed, before)
+    release(posting)
     return roots.select(F.col("node").alias("c"), "root")
 
 
@@ -289,11 +297,11 @@ def _classes(docs: DataFrame, k: int, percent: int, fragment_bytes: int) -> tupl
     return rows, known.join(least, "root").select("c", "n", "root", "own", "low")
 
 
-def _class() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _class(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_bytes: int = 16 << 20) -> DataFrame:
+def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_bytes: int = 8 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id reachable by links, itself included.
 
     A null or blank text has the empty set and links with nothing, not even its like.  A text of fewer than k words has
@@ -306,16 +314,18 @@ def linked(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_byt
     return rows.join(found.select("c", "n", "low"), "c").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def representatives(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_bytes: int = 16 << 20) -> DataFrame:
-    """docs with one row of each component, one of the smallest doc_id.  Columns are those of docs.
+def representatives(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, fragment_bytes: int = 8 << 20) -> DataFrame:
+    """docs with one row of each component, one of the smallest doc_id.  Columns are those of docs, whatever their names.
 
     Documents that link with nothing stay, each blank one included.  Where several texts of a component have the
     smallest doc_id, that of the smallest text hash stays; of equal rows one.
     """
+    plain, at = positional(docs, "doc_id", "text")
+    plain = plain.withColumn("id", id_key(at["doc_id"])).withColumn("c", _class(at["text"]))
     rows, found = _classes(docs, k, percent, fragment_bytes)
     first = found.where("own = low").groupBy("root").agg(F.min("c").alias("c")).select("c", F.lit(True).alias("first"))
     chosen = found.join(first, "c", "left").where("n = 0 or first").select("c", "n", "own")
-    kept = rows.join(chosen, "c").where("n = 0 or id = own").select(F.col("id").alias("_id"), F.col("c").alias("_c"), (F.col("n") == 0).alias("_blank")).distinct()
-    joined = docs.withColumn("_id", id_key()).withColumn("_c", _class()).join(kept, ["_id", "_c"])
-    one = joined.withColumn("_row", F.when(F.col("_blank"), F.monotonically_increasing_id()).otherwise(F.lit(0)))
-    return one.dropDuplicates(["_id", "_c", "_row"]).select(*docs.columns)
+    kept = rows.join(chosen, "c").where("n = 0 or id = own").select("id", "c", (F.col("n") == 0).alias("blank")).distinct()
+    joined = plain.join(kept, ["id", "c"])
+    one = joined.withColumn("row", F.when(F.col("blank"), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    return named_back(one.dropDuplicates(["id", "c", "row"]), docs)

@@ -3,8 +3,9 @@
 First-fit decreasing with a tournament tree of bin capacities, run independently in randomised groups of documents.
 A document longer than a sequence gives full pieces, which need no partner, and one rest; the rests of a group are
 sorted by length and each goes to the first bin with room, found by descending a tree whose inner nodes hold the
-largest free capacity below them.  Groups are drawn by a seeded hash, so each one holds a fair mixture of lengths, no
-group depends on any other, and its size is bounded by `group_docs` on average whatever the size of the corpus.
+largest free capacity below them.  A piece's group is drawn by a seeded hash of its place in the input, and there are
+enough groups for the most pieces that the bytes of the corpus can give: whatever its ids, texts and lengths, a group
+holds a fair mixture of lengths and at most about `group_pieces` pieces.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -22,60 +24,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, slices
+from .common import Cache, lean, slices
 
 EOS = 2
+_END = struct.pack("<I", EOS)
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_FINE = re.compile(rb"[a-z\x80-\xff]+|[^a-z\x80-\xff]+")
-_loaded: dict[str, Cache] = {}
+#: The pre-tokens of lower-cased text of which all characters above 127 are letters, as bytes; white space falls out.
+_PARTS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff\s]+")
+#: Letters that normalisation and lower-casing leave alone: a to z and the lower-case ones of Latin-1 and Latin Extended-A.
+_PLAIN = re.compile("[a-z" + "".join(c for c in map(chr, range(0xDF, 0x17F)) if c.islower()) + "]+")
+_tokenizers: dict[str, object] = {}
 
 
-def word_coder(path: str) -> Cache:
-    """Space-separated chunk (bytes) -> its ids as little-endian unsigned 32-bit bytes.
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write a byte: printable Latin-1 as itself, the others as the letters from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    Exact for tokenizers that drop white space and whose pre-tokens never span it: a text's ids are those of its
-    chunks, one after another.  A chunk of plain letters and ASCII marks is further cut where letters meet marks, so
-    that `word` and `word.` share an entry; one with an apostrophe, a special token or any other kind of character
-    is encoded whole.
-    """
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+_LETTER_OF = _byte_letters()
 
-        def encode(chunk: bytes) -> bytes:
-            return np.array(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-        fine = Cache(encode)
+def _tokenizer(path: str):
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
-        def chunk_ids(chunk: bytes) -> bytes:
-            if b"'" in chunk or b"<|" in chunk:
-                return encode(chunk)
-            parts = _FINE.findall(chunk.lower())
-            if not chunk.isascii() and not all(p.isascii() or p.decode().isalpha() for p in parts):
-                return encode(chunk)
-            return b"".join([fine[p] for p in parts])
 
-        _loaded[path] = Cache(chunk_ids)
-    return _loaded[path]
+class Coder:
+    """Texts to ids (little-endian unsigned 32-bit bytes), by a cache of pre-tokens whose bytes are bounded.
 
+    Exact for tokenizers that lower-case, drop white space and then split contractions, letters, single digits and
+    marks: the ids of a text are those of its pre-tokens, one after another.  Where a character above 127 is no letter,
+    the text is taken chunk by chunk between spaces and a chunk with such a character is encoded whole.
+    """
 
-def token_ids(text: str | None, path: str) -> bytes:
-    """The ids of one text with the end id, packed."""
-    coder = word_coder(path)
-    chunks = (text or "").encode("utf-8", "surrogatepass").replace(b"\n", b" ").split(b" ")
-    return b"".join([coder[c] for c in chunks]) + np.uint32(EOS).tobytes()
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.known = Cache(self._part, 56 << 20)
+        self.whole = Cache(self._encoded, 8 << 20)
+
+    def _encoded(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _part(self, part: bytes) -> bytes | None:
+        word = part.decode()
+        if part.isascii() and word.isprintable() or _PLAIN.fullmatch(word):
+            ids = [t.id for t in self.merges(word if part.isascii() else "".join([_LETTER_OF[b] for b in part]))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self._encoded(part) if word.isalpha() and word.lower().isalpha() else None
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of one text with the end id, packed."""
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        get = self.known.__getitem__
+        try:
+            if b"<|" in raw:
+                raise TypeError
+            return b"".join([*map(get, _PARTS.findall(raw.lower())), _END])
+        except TypeError:  # a special token, or a part that is not plain
+            out = []
+            for chunk in raw.replace(b"\n", b" ").split(b" "):
+                parts = [None] if b"<|" in chunk else [*map(get, _PARTS.findall(chunk.lower()))]
+                out.append(self.whole[chunk] if None in parts else b"".join(parts))
+            return b"".join([*out, _END])
 
 
 def pieces(docs: DataFrame, tokenizer: str, seq_len: int = 4096) -> DataFrame:
     """One row per piece: whole sequences of seq_len ids, then what is left.  A null text is empty: the end id alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        coder = Coder(tokenizer)
+        for batch in slices(batches, most_bytes=4 << 20):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = token_ids(text, tokenizer)
+                ids = coder.ids(text)
                 n = len(ids) // 4
                 for start in range(0, n, seq_len):
                     part = ids[4 * start : 4 * (start + seq_len)]
@@ -83,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, seq_len: int = 4096) -> DataFrame:
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], list(names))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(cut), _PIECES)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,28 +134,31 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, seq_len: int = 4096, group_docs: int = 8192, seed: int = 17) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, seq_len: int = 4096, group_pieces: int = 16_384, seed: int = 17) -> DataFrame:
     """Every id of every document in exactly one piece of one sequence of at most seq_len ids.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset; `offset` is gapless from 0 within a
-    sequence.  Null texts are empty documents (one end id); rows with the same or a null doc_id are packed like any
-    others; an empty table gives an empty result; other columns of docs are ignored.
+    sequence.  Null texts are empty documents (one end id); rows with the same or a null doc_id, and equal rows, are
+    packed like any others; an empty table gives an empty result; other columns of docs are ignored.  Which pieces
+    share a sequence depends on how the input is split, as groups are drawn by a row's place in it.
     """
-    groups = max(1, math.ceil(docs.select("doc_id").count() / group_docs))
-    cut = pieces(docs, tokenizer, seq_len)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(groups)).cast("long")
-    return cut.withColumn("pack_group", drawn).groupBy("pack_group").applyInPandas(placed(seq_len), _PIECES + ", sequence_id long, offset long")
+    size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0))
+    most = docs.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.floor(size / seq_len)), F.lit(0))).first()[0]  # a token has a byte or more
+    place = F.monotonically_increasing_id()
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(max(1, math.ceil(most / group_pieces)))).cast("long")
+    found = pieces(docs, tokenizer, seq_len).withColumn("place", place).withColumn("pack_group", drawn)
+    return found.groupBy("pack_group").applyInPandas(placed(seq_len), _PIECES + ", sequence_id long, offset long")
 
 
 def placed(seq_len: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["length", "place"], ascending=[False, True], kind="stable")
         full = int((group["length"] >= seq_len).sum())  # these come first and fill a bin each
         bins, offsets = first_fit_decreasing(group["length"].to_numpy()[full:], seq_len)
         base = int(group["pack_group"].iloc[0]) << 32
         group["sequence_id"] = base + np.concatenate((np.arange(full), full + bins))
         group["offset"] = np.concatenate((np.zeros(full, np.int64), offsets))
-        return group.drop(columns="pack_group")
+        return group.drop(columns=["pack_group", "place"])
 
     return place
 

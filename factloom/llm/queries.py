@@ -40,7 +40,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared(table(spark, sf_dir, "documents"))
+    return fingerprints.searched(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_quality, op9_sharding, op10_suffix_array_dedup)
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": rf"""
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+  items as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+  grams as (
+    select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as g
+    from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from items where len(w) > 0)
+  ),
+  sizes as (select distinct n from grams),
+  windows as (
+    select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as g
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, sizes where len(w) >= n)
+  ),
+  met as (select distinct doc_id, i, n, item_id from windows join grams using (n, g)),
+  hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from met) group by doc_id),
+  found as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct doc_id, item_id from met) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hit using (doc_id) left join found using (doc_id)
+""",
+    "op5_ngram_jaccard_join": rf"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+  grams as (
+    select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)
+  ),
+  sizes as (select doc_id, count(*) as n from grams group by doc_id),
+  pairs as (
+    select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as o from grams x join grams y on x.g = y.g and x.doc_id < y.doc_id group by all) p
+    join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * o >= 75 * (s.n + t.n - o)
+  ),
+  links as (select a, b from pairs union all select b, a from pairs),
+  reach as (select doc_id, doc_id as r from sizes union select l.b, r.r from reach r join links l on l.a = r.doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(c, doc_id) as component_id
+from words left join sizes using (doc_id) left join (select doc_id, min(r) as c from reach group by doc_id) using (doc_id)
+""",
+    "op7_substring_dedup": r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+  windows as (
+    select doc_id, i, array_to_string(w[i : i + 12], ' ') as g
+    from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words where len(w) > 12)
+  ),
+  firsts as (select g, min(doc_id) as d from windows group by g having min(doc_id) < max(doc_id)),
+  gone as (select distinct doc_id, unnest(range(i, i + 13)) as i from (select doc_id, i from windows join firsts using (g) where doc_id > d)),
+  units as (select doc_id, i, w[i] as s from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words)),
+  kept as (
+    select doc_id, count(*) filter (gone.i is not null) as n_removed, string_agg(s, ' ' order by units.i) filter (gone.i is null) as left_
+    from units left join gone using (doc_id, i) group by doc_id
+  )
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(left_, '')) as kept_sha256 from words left join kept using (doc_id)
+""",
+    "op10_suffix_array_dedup": r"""
+with texts as (select doc_id, encode(coalesce(text, '')) as x from documents),
+  units as (select doc_id, i, x[i : i] as s, case when octet_length(x) - i >= 49 then x[i : i + 49] end as g
+    from (select doc_id, x, unnest(range(1, octet_length(x) + 1)) as i from texts)),
+  firsts as (select g, min(doc_id) as d from units where g is not null group by g having min(doc_id) < max(doc_id)),
+  hits as (select doc_id, i, s, coalesce(d < doc_id, false) as hit from units left join firsts using (g)),
+  marks as (select doc_id, i, s, bool_or(hit) over (partition by doc_id order by i rows between 49 preceding and current row) as gone from hits),
+  runs as (select doc_id, i, s, gone, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from marks),
+  kept as (
+    select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, string_agg(hex(s), '' order by i) filter (not gone) as left_
+    from runs group by doc_id
+  )
+select doc_id, cast(octet_length(x) as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(left_, ''))) as kept_sha256
+from texts left join kept using (doc_id)
+""",
+}

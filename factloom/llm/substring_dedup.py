@@ -16,18 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Cache, class_key, classes, even_keys, group_starts, mix, ranges, slices, sliding_min, text_bytes, unpack_arrays
+from .common import NO_ID, SPACES, buffers, class_key, classes, even_keys, group_starts, lean, mix, ranges, slices, sliding_min, text_bytes, unpack_arrays, word_hashes, words_in
 from .superkmers import HITS, SENT, Outbox, covered, hit_rows, passed_on, runs
 
 WINDOW = 13
 _MINI = 3
 _LONGEST = 64
 _R = np.uint64(0x9E3779B97F4A7C15)
-_word_hash = Cache(xxhash.xxh64_intdigest)
 
 
 def _cut(window: int, keys: list[int]):
@@ -35,21 +33,21 @@ def _cut(window: int, keys: list[int]):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most_bytes=6 << 20):
-            ids = batch.column("first_id").to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            texts = batch.column("text").to_pylist()
-            words, counts = [], []
-            for i in order.tolist():
-                own = texts[i].encode("utf-8", "surrogatepass").split()
-                words += own
-                counts.append(len(own))
-            counts = np.array(counts)
-            c1, c2 = (batch.column(c).to_numpy(zero_copy_only=False)[order] for c in ("c1", "c2"))
-            ids = ids[order]
+            batch = batch.take(pa.array(np.argsort(batch.column("first_id").to_numpy(zero_copy_only=False), kind="stable")))
+            c1, c2, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("c1", "c2", "first_id"))
+            data, offsets = buffers(batch.column("text"))
+            at, end, counts = words_in(data, offsets)
             out = Outbox(keys)
-            n = len(words)
+            n = len(at)
             if n >= window:
-                h = np.fromiter(map(_word_hash.__getitem__, words), np.uint64, n)
+                h = word_hashes(data, at, end)
+                size = end - at + 1  # the words again, one space after each
+                stop = np.cumsum(size)
+                raw = np.full(int(stop[-1]), 32, np.uint8)
+                inside = ~SPACES[data]
+                raw[ranges(stop - size, size - 1)] = data[inside]
+                raw, open_, stop = raw.tobytes(), (stop - size).tolist(), (stop - 1).tolist()
+                del data, at, end, inside
                 m = window - wide + 1
                 g = h[: n - m + 1].copy()
                 for j in range(1, m):
@@ -64,7 +62,7 @@ def _cut(window: int, keys: list[int]):
                 local, last = first - starts[doc], first + count + window - 1
                 own = ids[doc].tolist()
                 for f, e, k, b, d, i, p in zip(first.tolist(), last.tolist(), count.tolist(), bucket.tolist(), doc.tolist(), own, local.tolist(), strict=True):
-                    out.add(b, d, i, p, k, b" ".join(words[f:e]))
+                    out.add(b, d, i, p, k, raw[open_[f] : stop[e - 1]])
             yield out.rows(c1, c2, ids, b"\n")
 
     return cut
@@ -123,8 +121,8 @@ def _count(window: int):
 
 def hits(found: DataFrame, window: int, buckets: int) -> DataFrame:
     """Per class (c1, c2) of `found` the packed hit windows of all its buckets."""
-    sent = found.mapInArrow(_cut(window, even_keys(found.sparkSession, buckets)), SENT)
-    counted = sent.repartition(buckets, "bucket").mapInArrow(_count(window), HITS)
+    sent = found.mapInArrow(lean(_cut(window, even_keys(found.sparkSession, buckets))), SENT)
+    counted = sent.repartition(buckets, "bucket").mapInArrow(lean(_count(window)), HITS)
     return counted.groupBy("c1", "c2").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -161,7 +159,7 @@ def removed(docs: DataFrame, window: int = WINDOW, bucket_bytes: int = 24 << 20,
             columns += [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)] + [pa.array(kept, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
-    by_class = marked.select("c1", "c2", "first_id", "text", "spans").mapInArrow(digest, schema)
+    by_class = marked.select("c1", "c2", "first_id", "text", "spans").mapInArrow(lean(digest), schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *class_key())
     copy = (F.coalesce("doc_id", F.lit(NO_ID)) > F.col("first_id")) & (F.col("n_words") >= window)  # wholly in the first of its class
     out = [

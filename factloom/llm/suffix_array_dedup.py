@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, buffers, class_key, classes, eight_bytes, even_keys, group_starts, id_key, mix, pack_arrays, ranges, six_bytes, slices, sliding_min, spans_of, text_bytes, unpack_arrays
+from .common import NO_ID, buffers, class_key, classes, eight_bytes, even_keys, group_starts, id_key, lean, mix, named_back, pack_arrays, positional, ranges, six_bytes, slices, sliding_min, spans_of, text_bytes, unpack_arrays
 from .superkmers import HITS, PACKED, SENT, Outbox, covered, gathered, hit_rows, packed_hits, passed_on, runs
 
 MATCH = 50
@@ -287,12 +287,12 @@ def hits(found: DataFrame, match: int, buckets: int) -> DataFrame:
     All three readers of `found` take all its columns, so its texts are shuffled once.
     """
     keys, gram = even_keys(found.sparkSession, buckets), min(_GRAM, match)
-    texts = found.select("c1", "c2", "first_id", "text").mapInArrow(_anchors(match, gram, keys), "bucket int, payload binary, c1 long, c2 int, shared binary")
-    counted = texts.repartition(buckets, "bucket").mapInArrow(lambda batches: packed_hits(_shared(batches), keys), PACKED)
-    shared = counted.repartition(buckets, "bucket").mapInArrow(gathered, HITS).select("c1", "c2", F.array("spans").alias("shared"))
-    sent = found.join(shared, ["c1", "c2"]).mapInArrow(_cut(match, gram, keys), SENT)
-    found = sent.repartition(buckets, "bucket").mapInArrow(_find(match, keys), PACKED)
-    return found.repartition(buckets, "bucket").mapInArrow(gathered, HITS).select("c1", "c2", F.array("spans").alias("spans"))
+    texts = found.select("c1", "c2", "first_id", "text").mapInArrow(lean(_anchors(match, gram, keys)), "bucket int, payload binary, c1 long, c2 int, shared binary")
+    counted = texts.repartition(buckets, "bucket").mapInArrow(lean(lambda batches: packed_hits(_shared(batches), keys)), PACKED)
+    shared = counted.repartition(buckets, "bucket").mapInArrow(lean(gathered), HITS).select("c1", "c2", F.array("spans").alias("shared"))
+    sent = found.join(shared, ["c1", "c2"]).mapInArrow(lean(_cut(match, gram, keys)), SENT)
+    found = sent.repartition(buckets, "bucket").mapInArrow(lean(_find(match, keys)), PACKED)
+    return found.repartition(buckets, "bucket").mapInArrow(lean(gathered), HITS).select("c1", "c2", F.array("spans").alias("spans"))
 
 
 def _by_class(docs: DataFrame, match: int, bucket_bytes: int, keep_text: bool) -> DataFrame:
@@ -321,7 +321,7 @@ def _by_class(docs: DataFrame, match: int, bucket_bytes: int, keep_text: bool) -
             columns += [pa.array(sha)] + [pa.array(kept, pa.string())] * keep_text
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
 
-    return marked.select("c1", "c2", "first_id", "text", "spans").mapInArrow(digest, schema)
+    return marked.select("c1", "c2", "first_id", "text", "spans").mapInArrow(lean(digest), schema)
 
 
 def removed(docs: DataFrame, match: int = MATCH, bucket_bytes: int = 16 << 20) -> DataFrame:
@@ -345,22 +345,20 @@ def removed(docs: DataFrame, match: int = MATCH, bucket_bytes: int = 16 << 20) -
 def deduplicated(docs: DataFrame, match: int = MATCH, bucket_bytes: int = 16 << 20) -> DataFrame:
     """docs with repeated strings cut out of their texts; documents of which nothing but white space is left go.
 
-    Columns are those of docs.  n_chars, where there is one, follows the text.  A character of which only some bytes
-    stay is left out.  Documents that lose nothing stay as they are, null and blank ones included.
+    Columns are those of docs, whatever their names.  n_chars, where there is one, follows the text.  A character of
+    which only some bytes stay is left out.  Documents that lose nothing stay as they are, null and blank ones and
+    repeated rows with one doc_id included.
     """
-    by_class = _by_class(docs, match, bucket_bytes, True).select("c1", "c2", *[F.col(c).alias(f"_{c}") for c in ("first_id", "n_bytes", "n_removed", "kept")])
-    others = [F.col(f.name) for f in docs.schema if f.name != "text"]
-    rows = docs.select(*others, id_key().alias("_id"), F.col("text").isNull().alias("_null"), *class_key())
-    copy = (F.col("_id") > F.col("_first_id")) & (F.col("_n_bytes") >= match)
-    text = F.when(F.col("_null"), F.lit(None).cast("string")).when(copy, F.lit("")).otherwise(F.col("_kept"))
-    joined = rows.join(by_class, ["c1", "c2"]).withColumn("_text", text).withColumn("_less", copy | (F.col("_n_removed") > 0))
-    joined = joined.where(~F.col("_less") | (F.trim(F.regexp_replace("_text", r"\s+", " ")) != ""))
-    out = []
-    for f in docs.schema:
-        if f.name == "text":
-            out.append(F.col("_text").cast(f.dataType).alias("text"))
-        elif f.name == "n_chars" and isinstance(f.dataType, T.IntegralType):
-            out.append(F.when(F.col("_less"), F.length("_text").cast(f.dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            out.append(F.col(f.name))
-    return joined.select(*out)
+    by_class = _by_class(docs, match, bucket_bytes, True).select("c1", "c2", "first_id", "n_bytes", "n_removed", "kept")
+    plain, at = positional(docs, "doc_id", "text", "n_chars")
+    text = F.col(at["text"])
+    rows = plain.withColumn("id", id_key(at["doc_id"])).select("*", text.isNull().alias("none"), *class_key(at["text"])).drop(at["text"])
+    copy = (F.col("id") > F.col("first_id")) & (F.col("n_bytes") >= match)
+    left = F.when(F.col("none"), F.lit(None).cast("string")).when(copy, F.lit("")).otherwise(F.col("kept"))
+    joined = rows.join(by_class, ["c1", "c2"]).withColumn("left", left).withColumn("less", copy | (F.col("n_removed") > 0))
+    joined = joined.where(~F.col("less") | (F.trim(F.regexp_replace("left", r"\s+", " ")) != ""))
+    joined = joined.withColumn(at["text"], F.col("left").cast(docs.schema["text"].dataType))
+    if "n_chars" in at and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
+        size = F.length("left").cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn(at["n_chars"], F.when(F.col("less"), size).otherwise(F.col(at["n_chars"])))
+    return named_back(joined, docs)

@@ -259,20 +259,49 @@ def test_quality_reads_long_words_whole(spark):
     got = quality.scored(docs, labels).toPandas()
     held = got[got.held_out]
     assert len(held) and held.score[held.doc_id % 2 == 1].min() > held.score[held.doc_id % 2 == 0].max()
-    for word in (texts[0], "x" * 63, draw("ab😀é", 700)):
-        text = f"<{word}>"
-        want = Counter(quality._gram_bucket(text[i : i + n]) for n in quality.SIZES for i in range(len(text) - n + 1))
-        want[2 + quality.xxhash.xxh64_intdigest(b"w" + word.encode()) % (quality.BUCKETS - 2)] += 1
-        for piece in (quality._PIECE, 100):
-            quality._PIECE, old = piece, quality._PIECE
-            counts = Counter()
-            for b, n in zip(*quality.long_features(word.encode())):
-                counts[int(b)] += int(n)
-            quality._PIECE = old
-            assert counts == want
-        bucket, weight = quality.histogram(f"one {word}")
-        one = Counter(quality.word_features(b"one")) + want + Counter(quality.pair_buckets(np.array([quality._hash[b"one"], quality._hash[word.encode()]], np.uint64)).tolist())
-        assert dict(zip(bucket.tolist(), weight.tolist())) == pytest.approx({b: n / sum(one.values()) for b, n in one.items()}, rel=1e-5)
+
+
+def test_quality_features_are_those_of_plain_code():
+    from collections import Counter
+
+    from factloom.llm import quality
+
+    rng = np.random.default_rng(4)
+    texts = ["one two  two\tthree", None, "", " x ", "你好" * 700 + " a", "é" * 45 + " " + "b" * 41, *("".join(rng.choice(list("ab cé\n"), 60)) for _ in range(20))]
+    adds = rng.normal(size=quality.ROWS).astype(np.float32)
+    together = quality.log_odds(texts, adds)
+    for text, got in zip(texts, together):
+        rows, share = quality.histogram(text)
+        words = (text or "").encode().split()
+        words = [w.decode() for w in words]
+        grams = sum(len(f" {w} ") - n + 1 for w in words for n in (2, 3, 4) if len(w) + 2 >= n) + sum(map(len, words))
+        shared = sum(1 for a, b in zip(re.findall(r"\S+", text or ""), re.findall(r"\S+", text or "")[1:]))
+        counts = Counter(dict(zip(rows.tolist(), np.rint(share * (grams + len(words) + shared)).astype(int).tolist())))
+        assert sum(counts.values()) == grams + len(words) + shared if words else rows.tolist() == [quality.EMPTY]
+        assert got == pytest.approx(float(adds[rows] @ share), abs=1e-5) and got == quality.log_odds([text], adds)[0]
+
+
+def test_language_sample_takes_copies_once(spark):
+    from factloom.llm import language_id
+
+    rows = [("en", f"text number {i}") for i in range(300)] + [("en", "one hot text")] * 1000 + [("fr", f"texte {i}") for i in range(40)] + [(None, "x"), ("de", None), (" ", "y")]
+    got = language_id.drawn(spark.createDataFrame(rows, "lang string, text string"), per_lang=50, most=100).collect()
+    assert len(got) == len({tuple(r) for r in got}) == 90 and {r["lang"] for r in got} == {"en", "fr"}
+    docs = spark.createDataFrame([(i, t, la, "clash") for i, (la, t) in enumerate(rows)], "doc_id long, text string, lang string, lang_pred string")
+    kept = language_id.accepted(docs)
+    assert kept.columns == docs.columns and {r["lang_pred"] for r in kept.collect()} == {"clash"}
+    assert kept.where("lang is null or lang = ' '").count() == 0
+
+
+def test_clashing_names_pass_through(spark):
+    from factloom.llm import decontamination, ngram_join, quality, suffix_array_dedup
+
+    docs = spark.createDataFrame([(d, t, "a", "b", "c", "d", "e", "f", "g") for d, t in EDGES], "doc_id long, text string, _id string, _c string, c1 string, spans string, _cut string, id string, n string")
+    items = spark.createDataFrame(BENCH, "item_id string, text string")
+    labels = spark.createDataFrame([(d, d % 2, 0) for d, _ in EDGES], "doc_id long, quality int, toxic int")
+    for out in (ngram_join.representatives(docs), suffix_array_dedup.deduplicated(docs), decontamination.clean(docs, items), quality.good(docs, labels)):
+        assert out.columns == docs.columns
+        assert {tuple(r)[2:] for r in out.collect()} <= {("a", "b", "c", "d", "e", "f", "g")}
 
 
 def test_sharding(spark, cases):
@@ -290,18 +319,89 @@ def test_sharding(spark, cases):
         assert all(c == brute.crc(text[d]) and s == len((text[d] or "").encode()) + 1 for d, c, s in zip(got.doc_id, got.text_crc32, got["size"]))
     plan = sharding.digest(frame(spark, EDGES))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+    many = frame(spark, [(d, f"text {d}") for d in range(500)])
+    one = rows(sharding.digest(many.repartition(7), bucket_rows=64), "doc_id", "shard", "slot")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows(sharding.digest(many.coalesce(1), bucket_rows=64), "doc_id", "shard", "slot") == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(a == b for a, b in zip([d for d, *_ in sorted(one, key=lambda r: (r[2], r[1]))], range(500))) < 50
+    hot = frame(spark, [(None, None)] * 400 + [(d, "x") for d in range(20)])
+    got = sharding.digest(hot, bucket_rows=32).toPandas()
+    assert len(got) == 420 and got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
+
+
+def test_written_shards(spark, tmp_path):
+    from factloom.llm import sharding
+
+    docs = frame(spark, EDGES)
+    sharding.write_shards(docs, f"{tmp_path}/shards", shards=3, bucket_rows=4)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert rows(back, *docs.columns) == rows(docs, *docs.columns) and back.select("shard").distinct().count() == 3
+
+
+def test_near_fingerprints_of_queries(spark):
+    from factloom.llm import fingerprints as fp
+
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(d, " ".join(words if d % 3 else [*words[: rng.integers(150, 200)], f"v{d}"])) for d in range(150)] + EDGES[:5]
+    got = fp.searched(frame(spark, docs)).toPandas()
+    ints = [int(x, 16) for x in got.fingerprint]
+    for d, x, n in zip(got.doc_id, ints, got.n_near):
+        assert n == sum((x ^ y).bit_count() <= 3 for y in ints) if d % 50 == 0 else np.isnan(n)
+
+
+def test_html_votes_of_a_host(spark):
+    from factloom.llm import html_extraction
+
+    said = lambda i: "".join(f"<p>Sentence {j} of page {i} says this and that.</p>" for j in range(4))
+    text = lambda i: " ".join(f"Sentence {j} of page {i} says this and that." for j in range(4))
+    html = [f"<body><div class='t{'abcdefghijkl'[k]}'><div class=story>{said(i)}</div><div class=box><a href=x>More links</a></div></div></body>" for i, k in enumerate([*range(12), *range(12)])]
+    html.append("<body><div class=ta><div class=story><p>Brief.</p></div><div class=box><p>A long box, longer than the story, on this page alone.</p></div></div></body>")
+    pages = spark.createDataFrame([(i, "http://one.b/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    paths = html_extraction.consensus(pages).collect()
+    assert len(paths) == 1 and len(paths[0]["paths"]) >= 12
+    for parts in ({}, {"broadcast_bytes": -1, "parts": 3}):
+        got = {r["page_id"]: r["text"] for r in html_extraction.extracted(pages, **parts).collect()}
+        assert {i: got[i] for i in range(24)} == {i: text(i) for i in range(24)} and got[24] == "Brief."
+    own = [(0, "http://two.b/", f"<article>{said(0)}<section class='related-work'><p>Others did so before.</p></section><math>x = 1</math><div class='related-posts'><a href=y>Other post</a></div></article>")]
+    assert html_extraction.extracted(spark.createDataFrame(own, pages.schema)).first()["text"] == text(0) + " Others did so before. x = 1"
 
 
 def test_pipeline(spark):
+    """Each stage after the first against brute force, on its own input."""
     import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, SF).toPandas()
-    assert len(out) and out.length.max() <= 4096
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, SF)
-        assert after.columns == docs.columns and after.count() <= docs.count()
-        docs = after
+    from factloom.llm.queries import table
+
+    docs = table(spark, SF, "documents")
+    kinds = docs.columns
+    bench = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language_id"](spark, docs, SF).toPandas()
+    assert set(first.doc_id) == {r["doc_id"] for r in docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    docs = spark.createDataFrame(first, docs.schema)
+    own = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    second = stages["ngram_jaccard_join"](spark, docs, SF).toPandas()
+    assert sorted(second.doc_id) == sorted(d for d, n, c in brute.jaccard_components(own) if d == c)
+    docs = spark.createDataFrame(second, docs.schema)
+    own = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    third = stages["suffix_array_dedup"](spark, docs, SF).toPandas()
+    left = {d: bytes(c for c, m in zip(u, mask) if not m).decode("utf-8", "ignore") if any(mask) else u.decode() for d, u, mask in brute._covered(own, lambda t: t.encode(), 50)}
+    assert dict(zip(third.doc_id, third.text)) == {d: t for d, t in left.items() if t.strip()}
+    docs = spark.createDataFrame(third, docs.schema)
+    fourth = stages["benchmark_decontamination"](spark, docs, SF).toPandas()
+    judged = {d: (n, hit) for d, n, hit, *_ in brute.decontaminate(list(zip(third.doc_id, third.text)), bench)}
+    assert set(fourth.doc_id) == {d for d, (n, hit) in judged.items() if not hit or hit < 0.5 * n}
+    assert all(t == u for d, t, u in zip(fourth.doc_id, fourth.text, fourth.doc_id.map(dict(zip(third.doc_id, third.text)))) if not judged[d][1])
+    assert list(fourth.columns) == kinds and all(n == len(t) for n, t in zip(fourth.n_chars, fourth.text))
+    fifth = stages["packing"](spark, spark.createDataFrame(fourth, docs.schema), SF).toPandas()
+    assert set(fifth.doc_id) == set(fourth.doc_id) and fifth.groupby("sequence_id").length.sum().max() <= 4096
+    assert corpus_pipeline.run(spark, SF).count() == len(fifth)
+    empty = table(spark, SF, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
 
 
 def test_pipeline_without_labels(spark, tmp_path):
