@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 LAW = "rows"
 
 
@@ -56,14 +58,15 @@ def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         again = F.xxhash64(F.lit(seed), "h", F.monotonically_increasing_id())
         rows = rows.withColumn("again", again).join(hot, "h", "left").withColumn("h", F.when(F.col("hot"), F.col("again")).otherwise(F.col("h"))).drop("hot", "again")
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    starts = _starts(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    starts = _starts(cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))))  # one row per bucket, read twice
     record = F.struct(own_key.alias("key"), F.xxhash64(own_text).alias("order"), F.struct(*names).alias("row"))
     dealt = rows.repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list(record).alias("records"))
+    # sorted, as the shuffle's random numbers go on from one bucket of a partition to the next
+    drawn = dealt.sortWithinPartitions("bucket").select("bucket", F.shuffle(F.sort_array("records"), seed).alias("records"))
     at = F.col("start") + F.col("pos")
     return (
-        dealt.join(starts, "bucket")
-        .sortWithinPartitions("bucket")  # the shuffle's random numbers go on from one bucket of a partition to the next
-        .select("start", F.posexplode(F.shuffle(F.sort_array("records"), seed)).alias("pos", "record"))
+        drawn.join(starts, "bucket")
+        .select("start", F.posexplode("records").alias("pos", "record"))
         .select("start", "pos", "record.row.*")
         .select(*back, (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
     )
