@@ -153,7 +153,7 @@ def drawn(labelled: DataFrame, per_lang: int, most: int) -> DataFrame | None:
     return once.withColumn("rank", rank).where(F.col("rank") <= share).select("lang", "text")
 
 
-def train(labelled: DataFrame, per_lang: int = 700, most: int = 3000) -> Model | None:
+def train(labelled: DataFrame, per_lang: int = 400, most: int = 1600) -> Model | None:
     """A model from rows (lang, text); of each language at most per_lang distinct texts, and `most` in all.
 
     The sample is the only bound; its n-gram histograms are made by the executors.  None without a labelled row.
@@ -172,13 +172,16 @@ def train(labelled: DataFrame, per_lang: int = 700, most: int = 3000) -> Model |
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    mean, spread = x.mean(0), x.std(0) + 1e-4
-    x -= mean
-    x /= spread * np.sqrt(x.shape[1])
     names = sorted({r["lang"] for r in rows})
-    families = sorted({family(n) for n in names})
     lang = np.array([names.index(r["lang"]) for r in rows])
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    while rows:  # one copy at a time
+        i = len(rows) - 1
+        x[i] = np.frombuffer(rows.pop()["x"], np.float16)
+    mean, spread = x.mean(0), np.concatenate([part.std(0) for part in np.split(x, 16, 1)]) + 1e-4
+    x -= mean
+    x /= spread * np.sqrt(BUCKETS)
+    families = sorted({family(n) for n in names})
     of = np.array([families.index(family(n)) for n in names])
     products = x @ x.T  # there are fewer rows than n-grams, so descent goes by the rows
     a, b = _softmax(products, of[lang], len(families))
@@ -188,7 +191,7 @@ def train(labelled: DataFrame, per_lang: int = 700, most: int = 3000) -> Model |
         own = np.flatnonzero((lang == i) | (lang == j))
         a1, b1 = _svm(products[np.ix_(own, own)], np.where(lang[own] == i, 1.0, -1.0).astype(np.float32))
         columns.append(x[own].T @ a1), bias.append(b1)
-    weights = np.stack(columns, 1) / (spread * np.sqrt(x.shape[1]))[:, None]
+    weights = np.stack(columns, 1) / (spread * np.sqrt(BUCKETS))[:, None]
     return Model(families, names, pairs, weights.astype(np.float32), np.array(bias) - mean @ weights)
 
 
