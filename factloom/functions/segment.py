@@ -40,7 +40,7 @@ def _kind(line: str, after_prose: bool) -> str:
 
 def _units(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, is prose) of each block."""
-    lines = text.splitlines(keepends=True) if "\r" not in text else re.findall(r"[^\n]*\n|[^\n]+", text)
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
     starts = [0]
     for line in lines:
         starts.append(starts[-1] + len(line))

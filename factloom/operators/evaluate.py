@@ -45,7 +45,7 @@ def bootstrap_poisson(rows: DataFrame, value: str, resamples: int = 2000, alpha:
     drawn = rows.select("id", F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("k", k)
     means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("x") * F.col("k")), F.sum("k")).alias("m"))
     ordered = means.agg(F.array_sort(F.collect_list("m")).alias("s"))
-    return ordered.select(F.get("s", F.lit(int(alpha * resamples))).alias("lo"), F.get("s", F.lit(int((1 - alpha) * resamples) - 1)).alias("hi"))
+    return ordered.select(F.get("s", F.lit(int(alpha * resamples))).alias("lo"), F.get("s", F.lit(min(int((1 - alpha) * resamples), resamples - 1))).alias("hi"))
 
 
 def recall_at(predictions: DataFrame, ks: list[int]) -> DataFrame:

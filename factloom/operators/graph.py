@@ -5,6 +5,7 @@ Edges are (name_a, name_b, weight) with name_a < name_b; links are distinct (fac
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
 import uuid
@@ -16,20 +17,34 @@ from pyspark.sql import functions as F
 # Weight bands of the confounding table, thresholds of the graph measures, power-law labels.
 BANDS = (("1", 1, 1), ("2-4", 2, 4), ("5-9", 5, 9), (">=10", 10, None))
 THRESHOLDS = (1, 2, 5, 10)
+_made: list[tuple] = []
+_own_dirs: dict[str, str] = {}
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: lineage of a loop ends here."""
+    """df written to the folder that all executors share and read back: lineage of a loop ends here; deleted when the driver ends."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="factloom-"))
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _delete_saved() -> None:
+    for spark, path in _made:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            return
+
+
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, root) of edges (u, v), root the smallest reachable node: minimum labels spread and jump until they rest."""
     both = edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
@@ -91,28 +106,40 @@ def significance(model: DataFrame) -> DataFrame:
     return model.withColumn("p", tail("weight", "expected"))
 
 
+def _running(counts: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """(column, _n) with _c, the running sum of _n in order of the column: per range of values, then over the ranges.
+
+    The ranges come from quantiles of the values, so they hold alike many, wherever the values lie.
+    """
+    counts = _saved(counts)
+    cuts = sorted(set(counts.approxQuantile(column, [i / parts for i in range(1, parts)], 0.001)))  # a fixed number of values
+    which = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col(column).cast("double")))
+    ranged = counts.withColumn("_r", which)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    heads = ranged.groupBy("_r").agg(F.sum("_n").alias("_t")).select("_r", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_own", F.sum("_n").over(Window.partitionBy("_r").orderBy(column)))
+    return own.join(heads, "_r").withColumn("_c", F.col("_own") + F.col("_before")).drop("_own", "_before")
+
+
 def benjamini_hochberg(edges: DataFrame) -> DataFrame:
     """Q values; ties of p share the value of the last of them.
 
-    The ranks of distinct p values are running counts.  p is rounded to 12 digits and cut into ranges, so that the
-    running counts and minima are per range and only the ranges' totals meet.
+    p is rounded to 12 digits.  Ranks of distinct p values are running counts and q a running minimum from above, both
+    per range of p values; only the ranges' totals meet.
     """
-    counted = edges.groupBy(F.round("p", 12).alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_r", F.floor(F.col("_p") * 256))
-    w = Window.partitionBy("_r").orderBy("_p")
-    inner = counted.withColumn("_c", F.sum("_n").over(w))
-    heads = counted.groupBy("_r").agg(F.sum("_n").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = counted.agg(F.sum("_n").alias("_all"))
-    raw = inner.join(heads.select("_r", "_before"), "_r").crossJoin(F.broadcast(total)).withColumn("_q", F.col("_p") * F.col("_all") / (F.col("_c") + F.col("_before")))
-    low = raw.groupBy("_r").agg(F.min("_q").alias("_m")).withColumn("_after", F.min("_m").over(Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)))
+    counted = _running(edges.groupBy(F.round("p", 12).alias("_p")).agg(F.count(F.lit(1)).alias("_n")), "_p")
+    total = edges.agg(F.count(F.lit(1)).alias("_all"))
+    raw = _saved(counted.crossJoin(F.broadcast(total)).withColumn("_q", F.col("_p") * F.col("_all") / F.col("_c")))
+    after = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    low = raw.groupBy("_r").agg(F.min("_q").alias("_m")).select("_r", F.min("_m").over(after).alias("_after"))
     q = F.least(F.min("_q").over(Window.partitionBy("_r").orderBy(F.desc("_p"))), F.coalesce("_after", F.lit(1.0)), F.lit(1.0))
-    done = raw.join(low.select("_r", "_after"), "_r").select("_p", F.greatest(q, F.lit(0.0)).alias("q"))
+    done = raw.join(low, "_r").select("_p", F.greatest(q, F.lit(0.0)).alias("q"))
     return edges.withColumn("_p", F.round("p", 12)).join(done, "_p").drop("_p")
 
 
 def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Ranks from 1, the mean of the tied."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counts.withColumn("_c", F.sum("_n").over(Window.orderBy(column)))  # distinct values only
+    ranked = _running(df.groupBy(column).agg(F.count(F.lit(1)).alias("_n")), column)
     return df.join(ranked.select(column, (F.col("_c") - (F.col("_n") - 1) / 2).alias(out)), column)
 
 
@@ -156,6 +183,12 @@ def top_edges(edges: DataFrame, n: int = 20) -> DataFrame:
     return edges.orderBy(F.desc("weight"), "name_a", "name_b").limit(n)
 
 
+def mid_band(edges: DataFrame, low: int, high: int, n: int = 20) -> DataFrame:
+    """Some edges of weight in [low, high), in the order of a hash."""
+    some = edges.where((F.col("weight") >= low) & (F.col("weight") < high))
+    return some.orderBy(F.md5(F.concat_ws("-", F.col("name_a").cast("string"), F.col("name_b").cast("string"))), "name_a", "name_b").limit(n)
+
+
 def hubs(links: DataFrame, n: int = 15) -> DataFrame:
     return degrees(links).orderBy(F.desc("k"), "name").limit(n)
 

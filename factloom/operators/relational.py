@@ -126,15 +126,14 @@ def id_kinds(ids: DataFrame, facts: DataFrame, concepts: DataFrame) -> DataFrame
 
 def ancestors(tree: DataFrame, start: int | str, most: int = 100) -> DataFrame:
     """The chain from the root to a node: (id, depth), depth 0 at the node itself."""
-    tree.createOrReplaceTempView("_factloom_tree")
-    spark = tree.sparkSession
-    value = f"'{start}'" if isinstance(start, str) else str(start)
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, parent_id, depth) AS (
-          SELECT id, parent_id, 0 FROM _factloom_tree WHERE id = {value}
+    return tree.sparkSession.sql(
+        """WITH RECURSIVE up(id, parent_id, depth) AS (
+          SELECT id, parent_id, 0 FROM {tree} WHERE id = :start
           UNION ALL
-          SELECT t.id, t.parent_id, u.depth + 1 FROM up u JOIN _factloom_tree t ON t.id = u.parent_id WHERE u.depth < {most} AND u.parent_id IS NOT NULL
-        ) SELECT id, min(depth) AS depth FROM up GROUP BY id ORDER BY depth DESC""")
+          SELECT t.id, t.parent_id, u.depth + 1 FROM up u JOIN {tree} t ON t.id = u.parent_id WHERE u.depth < :most AND u.parent_id IS NOT NULL
+        ) SELECT id, min(depth) AS depth FROM up GROUP BY id ORDER BY depth DESC""",
+        args={"start": start, "most": most}, tree=tree,
+    )
 
 
 def valid_parent(tree: DataFrame, node, parent) -> bool:
@@ -144,3 +143,34 @@ def valid_parent(tree: DataFrame, node, parent) -> bool:
     if node == parent or tree.where(F.col("id") == F.lit(parent)).isEmpty():
         return False
     return ancestors(tree, parent).where(F.col("id") == F.lit(node)).isEmpty()
+
+
+def fact_order(by_sources: bool) -> list[Column]:
+    """Facts with most sources first where asked (unknown counts last), then the newest."""
+    return [*([F.desc_nulls_last("source_count")] if by_sources else []), F.desc("created_at")]
+
+
+def part_order() -> list[Column]:
+    """Pages before all else, then by page number (none last), then by position."""
+    return [F.when(F.col("kind") == "page", 0).otherwise(1), F.asc_nulls_last("page_number"), F.asc("position")]
+
+
+def lateral_counts(outer: DataFrame, inner: DataFrame, keys: list[str], **counts: Column) -> DataFrame:
+    """Aggregates of the inner rows of each outer row; counts are 0 where there is none, other aggregates null."""
+    per = inner.groupBy(*keys).agg(*[c.alias(n) for n, c in counts.items()])
+    joined = outer.join(per, keys, "left")
+    zero = [n for n, c in counts.items() if "count" in str(c)]
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)) for n in zero})
+
+
+def lengths(df: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """Rows and the shortest and longest text of each class."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(F.length(text)).alias("shortest"), F.max(F.length(text)).alias("longest"))
+
+
+def search_any(df: DataFrame, needle: str, *columns: str) -> DataFrame:
+    """Rows with the needle in any of the columns, in whatever case; an empty needle matches all."""
+    hit = F.lit(needle == "")
+    for c in columns:
+        hit = hit | F.coalesce(contains_fold(F.col(c), needle), F.lit(False))
+    return df.where(hit)

@@ -166,49 +166,54 @@ def cover_density(lex: Column, words: list[str], weight: float = LABEL_WEIGHTS["
 # ---- J15, V3 - V5: nearest neighbours -------------------------------------------------------------------------------
 
 
-def neighbours(queries: DataFrame, items: DataFrame, k: int, minimum: float = -1.0, exclude_self: bool = True, repository: str | None = None, block: int = 4096, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def neighbours(queries: DataFrame, items: DataFrame, k: int, minimum: float = -1.0, exclude_self: bool = True, repository: str | None = None, block: int = 1024) -> DataFrame:
     """Exact top-k by cosine: (query_id, id, score, rank); ties by id.
 
-    Items are cut into blocks of rows as matrices; a block meets the queries, each pair of blocks is one matrix
-    product, and only its k best per query go on.  The queries are sent to all tasks in parts of a checked size.
+    Queries and items are dealt to blocks of about `block` rows by a hash of their id; each pair of blocks is one group
+    and one matrix product, and only its k best per query go on, so nothing passes through the driver.
     """
     k = max(1, k)
+    return _ranked(_blockwise(queries, items, k, minimum, exclude_self, repository, block), k)
+
+
+def pairs_above(items: DataFrame, minimum: float, block: int = 1024) -> DataFrame:
+    """All (query_id, id, score) of different items at or above the threshold, both ways."""
+    return _blockwise(items, items, None, minimum, True, None, block)
+
+
+def _blockwise(queries: DataFrame, items: DataFrame, k: int | None, minimum: float, exclude_self: bool, repository: str | None, block: int) -> DataFrame:
     keep = ["id", "embedding"] + ([repository] if repository else [])
-    dim = (queries.select(F.size("embedding").alias("d")).first() or [0])[0]
-    rows = queries.select(*keep).collect() if queries.count() * max(dim, 1) * 4 <= broadcast_bytes else None
+    n_q, n_i = (max(1, -(-df.count() // block)) for df in (queries, items))
+    own = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(*keep).withColumn("qb", own(queries, n_q)).withColumn("ib", every(n_i))
+    x = items.select(*keep).withColumn("ib", own(items, n_i)).withColumn("qb", every(n_q))
+    x = x.toDF(*[f"{c}_" for c in x.columns])  # both sides may be one table
     schema = f"query_id {queries.schema['id'].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, score double"
-    if rows is None:
-        parts = queries.select(*keep).randomSplit([1.0] * (1 + int(queries.count() * max(dim, 1) * 4 // broadcast_bytes)), seed=3)
-        out = None
-        for part in parts:
-            found = neighbours(part, items, k, minimum, exclude_self, repository, block, broadcast_bytes).drop("rank")
-            out = found if out is None else out.unionByName(found)
-        return _ranked(out, k)
-    q_ids = [r["id"] for r in rows]
-    q_repo = np.array([r[repository] for r in rows], object) if repository else None
-    q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-    q_norm = np.linalg.norm(q, axis=1)
-
-    def search(batches):
-        for pdf in batches:
-            for i in range(0, len(pdf), block):
-                some = pdf.iloc[i : i + block]
-                x = np.array(some["embedding"].tolist(), np.float64)
-                if not len(q_ids) or not x.size or x.shape[1] != q.shape[1]:
-                    continue
-                n = q_norm[:, None] * np.linalg.norm(x, axis=1)[None]
-                score = np.divide(q @ x.T, n, out=np.full(n.shape, -1.0), where=n > 0)
-                if exclude_self:
-                    score[np.array(q_ids, object)[:, None] == some["id"].to_numpy(object)[None]] = -np.inf
-                if repository:
-                    score[q_repo[:, None] != some[repository].to_numpy(object)[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(some["id"].to_numpy())), score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                a = np.repeat(np.arange(len(q_ids)), order.shape[1])
-                b = order.ravel()
-                good = score[a, b] >= max(minimum, -1.0)
-                yield pd.DataFrame({"query_id": np.array(q_ids)[a[good]], "id": some["id"].to_numpy()[b[good]], "score": score[a[good], b[good]]})
-
-    return _ranked(items.select(*keep).mapInPandas(search, schema), k)
+    empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    def meet(asked: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(some):
+            return empty
+        some = some.rename(columns=lambda c: c[:-1]).sort_values("id", kind="stable")
+        a, b = (np.array(df["embedding"].tolist(), np.float64) for df in (asked, some))
+        if a.ndim < 2 or b.ndim < 2 or a.shape[1] != b.shape[1]:
+            return empty
+        q_ids, ids = asked["id"].to_numpy(), some["id"].to_numpy()
+        n = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
+        score = np.divide(a @ b.T, n, out=np.full(n.shape, -1.0), where=n > 0)
+        out = score < max(minimum, -1.0)
+        if exclude_self:
+            out |= q_ids[:, None] == ids[None]
+        if repository:
+            out |= asked[repository].to_numpy()[:, None] != some[repository].to_numpy()[None]
+        if k is not None and k < len(ids):  # ids are in order, so equal scores keep it
+            best = np.argsort(np.where(out, np.inf, -np.round(score, 9)), axis=1, kind="stable")[:, k:]
+            np.put_along_axis(out, best, True, axis=1)
+        i, j = np.nonzero(~out)
+        return pd.DataFrame({"query_id": q_ids[i], "id": ids[j], "score": score[i, j]})
+
+    return q.groupBy("qb", "ib").cogroup(x.groupBy("qb_", "ib_")).applyInPandas(meet, schema)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

@@ -204,9 +204,9 @@ def u3_relation_count(t: Tables) -> DataFrame:
     return concepts.relation_count(concepts.relations(t.fact_concepts), NAME_A)
 
 
-@query("fact_concepts", sql=f"SELECT a.context, count(DISTINCT a.fact_id) AS shared, array_to_string(list(DISTINCT a.fact_id ORDER BY a.fact_id), ',') AS fact_ids FROM fact_concepts a JOIN fact_concepts b ON a.fact_id = b.fact_id AND a.name = '{NAME_A}' AND b.name = '{NAME_D}' GROUP BY ALL")
+@query("fact_concepts", sql=f"SELECT a.context, count(DISTINCT a.fact_id) AS shared, array_to_string(list(DISTINCT a.fact_id ORDER BY a.fact_id), ',') AS fact_ids FROM fact_concepts a JOIN fact_concepts b ON a.fact_id = b.fact_id AND a.name = '{NAME_D}' AND b.name = 'theaeati' GROUP BY ALL")
 def t22_relation_detail(t: Tables) -> DataFrame:
-    found = concepts.relation_detail(t.fact_concepts, NAME_A, NAME_D)
+    found = concepts.relation_detail(t.fact_concepts, NAME_D, "theaeati")
     return found.withColumn("fact_ids", F.array_join("fact_ids", ","))
 
 
@@ -307,9 +307,9 @@ def f2_full_text_or(t: Tables) -> DataFrame:
     return search.full_text(t.facts, F.col("text"), "tion erin or eren").select("fact_id")
 
 
-@query("facts", sql=f"SELECT fact_id FROM (SELECT fact_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS w FROM facts) WHERE contains(w, ' tion erin ') OR contains(w, ' eren tion ')")
+@query("facts", sql=f"SELECT fact_id FROM (SELECT fact_id, ' ' || array_to_string({_TOKENS}, ' ') || ' ' AS w FROM facts) WHERE contains(w, ' inoran inoran ') OR contains(w, ' hehely hehely ')")
 def f2_full_text_phrase(t: Tables) -> DataFrame:
-    return search.full_text(t.facts, F.col("text"), '"tion erin" or "eren tion"').select("fact_id")
+    return search.full_text(t.facts, F.col("text"), '"inoran inoran" or "hehely hehely"').select("fact_id")
 
 
 @query("facts", sql=f"SELECT fact_id, w AS lexeme, count(*) AS n FROM (SELECT fact_id, unnest({_TOKENS}) AS w FROM facts) WHERE w NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)}) GROUP BY ALL")
@@ -376,8 +376,8 @@ def r13_merged_queries(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    near = search.neighbours(t.vectors, t.vectors, 20, 0.3)
-    return near.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), "score").dropDuplicates(["a", "b"]).withColumn("cross", F.col("a") % 7 != F.col("b") % 7)
+    near = search.pairs_above(t.vectors, 0.3)
+    return near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score").where("a < b").withColumn("cross", F.col("a") % 7 != F.col("b") % 7)
 
 
 @query()
@@ -569,12 +569,6 @@ def p11_boilerplate(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", tx.is_boilerplate(F.col("text")).alias("boilerplate"), tx.is_insufficient(F.col("text")).alias("insufficient"))
 
 
-@query(sql="SELECT event_id, CASE WHEN e ILIKE '%upstream returned status 403%' THEN 'tls_fetch_403' WHEN e ILIKE '%context deadline exceeded%' THEN 'timeout' WHEN e = '' THEN 'no_error_field' ELSE 'other' END AS mode FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Upstream returned status 403 now' WHEN 1 THEN 'context deadline exceeded' WHEN 2 THEN '' ELSE 'boom' END AS e FROM events)")
-def p15_attempt_errors(t: Tables) -> DataFrame:
-    error = F.when(F.col("event_id") % 4 == 0, "Upstream returned status 403 now").when(F.col("event_id") % 4 == 1, "context deadline exceeded").when(F.col("event_id") % 4 == 2, "").otherwise("boom")
-    return t.raw("events").select("event_id", tx.attempt_error(error).alias("mode"))
-
-
 @query(sql="SELECT doc_id, sha256(text) AS fact_hash, sha256('u' || doc_id || text || lang) AS source_hash FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents)")
 def s11_content_hashes(t: Tables) -> DataFrame:
     d = t.raw("documents")
@@ -637,13 +631,10 @@ def e4_recall(t: Tables) -> DataFrame:
     return evaluate.recall_at(rows, [3, 10])
 
 
-@query(sql="SELECT n_nationkey AS subject, n_name AS name FROM nation WHERE contains(lower(n_name), 'an')")
-def e7_triples(t: Tables) -> DataFrame:
-    triples = t.raw("nation").select(F.col("n_nationkey").alias("subject"), F.col("n_name").alias("s"), F.lit("r").alias("r"), F.lit("o").alias("o"))
-    return evaluate.triples_with(triples, "AN").select("subject", F.col("s").alias("name"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest relations between concepts, with their band."""
     strong = concepts.relations(Tables(spark, sf_dir).fact_concepts).withColumn("band", tx.band(F.col("weight")))
     return relational.page(strong, F.desc("weight"), "name_a", "name_b", limit=100)
+
+
+from . import more_queries  # noqa: E402,F401 - registers more
