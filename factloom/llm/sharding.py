@@ -60,8 +60,8 @@ def shuffled(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     starts = _starts(cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))))  # one row per bucket, read twice
     record = F.struct(own_key.alias("key"), F.xxhash64(own_text).alias("order"), F.struct(*names).alias("row"))
-    dealt = rows.repartition(buckets, "bucket").groupBy("bucket").agg(F.collect_list(record).alias("records"))
-    # sorted, as the shuffle's random numbers go on from one bucket of a partition to the next
+    dealt = rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.collect_list(record).alias("records"))
+    # one bucket a partition; sorted all the same, as the random numbers go on within a partition
     drawn = dealt.sortWithinPartitions("bucket").select("bucket", F.shuffle(F.sort_array("records"), seed).alias("records"))
     at = F.col("start") + F.col("pos")
     return (
