@@ -264,17 +264,35 @@ def clustering(edges: DataFrame) -> DataFrame:
     return rows.select("name", "degree", "t", F.when(F.col("degree") > 1, 2.0 * F.col("t") / (F.col("degree") * (F.col("degree") - 1))).otherwise(F.lit(0.0)).alias("clustering"))
 
 
-def path_lengths(edges: DataFrame, starts: DataFrame, most: int = 30) -> DataFrame:
-    """Mean distance from some names (name) to all they reach: breadth-first frontiers as joins; one row."""
+def path_starts(edges: DataFrame, whole: int = 2000, drawn: int = 500) -> DataFrame:
+    """The names (name) of the giant component from which paths are measured: all of up to `whole`, else `drawn` of the smallest hashes."""
+    label = components(edges.select(F.col("name_a").alias("u"), F.col("name_b").alias("v")))
+    giant = label.groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "root").limit(1)
+    inside = _saved(label.join(F.broadcast(giant.select("root")), "root").select(F.col("node").alias("name")))
+    if inside.count() <= whole:
+        return inside
+    return inside.orderBy(F.md5(F.col("name").cast("string")), "name").limit(drawn)
+
+
+def path_lengths(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Mean distance from some names (name) to all they reach, and the longest: breadth-first frontiers as joins; one row.
+
+    A neighbour of a frontier lies in it, in the one before or in the next, so only these two are taken off.  Without a
+    path both values are null.
+    """
     both = _saved(edges.select(F.col("name_a").alias("u"), F.col("name_b").alias("v")).unionByName(edges.select(F.col("name_b").alias("u"), F.col("name_a").alias("v"))))
-    seen = _saved(starts.select(F.col("name").alias("start"), F.col("name").alias("u"), F.lit(0).alias("d")))
-    for step in range(1, most + 1):
-        new = seen.where(F.col("d") == step - 1).join(both, "u").select("start", F.col("v").alias("u")).distinct().join(seen.select("start", "u"), ["start", "u"], "left_anti").withColumn("d", F.lit(step))
-        new = _saved(new)
-        if new.isEmpty():
+    last = _saved(starts.select(F.col("name").alias("start"), F.col("name").alias("u")))
+    before, step, paths, total = last.limit(0), 0, 0, 0
+    while True:
+        new = last.join(both, "u").select("start", F.col("v").alias("u")).distinct()
+        new = _saved(new.join(last, ["start", "u"], "left_anti").join(before, ["start", "u"], "left_anti"))
+        n = new.count()
+        if not n:
             break
-        seen = seen.unionByName(new)
-    return seen.where("d > 0").agg(F.avg("d").alias("mean_path"), F.max("d").alias("diameter"))
+        step += 1
+        paths, total = paths + n, total + n * step
+        before, last = last, new
+    return edges.sparkSession.createDataFrame([(total / paths, step) if paths else (None, None)], "mean_path double, diameter int")
 
 
 def small_world(nodes: int, edges: int, mean_clustering: float, mean_path: float) -> float | None:

@@ -85,3 +85,14 @@ def test_bundle_round_trip(spark, tmp_path):
 def test_pages():
     assert pages.read_page("")["error"] == "empty input"
     assert pages.read_page("<html><body><nav>no</nav><article><p>Yes &amp; no</p></article></body></html>")["text"] == "Yes & no"
+
+
+def test_path_lengths_reach_to_the_end(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", 1) for i in range(40)]
+    edges = spark.createDataFrame([*chain, ("x", "y", 1)], "name_a string, name_b string, weight int")
+    starts = graph.path_starts(edges)
+    assert {r["name"] for r in starts.collect()} == {f"n{i:02d}" for i in range(41)}
+    one = graph.path_lengths(edges, starts.where("name = 'n00'")).first()
+    assert (one["mean_path"], one["diameter"]) == (pytest.approx(20.5), 40)
+    assert graph.path_starts(edges, whole=10, drawn=3).count() == 3
+    assert graph.path_lengths(edges, starts.limit(0)).first()["mean_path"] is None
