@@ -237,13 +237,14 @@ def identified(docs: DataFrame) -> DataFrame:
     return predict(rows, model).drop("text")
 
 
-def accepted(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
+def accepted(docs: DataFrame, least_score: float | None = None) -> DataFrame:
     """docs whose language could be told with at least that score; the others go.  Columns are those of docs, whatever their names.
 
-    A row without a language (lang null or blank) gets the predicted one, where docs has a text column lang.  Rows go
-    whose text is null or has no letter, or is too unlike every language that was learned; where no label is there to
-    learn from nothing can be predicted: then only the former go.  Repeated rows are judged each; an empty table gives
-    an empty result.
+    By default the least score is that of an even draw among the learned languages, so a text is not given up for being
+    short or mixed while one language is likelier than that.  A row without a language (lang null or blank) gets the
+    predicted one, where docs has a text column lang.  Rows go whose text is null or has no letter, or whose score is
+    too low; where no label is there to learn from nothing can be predicted: then only the former go.  Repeated rows
+    are judged each; an empty table gives an empty result.
     """
     held = crc_mod("doc_id", 3) == 1
     model = train(docs.where(~held).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
@@ -251,7 +252,8 @@ def accepted(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
     plain = plain.withColumn("text", F.col(at["text"]).cast("string"))
     if model is None:
         return named_back(plain.mapInArrow(lean(_lettered), plain.schema), docs)
-    kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    least = 1 / len(model.languages) - 1e-9 if least_score is None else least_score
+    kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     if docs.schema["lang"].dataType.simpleString() == "string":
         lang = F.col(at["lang"])
         kept = kept.withColumn(at["lang"], F.when(F.trim(lang) != "", lang).otherwise(F.col("lang_pred")))
