@@ -62,7 +62,8 @@ def _means(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nda
         number = np.maximum(lengths - n + 1, 0)
         whole = np.flatnonzero(number)
         for k in range(weights.shape[1]):
-            total = np.concatenate(([0.0], np.cumsum(weights[:, k].astype(np.float64)[bucket])))
+            total = np.zeros(len(bucket) + 1)
+            np.cumsum(weights[:, k][bucket], dtype=np.float64, out=total[1:])
             start = offsets[:-1][whole]
             out[whole, k] += (total[start + number[whole]] - total[start]) / number[whole]
     return out
@@ -163,7 +164,7 @@ def train(labelled: DataFrame, per_lang: int = 400, most: int = 1600) -> Model |
         return None
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=1 << 20):
             data, offsets = buffers(batch.column("text"))
             packed = [_histogram(data[a:b]).astype(np.float16).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], ["lang", "x"])
@@ -200,7 +201,7 @@ def _has_letter(text: str | None) -> bool:
 
 
 def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most_bytes=4 << 20):
+    for batch in slices(batches, most_bytes=1 << 20):
         yield batch.filter(pa.array([_has_letter(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
 
@@ -211,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most_bytes=4 << 20):
+        for batch in slices(batches, most_bytes=1 << 20):
             texts = batch.column("text")
             letters = [_has_letter(t) for t in texts.to_pylist()]
             lang, p = [UNKNOWN] * len(letters), np.zeros(len(letters))
@@ -249,12 +250,14 @@ def accepted(docs: DataFrame, least_score: float | None = None) -> DataFrame:
     held = crc_mod("doc_id", 3) == 1
     model = train(docs.where(~held).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     plain, at = positional(docs, "text", "lang")
-    plain = plain.withColumn("text", F.col(at["text"]).cast("string"))
+    own = docs.schema["text"].dataType.simpleString() == "string"  # then it goes to the workers and back once
+    plain = plain.withColumnRenamed(at["text"], "text") if own else plain.withColumn("text", F.col(at["text"]).cast("string"))
+    back = lambda df: named_back(df.withColumnRenamed("text", at["text"]) if own else df, docs)
     if model is None:
-        return named_back(plain.mapInArrow(lean(_lettered), plain.schema), docs)
+        return back(plain.mapInArrow(lean(_lettered), plain.schema))
     least = 1 / len(model.languages) - 1e-9 if least_score is None else least_score
     kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     if docs.schema["lang"].dataType.simpleString() == "string":
         lang = F.col(at["lang"])
         kept = kept.withColumn(at["lang"], F.when(F.trim(lang) != "", lang).otherwise(F.col("lang_pred")))
-    return named_back(kept, docs)
+    return back(kept)
