@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A missing doc_id counts as one identifier above all others.
@@ -209,6 +209,23 @@ def word_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return out
 
 
+def placed(df: DataFrame, group: list[str], order: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """df dealt by range and sorted by group and order, with `part` and `row` (its place there), and the segments of the parts.
+
+    A segment is what a part holds of a group: part, the group's columns, first (row), n, at (how many rows of the group
+    lie in earlier parts) and total (rows of the group), so a row's place in its group is row - first + at.  Neither a
+    group nor rows with equal keys need fit one part: ties are dealt by their place in df, which should be a stored table.
+    """
+    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = spread.repartitionByRange(parts, *group, *order, "_tie").sortWithinPartitions(*group, *order, "_tie").drop("_tie")
+    m = F.monotonically_increasing_id()
+    rows = cut(dealt.withColumn("m", m).withColumn("part", F.shiftright("m", 33).cast("int")).withColumn("row", F.col("m").bitwiseAND(F.lit(2**33 - 1))).drop("m"))
+    held = rows.groupBy("part", *group).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*group)  # at most a row for each part
+    before = own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, cut(held.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("total", F.sum("n").over(own)))
+
+
 def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_extraction, language_id, ngram_join, packing, quality, sharding, substring_dedup, suffix_array_dedup
+from . import decontamination, fingerprints, html_extraction, language_id, merkle, ngram_join, packing, quality, sharding, substring_dedup, suffix_array_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup.removed(table(spark, sf_dir, "documents"), match=50)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_quality, op9_sharding, op10_suffix_array_dedup)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_quality, op9_sharding, op10_suffix_array_dedup, op11_merkle_manifest)
 }
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text: eight steps of the polynomial for each character."""
+    step = "lambda x, _: xor(x >> 1, 3988292384 * (x & 1))"
+    chars = f"[cast(ord(c) as bigint) for c in str_split({text}, '') if c <> '']"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {chars}), lambda a, b: list_reduce(list_prepend(xor(a, b), [cast(0 as bigint), 0, 0, 0, 0, 0, 0, 0]), {step})), 4294967295)"
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -132,3 +143,35 @@ select doc_id, cast(octet_length(x) as bigint) as n_bytes, coalesce(n_removed, 0
 from texts left join kept using (doc_id)
 """,
 }
+
+
+def _merkle_sql(levels: int = 6, above: int = 5) -> str:
+    """Every level is a table of nodes; h is a node, n the number of nodes on its level.  `levels` is enough for 16^6 rows a source."""
+    field = lambda x: f"case when {x} is null then '-' else strlen(cast({x} as varchar)) || ':' || {x} end"
+    leaf = lambda text: "sha256(concat(" + ", ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    parts = [
+        f"""leaves as (select doc_id, coalesce('+' || source, '') as g, {leaf("text")} as leaf,
+          case when {crc32_sql("coalesce(cast(doc_id as varchar), '')")} % 5 = 0 then {leaf(lower)} else {leaf("text")} end as held from documents)""",
+        """p0 as (select *, leaf as h, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i0, count(*) over (partition by g) as n from leaves)""",
+        "t0 as (select g, i0 as i, n, h from p0)", "d0 as (select *, held as f, '' as proof from p0)",
+    ]
+    up = "case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h"
+    for k in range(levels + above):
+        if k == levels:  # the tree over the sources
+            parts.append(f"top as (select '' as g, row_number() over (order by g) - 1 as i, count(*) over () as n, h, g as source_key from t{k})")
+            parts.append(f"t{k}_ as (select g, i, n, h from top)")
+            parts.append(f"d{k}_ as (select d.* exclude (i{k}, g), top.i as i{k}, '' as g, top.h as subroot from d{k} d join top on top.source_key = d.g)")
+        t, d = (f"t{k}_", f"d{k}_") if k == levels else (f"t{k}", f"d{k}")
+        parts.append(f"t{k + 1} as (select g, i // 16 as i, (any_value(n) + 15) // 16 as n, {up} from {t} group by g, i // 16)")
+        parts.append(f"""x{k} as (select d.*, r.left_, r.right_ from {d} d, lateral (
+          select coalesce(string_agg(h, '' order by i) filter (i < d.i{k}), '') as left_, coalesce(string_agg(h, '' order by i) filter (i > d.i{k}), '') as right_
+          from {t} t where t.g = d.g and t.i // 16 = d.i{k} // 16) r)""")
+        parts.append(f"""d{k + 1} as (select * exclude (f, proof, left_, right_), i{k} // 16 as i{k + 1}, proof || left_ || right_ as proof,
+          case when left_ || right_ = '' and (select max(n) from {t} t where t.g = x{k}.g) = 1 then f else sha256(left_ || f || right_) end as f from x{k})""")
+    last = levels + above
+    return "with " + ",\n  ".join(parts) + f"""
+select doc_id, leaf, subroot, (select h from t{last}) as root, sha256(proof) as proof_sha256, f as folded_root, f = (select h from t{last}) as verified from d{last}"""
+
+
+ORACLES["op11_merkle_manifest"] = _merkle_sql()

@@ -106,3 +106,43 @@ def repeated_bytes(docs, n=50):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def merkle(docs, arity=16):
+    """docs: (doc_id, source, lang, n_chars, text).  Per row: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf = lambda row: sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([sha("".join(levels[-1][i : i + arity])) for i in range(0, len(levels[-1]), arity)])
+        return levels
+
+    def path(levels, i):
+        for nodes in levels[:-1]:
+            low = i // arity * arity
+            yield nodes[low:i], nodes[i + 1 : low + arity]
+            i //= arity
+
+    groups = {}
+    for row in docs:
+        groups.setdefault(row[1], []).append(row)
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in names:
+        groups[g].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {g: tree([leaf(r) for r in groups[g]]) for g in names}
+    top = tree([trees[g][-1][0] for g in names])
+    out = []
+    for k, g in enumerate(names):
+        for i, row in enumerate(groups[g]):
+            steps = [*path(trees[g], i), *path(top, k)]
+            held = row
+            if crc("" if row[0] is None else str(row[0])) % 5 == 0 and row[4] is not None:
+                held = (*row[:4], lower(row[4]))
+            now = leaf(held)
+            for left, right in steps:
+                now = sha("".join([*left, now, *right]))
+            proof = sha("".join(h for left, right in steps for h in (*left, *right)))
+            out.append((row[0], leaf(row), trees[g][-1][0], top[-1][0], proof, now, now == top[-1][0]))
+    return out
