@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_extraction, language_id, merkle, ngram_join, packing, quality, sharding, substring_dedup, suffix_array_dedup
+from . import decontamination, fingerprints, html_extraction, language_id, merkle, ngram_join, packing, prefix_trie, quality, sharding, substring_dedup, suffix_array_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_quality, op9_sharding, op10_suffix_array_dedup, op11_merkle_manifest)
+    f.__name__: f for f in (op1_packing, op2_decontamination, op3_language_id, op4_fingerprints, op5_ngram_jaccard_join, op6_html_extraction, op7_substring_dedup, op8_quality, op9_sharding, op10_suffix_array_dedup, op11_merkle_manifest, op13_conversation_prefix_trie)
 }
 
 def crc32_sql(text: str) -> str:
@@ -175,3 +179,24 @@ select doc_id, leaf, subroot, (select h from t{last}) as root, sha256(proof) as
 
 
 ORACLES["op11_merkle_manifest"] = _merkle_sql()
+ORACLES["op13_conversation_prefix_trie"] = rf"""
+with turns as (select conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as w
+    from conversations where conv_id is not null),
+  own as (select conv_id, list(k order by turn nulls first, k) as ks, list(w order by turn nulls first, k) as ws, {crc32_sql("cast(conv_id as varchar)")} % 4 as h from turns group by conv_id),
+  rebuilt as (
+    select o.conv_id, list_concat(coalesce(list_slice(d.ks, 1, o.h), []), list_slice(o.ks, o.h + 1, len(o.ks))) as ks, list_concat(coalesce(list_slice(d.ws, 1, o.h), []), list_slice(o.ws, o.h + 1, len(o.ws))) as ws
+    from own o left join own d on d.conv_id = o.conv_id - o.conv_id % 20
+  ),
+  prefixes as (select conv_id, d, list_slice(ks, 1, d) as p, case when d > 0 then ws[d] else 0 end as w, d = len(ks) as ends from (select *, unnest(range(0, len(ks) + 1)) as d from rebuilt)),
+  nodes as (
+    select d, p, min(conv_id) as conv_id, count(*) as n_convs, any_value(w) as w, string_agg(conv_id, ',' order by conv_id) filter (ends) as ids from prefixes group by d, p
+  ),
+  grown as (select d - 1 as d, list_slice(p, 1, d - 1) as p, count(*) as n_children from nodes where d > 0 group by 1, 2),
+  counted as (select n.*, coalesce(g.n_children, 0) as n_children from nodes n left join grown g using (d, p)),
+  below as (
+    select a.d, a.p, count(*) filter (b.n_children = 0) as n_leaves, cast(sum((b.n_convs - 1) * b.w) as bigint) as saved_tokens
+    from counted a join counted b on b.d >= a.d and list_slice(b.p, 1, a.d) = a.p group by a.d, a.p
+  )
+select n.conv_id, cast(n.d as bigint) as depth, u.conv_id as parent_conv_id, n.n_convs, n.n_children, b.n_leaves, b.saved_tokens, sha256(coalesce(n.ids, '')) as ends_sha256
+from counted n join below b using (d, p) left join nodes u on n.d > 0 and u.d = n.d - 1 and u.p = list_slice(n.p, 1, n.d - 1)
+"""

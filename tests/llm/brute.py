@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -146,3 +147,34 @@ def merkle(docs, arity=16):
             proof = sha("".join(h for left, right in steps for h in (*left, *right)))
             out.append((row[0], leaf(row), trees[g][-1][0], top[-1][0], proof, now, now == top[-1][0]))
     return out
+
+
+def prefix_trie(turns, span=20, most=4):
+    """turns: (conv_id, turn, role, text).  Per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    own = {}
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own.setdefault(conv, []).append(((turn is not None, turn or 0, digest), (role, text)))
+    for v in own.values():
+        v.sort(key=lambda x: x[0])
+    members, ends = {}, {}
+    for c in own:
+        h = crc(str(c)) % most
+        donor = [x for _, x in own.get(c - int(math.fmod(c, span)), [])]
+        seq = tuple(donor[:h] + [x for _, x in own[c]][h:])
+        for d in range(len(seq) + 1):
+            members.setdefault(seq[:d], []).append(c)
+        ends.setdefault(seq, []).append(c)
+    children = {}
+    for p in members:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    words = lambda p: len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in children.get(p, ())) or 1
+        saved[p] = (len(members[p]) - 1) * words(p) + sum(saved[k] for k in children.get(p, ()))
+    sha = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children.get(p, ())), leaves[p], saved[p], sha(ends.get(p, ()))) for p, m in members.items()]
