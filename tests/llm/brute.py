@@ -178,3 +178,39 @@ def prefix_trie(turns, span=20, most=4):
         saved[p] = (len(members[p]) - 1) * words(p) + sum(saved[k] for k in children.get(p, ()))
     sha = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
     return [(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children.get(p, ())), leaves[p], saved[p], sha(ends.get(p, ()))) for p, m in members.items()]
+
+
+def base_rules(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and the words."""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, repeated = {}, set()
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    for places in seen.values():
+        if len(places) > 1:
+            repeated |= {i + k for i in places for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), failed, w
+
+
+def likelihood_scores(docs, good, buckets, shrink=1.0):
+    """docs: (id, text); good: ids of trusted documents.  Per document the mean log ratio of its n-grams, None where base rules fail."""
+    import numpy as np
+    import xxhash
+
+    grams = []
+    for _, text in docs:
+        w = [x.encode() for x in base_rules(text)[-1]]
+        one = [xxhash.xxh64_intdigest(x, seed=42) for x in w]
+        grams.append([h % buckets for h in one] + [xxhash.xxh64_intdigest(b, seed=h) % buckets for h, b in zip(one, w[1:])])
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for (doc, _), g in zip(docs, grams):
+        np.add.at(raw, g, 1)
+        if doc in good:
+            np.add.at(target, g, 1)
+    p = raw / raw.sum()
+    with np.errstate(all="ignore"):
+        w = np.log((target + shrink * buckets * p) / ((target.sum() + shrink * buckets) * p)).astype(np.float32).astype(float)
+    return [None if base_rules(t)[5] else float(np.mean(w[g])) for (_, t), g in zip(docs, grams)]
