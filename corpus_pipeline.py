@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontamination, language_id, ngram_join, packing, suffix_array_dedup
+from factloom.llm import decontamination, language_filter, ngram_join, packing, suffix_array_dedup
 from factloom.llm.common import cut
 from factloom.llm.queries import table, tokenizer_path
 
@@ -18,8 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null or without a letter) go."""
-    return language_id.accepted(docs)
+    """Documents whose language cannot be told go: no letter, or letters too odd for the language predicted."""
+    return language_filter.accepted(docs)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

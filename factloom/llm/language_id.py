@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, crc_mod, lean, mix, named_back, positional, slices
+from .common import buffers, crc_mod, lean, mix, slices
 
 UNKNOWN = "und"
 # Language families by ISO 639-1 code; a language not listed is a family of its own.
@@ -154,12 +154,12 @@ def drawn(labelled: DataFrame, per_lang: int, most: int) -> DataFrame | None:
     return once.withColumn("rank", rank).where(F.col("rank") <= share).select("lang", "text")
 
 
-def train(labelled: DataFrame, per_lang: int = 400, most: int = 1600) -> Model | None:
-    """A model from rows (lang, text); of each language at most per_lang distinct texts, and `most` in all.
+def train(labelled: DataFrame, per_lang: int = 400, most: int = 1600, chosen: DataFrame | None = None) -> Model | None:
+    """A model from rows (lang, text); of each language at most per_lang distinct texts, and `most` in all, or from a drawn sample `chosen`.
 
     The sample is the only bound; its n-gram histograms are made by the executors.  None without a labelled row.
     """
-    chosen = drawn(labelled, per_lang, most)
+    chosen = drawn(labelled, per_lang, most) if chosen is None else chosen
     if chosen is None:
         return None
 
@@ -236,28 +236,3 @@ def identified(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     return predict(rows, model).drop("text")
-
-
-def accepted(docs: DataFrame, least_score: float | None = None) -> DataFrame:
-    """docs whose language could be told with at least that score; the others go.  Columns are those of docs, whatever their names.
-
-    By default the least score is that of an even draw among the learned languages, so a text is not given up for being
-    short or mixed while one language is likelier than that.  A row without a language (lang null or blank) gets the
-    predicted one, where docs has a text column lang.  Rows go whose text is null or has no letter, or whose score is
-    too low; where no label is there to learn from nothing can be predicted: then only the former go.  Repeated rows
-    are judged each; an empty table gives an empty result.
-    """
-    held = crc_mod("doc_id", 3) == 1
-    model = train(docs.where(~held).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
-    plain, at = positional(docs, "text", "lang")
-    own = docs.schema["text"].dataType.simpleString() == "string"  # then it goes to the workers and back once
-    plain = plain.withColumnRenamed(at["text"], "text") if own else plain.withColumn("text", F.col(at["text"]).cast("string"))
-    back = lambda df: named_back(df.withColumnRenamed("text", at["text"]) if own else df, docs)
-    if model is None:
-        return back(plain.mapInArrow(lean(_lettered), plain.schema))
-    least = 1 / len(model.languages) - 1e-9 if least_score is None else least_score
-    kept = predict(plain, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    if docs.schema["lang"].dataType.simpleString() == "string":
-        lang = F.col(at["lang"])
-        kept = kept.withColumn(at["lang"], F.when(F.trim(lang) != "", lang).otherwise(F.col("lang_pred")))
-    return back(kept)

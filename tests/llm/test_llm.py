@@ -282,17 +282,38 @@ def test_quality_features_are_those_of_plain_code():
 
 
 def test_language_sample_takes_copies_once(spark):
-    from factloom.llm import language_id
+    from factloom.llm import language_filter, language_id
 
     rows = [("en", f"text number {i}") for i in range(300)] + [("en", "one hot text")] * 1000 + [("fr", f"texte {i}") for i in range(40)] + [(None, "x"), ("de", None), (" ", "y")]
     got = language_id.drawn(spark.createDataFrame(rows, "lang string, text string"), per_lang=50, most=100).collect()
     assert len(got) == len({tuple(r) for r in got}) == 90 and {r["lang"] for r in got} == {"en", "fr"}
     docs = spark.createDataFrame([(i, t, la, "clash") for i, (la, t) in enumerate(rows)], "doc_id long, text string, lang string, lang_pred string")
-    kept = language_id.accepted(docs)
+    kept = language_filter.accepted(docs)
     assert kept.columns == docs.columns and {r["lang_pred"] for r in kept.collect()} == {"clash"}
     assert kept.where("lang is null or lang = ' '").count() == 0
 
 
+def test_language_filter_rejects_noise_and_unlearned_languages(spark):
+    """Learned from the table; what goes are noise and languages that are not in it, what stays short, clean and mixed texts."""
+    from factloom.llm import language_filter
+
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    noise = ["".join(rng.choice(letters, n)) for n in (40, 200, 5000)] + [" ".join("".join(rng.choice(letters, 6)) for _ in range(30))]
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Все люди рождаются свободными и равными в своем достоинстве и правах", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"]
+    docs = duckdb.sql("select doc_id, text, lang from '/root/testdata/sf0.01/documents.parquet' where text is not null").fetchall()
+    short = ["Ción de la.", "The of and", "qwx zzkj"]  # the last has under 12 bytes
+    by = {k: next(t for _, t, g in docs if g == k and 400 < len(t) < 2000) for k in ("en", "es", "fr", "de")}
+    mixed = [by["en"] + "\n" + by["es"], by["fr"] + " " + by["de"], by["es"][:60], by["de"][:30]]
+    extra = [(10**6 + i, t) for i, t in enumerate(noise + foreign)], [(2 * 10**6 + i, t) for i, t in enumerate(short + mixed)]
+    rows = docs + [(d, t, None) for group in extra for d, t in group]
+    got = {r["doc_id"]: r["lang"] for r in language_filter.accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not {d for d, _ in extra[0]} & set(got)
+    assert {d for d, _ in extra[1]} <= set(got) and None not in got.values()
+    lettered = {d for d, t, _ in docs if any(map(str.isalpha, t))}
+    assert len(lettered - set(got)) <= 0.002 * len(lettered)
+
+
 def test_clashing_names_pass_through(spark):
     from factloom.llm import decontamination, ngram_join, quality, suffix_array_dedup
 
@@ -380,7 +401,9 @@ def test_pipeline(spark):
     bench = [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()]
     stages = dict(corpus_pipeline.STAGES)
     first = stages["language_id"](spark, docs, SF).toPandas()
-    assert set(first.doc_id) == {r["doc_id"] for r in docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    lettered = {r["doc_id"] for r in docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))}
+    good = {r["doc_id"] for r in table(spark, SF, "labels").where("quality = 1").collect()}
+    assert set(first.doc_id) <= lettered and lettered & good <= set(first.doc_id) and len(first) >= 0.99 * len(lettered)
     docs = spark.createDataFrame(first, docs.schema)
     own = [(r["doc_id"], r["text"]) for r in docs.collect()]
     second = stages["ngram_jaccard_join"](spark, docs, SF).toPandas()
@@ -408,7 +431,7 @@ def test_pipeline_without_labels(spark, tmp_path):
     import corpus_pipeline
     from pyspark.sql import functions as F
 
-    from factloom.llm import language_id
+    from factloom.llm import language_filter
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -418,5 +441,5 @@ def test_pipeline_without_labels(spark, tmp_path):
     kept = {d for d, t in EDGES if t and any(map(str.isalpha, t))}
     held = [d for d in kept if zlib.crc32(str(d).encode()) % 3 == 1]
     for lang in (F.lit(None).cast("string"), F.lit(" "), F.when(F.col("doc_id").isin(held), "en")):
-        got = language_id.accepted(edge.withColumn("lang", lang))
+        got = language_filter.accepted(edge.withColumn("lang", lang))
         assert got.columns == edge.columns and {r["doc_id"] for r in got.collect()} == kept
