@@ -1,26 +1,29 @@
 """HTML extraction by consensus host paths.
 
 1. Every page is parsed once and its containers are scored; the page votes for the generalised tag-class path of the
-   container that holds its text.
-2. The votes are summed per host and path; a host's paths in order of their votes are its consensus.
-3. Every page is extracted again from the first of its host's paths that it has; a page with none uses its own.
+   container that holds its text, and reports each path's own text: its hash, and how much of it stands in links.
+2. Per host and path the votes are summed over distinct pages.  Paths whose text is the same on most pages, or is mostly
+   links, are boilerplate of that host, in whatever language their names are.
+3. Each page looks up the paths it has: the one with most votes is its container, the boilerplate among them is left out.
+   A page with none of the host's paths uses its own.
 
 Within the chosen container menus, headers, footers, sidebars, notices, adverts, forms, comments of readers, scripts and
 styles are left out.  A class or id name (or a form) marks such a part only while the page's text is elsewhere: a container
-that holds most of it stays, whatever its name.
+that holds most of it stays, whatever its name.  Parsing takes time in proportion to the page, however broken it is.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, slices
+from .common import class_key, cut, lean, release, slices
 
 _RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "object", "canvas", "audio", "video", "title")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,43 +31,50 @@ _CONTAINER = frozenset("html body div section article main aside header footer n
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre address figcaption caption summary legend hr br option".split())
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _DROPPED = frozenset("nav aside footer menu dialog button fieldset label input".split())
-#: Tokens of class and id names that mark what is not the article.
+#: Tokens of class and id names that mark what is not the article: English, German, French, Spanish.
 _MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored teaser nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar side aside footer foot masthead topbar cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup login register "
     "share sharing social related recommended recommendations popular trending comment comments commentlist respond reply replies disqus discussion form search popup modal "
-    "overlay widget widgets pagination pager toolbar tags taglist copyright legal disclaimer skip hidden".split()
+    "overlay widget widgets pagination pager toolbar tags taglist copyright legal disclaimer skip hidden "
+    "werbung anzeige anzeigen werbebanner seitenleiste randspalte fusszeile kopfzeile hinweis hinweise kommentar kommentare leserbrief leserbriefe leserkommentare anmelden anmeldung registrieren teilen verwandt empfehlungen suche impressum datenschutz "
+    "publicite annonce annonces pub encart pied barre laterale commentaire commentaires avis reponse reponses inscription connexion partage partager abonnement recherche mentions "
+    "anuncio anuncios publicidad patrocinado barra lateral pie aviso avisos comentario comentarios respuesta respuestas opiniones suscripcion suscribirse compartir relacionados relacionado buscar busqueda registro".split()
 )
 #: Those that an article may well use for its own parts: there they mark only what is mostly links.
-_WEAK = frozenset("related social discussion popular trending legal tags alert side skip hidden search register recommended widget overlay".split())
+_WEAK = frozenset("related social discussion popular trending legal tags alert side skip hidden search register recommended widget overlay avis mentions pie pied pub barre barra lateral laterale hinweis teilen verwandt suche opiniones relacionado relacionados".split())
 #: First words of names of what readers wrote, which can be longer than the article.
-_READERS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+_READERS = frozenset("comment comments commentlist respond reply replies disqus discussion kommentar kommentare leserkommentare leserbriefe commentaire commentaires reponses comentario comentarios respuestas".split())
 _MILD = "~"  # before the names of a container that only weak marks make boilerplate, within an article
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<raw>{'|'.join(_RAW)})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+#: A tag.  Nothing in it can match in two ways, and an unquoted `<` ends it, so a tag that never closes fails where the next begins.
+_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^'\"<>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+_LOOSE = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>[^<>]*+)>")
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in _RAW}
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What ends in a dash or underline and then five or more letters and digits that no word has: a digit, a capital inside, or no vowel.
+_MADE = re.compile(r"(?<=[-_])(?=[A-Za-z0-9]{5,}\b)(?:(?=[A-Za-z]*[0-9])|(?=[A-Za-z][a-z]*[A-Z])|(?=[^aeiouyAEIOUY]+\b))[A-Za-z0-9]+\b")
 
 
 class Node:
     """A container: its path step, its parent, whether it is boilerplate, and its text as (text, in a link, in prose) or children.
 
-    named: the names by which alone it is boilerplate, else ''.
+    key: a hash of its path.  named: the names by which alone it is boilerplate, else ''.
     """
 
-    __slots__ = ("dropped", "items", "named", "parent", "step", "tag")
+    __slots__ = ("dropped", "items", "key", "named", "parent", "step", "tag")
 
     def __init__(self, tag: str, step: str, parent: Node | None, dropped: bool, named: str = "") -> None:
         self.tag, self.step, self.parent, self.dropped, self.named, self.items = tag, step, parent, dropped or bool(named), "" if dropped else named, []
+        raw = step.encode("utf-8", "surrogatepass")
+        low, high = (parent.key >> 32, parent.key & 0xFFFFFFFF) if parent else (1, 2)
+        self.key = zlib.crc32(raw, low) << 32 | zlib.crc32(b"/" + raw, high)
+
 
-    @property
-    def path(self) -> str:
-        return f"{self.parent.path}/{self.step}" if self.parent else self.step
+def generalised(name: str) -> str:
+    """A class name without numbers and without what style tools make up."""
+    return re.sub(r"\d+", "#", _MADE.sub("#", name).lower())
 
 
 def _look(tag: str, attrs: str, within_article: bool) -> tuple[str, bool, str]:
@@ -73,7 +83,7 @@ def _look(tag: str, attrs: str, within_article: bool) -> tuple[str, bool, str]:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "class":
-            names = [re.sub(r"\d+", "#", c) for c in value.lower().split()[:2]]
+            names = [generalised(c) for c in value.split()[:2]]
         if key in ("class", "id"):
             words = {w.lower() for w in _WORDS.findall(value)}
             hits = words & _MARKS
@@ -88,74 +98,127 @@ def _look(tag: str, attrs: str, within_article: bool) -> tuple[str, bool, str]:
     return ".".join([tag, *names]), dropped and not exempt, ("" if strong else _MILD) + " ".join([tag, *said]) if marked and not exempt else ""
 
 
+def _tags(text: str) -> Iterator[tuple[int, int, str, bool, str, str]]:
+    """(start, end, tag, is an end tag, attributes, plain text) of all markup in order; tag is '' for comments and character data."""
+    at, last = 0, text.rfind(">")
+    while (at := text.find("<", at)) >= 0:
+        if text.startswith("<!--", at):
+            end = text.find("-->", at + 4)
+            end = len(text) if end < 0 else end + 3
+            yield at, end, "", False, "", ""
+        elif text.startswith("<![CDATA[", at):
+            end = text.find("]]>", at + 9)
+            yield at, len(text) if end < 0 else end + 3, "", False, "", text[at + 9 : len(text) if end < 0 else end]
+            end = len(text) if end < 0 else end + 3
+        elif at > last:  # no tag ends any more
+            return
+        elif text.startswith(("<!", "<?"), at):
+            end = text.find(">", at) + 1
+            yield at, end, "", False, "", ""
+        elif m := _TAG.match(text, at) or _LOOSE.match(text, at):
+            end, tag = m.end(), m["tag"].lower()
+            if tag in _RAW_END and not m["end"]:
+                close = _RAW_END[tag].search(text, end)
+                end = close.end() if close else len(text)
+                yield at, end, "", False, "", ""
+            else:
+                yield at, end, tag, bool(m["end"]), m["attrs"], ""
+        else:
+            end = at + 1
+        at = end
+
+
+class _Open:
+    """The open tags that are no containers, innermost last, with their numbers within each open container."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.levels: list[tuple[int, dict[str, int]]] = [(0, {})]  # where each container's tags begin, and how many of each there are
+        self.links = self.prose = 0
+
+    def push(self, tag: str) -> None:
+        self.tags.append(tag)
+        here = self.levels[-1][1]
+        here[tag] = here.get(tag, 0) + 1
+        self.links += tag == "a"
+        self.prose += tag in _PROSE
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.levels[-1][1][tag] -= 1
+        self.links -= tag == "a"
+        self.prose -= tag in _PROSE
+        return tag
+
+    def has(self, tag: str) -> bool:
+        return self.levels[-1][1].get(tag, 0) > 0
+
+    def close(self, tag: str) -> None:
+        while self.pop() != tag:
+            pass
+
+    def close_blocks(self, tag: str) -> None:
+        """What is open from the first paragraph on, or from the first list item where another begins."""
+        ends = [*_PROSE, tag] if tag in ("li", "dt", "dd") else _PROSE
+        while any(map(self.has, ends)):
+            self.pop()
+
+    def enter(self) -> None:
+        self.levels.append((len(self.tags), {}))
+
+    def leave(self) -> None:
+        while len(self.tags) > self.levels[-1][0]:
+            self.pop()
+        self.levels.pop()
+
+
 def parse(text: str) -> Node:
     """The tree of containers of a page, however broken its markup."""
     root = node = Node("", "", None, False)
-    inline: list[str] = []  # open tags that are no containers, innermost last
-    marks: list[int] = []  # len(inline) where each container began
-    at = links = 0
-    article = 0
+    inline = _Open()
+    depth: dict[str, int] = {}  # open containers by tag
+    at = article = 0
 
     def say(s: str) -> None:
         if s:
-            node.items.append((s, links > 0, any(t in _PROSE for t in inline)))
-
-    for m in _TOKEN.finditer(text):
-        say(text[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None:
-            say(m["cdata"])
-        if not m["tag"]:
-            continue
-        tag = m["tag"].lower()
-        if tag == "head":  # its end may be left out; what is text in it belongs to the body
+            node.items.append((s, inline.links > 0, inline.prose > 0))
+
+    for start, stop, tag, ends, attrs, plain in _tags(text):
+        say(text[at:start])
+        at = stop
+        say(plain)
+        if not tag or tag == "head":  # the head's end may be left out; what is text in it belongs to the body
             continue
         if tag in _BLOCK:
             say(" ")
-        if m["end"]:
-            if tag in _CONTAINER:
-                up = node
-                while up.parent is not None and up.tag != tag:
-                    up = up.parent
-                if up.parent is not None:
-                    while node is not up.parent:
-                        article -= node.tag in ("article", "main")
-                        node = node.parent
-                        del inline[marks.pop() :]
-                    links = inline.count("a")
-            elif tag in inline[marks[-1] if marks else 0 :]:
-                while inline.pop() != tag:
-                    pass
-                links = inline.count("a")
+        if ends:
+            if depth.get(tag):
+                closed = ""
+                while closed != tag:
+                    closed = node.tag
+                    depth[closed] -= 1
+                    article -= closed in ("article", "main")
+                    node = node.parent
+                    inline.leave()
+            elif tag not in _CONTAINER and inline.has(tag):
+                inline.close(tag)
         elif tag in _VOID:
             continue
-        elif tag in _CONTAINER:
-            if "p" in inline[marks[-1] if marks else 0 :]:
-                while inline.pop() != "p":
-                    pass
-            if not m["attrs"].endswith("/"):
-                step, dropped, named = _look(tag, m["attrs"], article > 0)
+        elif tag in _CONTAINER or tag in ("button", "label"):
+            if tag in _CONTAINER and inline.has("p"):
+                inline.close("p")
+            if not attrs.endswith("/") or tag not in _CONTAINER:
+                step, dropped, named = _look(tag, attrs, article > 0) if tag in _CONTAINER else (tag, True, "")
                 child = Node(tag, step, node, dropped, named)
                 node.items.append(child)
                 node = child
                 article += tag in ("article", "main")
-                marks.append(len(inline))
-                links = inline.count("a")
+                depth[tag] = depth.get(tag, 0) + 1
+                inline.enter()
         else:
             if tag in _BLOCK:  # a new block ends an open paragraph and what is open in it
-                low = marks[-1] if marks else 0
-                for i in range(low, len(inline)):
-                    if inline[i] in _PROSE or inline[i] in ("li", "dt", "dd") and inline[i] == tag:
-                        del inline[i:]
-                        break
-                links = inline.count("a")
-            if tag in ("button", "label"):
-                child = Node(tag, tag, node, True)
-                node.items.append(child)
-                node, _ = child, marks.append(len(inline))
-            else:
-                inline.append(tag)
-                links += tag == "a"
+                inline.close_blocks(tag)
+            inline.push(tag)
     say(text[at:])
     _restore(root)
     return root
@@ -196,16 +259,20 @@ def _restore(root: Node) -> None:
         by = 1 if 4 * all_prose >= all_text else 0
         whole = weigh[id(scope)][by]
         groups: dict[str, list[Node]] = {}
-        articles: list[Node] = []
-        todo = [scope]
-        for node in todo:
+        within: dict[str, set[int]] = {}  # by group the innermost articles of the scope around its containers, or -1
+        articles: list[tuple[Node, int]] = []  # with the place of the article around each, or -1
+        todo = [(scope, -1)]
+        for node, around in todo:
             for x in node.items:
                 if isinstance(x, Node) and x.named and x.dropped:
                     groups.setdefault(x.named, []).append(x)
+                    within.setdefault(x.named, set()).add(around)
                 elif isinstance(x, Node) and not x.dropped:
-                    todo.append(x)
                     if x.tag in ("article", "main"):
-                        articles.append(x)
+                        articles.append((x, around))
+                        todo.append((x, len(articles) - 1))
+                    else:
+                        todo.append((x, around))
         held = {k: [sum(weigh[id(x)][i] for x in g) for i in range(3)] for k, g in groups.items()}
         left = whole - sum(h[by] for h in held.values())
         for key in sorted(groups, key=lambda k: (-held[k][by], k)):
@@ -213,12 +280,12 @@ def _restore(root: Node) -> None:
             own = held[key][by]
             if not own or linked > text and left:
                 continue
-            above = set()
-            for x in groups[key]:
-                while x is not None and id(x) not in above:
-                    above.add(id(x))
-                    x = x.parent
-            beside = any(id(a) not in above and 10 * weigh[id(a)][by] >= whole for a in articles)
+            above: set[int] = set()
+            for i in within[key]:
+                while i >= 0 and i not in above:
+                    above.add(i)
+                    i = articles[i][1]
+            beside = any(i not in above and 10 * weigh[id(a)][by] >= whole for i, (a, _) in enumerate(articles))
             words = _WORDS.findall(key.split(" ", 1)[-1])
             scarce = 10 if words and words[0] in _READERS else 4
             if scarce * left < whole if beside or scarce == 10 else 2 * own >= whole or scarce * left < whole:
@@ -278,8 +345,8 @@ def best(root: Node) -> tuple[str, float]:
     return path, held / whole if whole else 0.0
 
 
-def text_at(root: Node, path: str) -> str:
-    """The text of all containers with that path, in page order: blocks joined by one space."""
+def text_at(root: Node, path: str, without: frozenset[int] | set[int] = frozenset()) -> str:
+    """The text of all containers with that path, in page order: blocks joined by one space; containers whose key is in `without` are left out."""
     wanted = [s for s in path.split("/") if s]
     nodes = [root]
     for step in wanted:
@@ -298,7 +365,7 @@ def text_at(root: Node, path: str) -> str:
                 x = node.items[i]
                 i += 1
                 if isinstance(x, Node):
-                    if not x.dropped:
+                    if not x.dropped and x.key not in without:
                         stack.append((node, i))
                         node, i = x, 0
                 else:
@@ -307,51 +374,114 @@ def text_at(root: Node, path: str) -> str:
     return " ".join(_html.unescape("".join(parts)).split())
 
 
+def key_of(path: str) -> int:
+    """The key of the containers with that path."""
+    node = Node("", "", None, False)
+    for step in path.split("/"):
+        if step:
+            node = Node("", step, node, False)
+    return node.key
+
+
+def own_texts(root: Node) -> dict[int, tuple[int, int, int]]:
+    """Per path (by its key) of the page: a hash of the text its containers have themselves, and its characters outside and in links."""
+    found: dict[int, list[int]] = {}
+    todo = [root]
+    for node in todo:
+        mine = found.setdefault(node.key, [0, 0, 0])
+        for x in node.items:
+            if isinstance(x, Node):
+                todo.append(x)
+            elif not x[0].isspace():
+                words = " ".join(x[0].split())
+                mine[0] = zlib.crc32(words.encode("utf-8", "surrogatepass"), mine[0])
+                mine[2 if x[1] else 1] += len(words)
+    return {k: tuple(v) for k, v in found.items()}
+
+
 def host(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "html"):
-        paths, votes = zip(*(best(parse(h or "")) for h in batch.column("html").to_pylist()), strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(votes, pa.float64())], ["host", "path", "vote"])
+_PAGE = ("host", "c1", "c2")
+_BLOCK_ROW = "host string, c1 long, c2 int, key long, path string, vote double, hash long, chars long, links long"
 
 
-def consensus(pages: DataFrame) -> DataFrame:
-    """(host, paths): all container paths that pages of the host voted for, most votes first; ties by path.
+def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in _BLOCK_ROW.split(", ")]
+    for batch in slices(batches, "html", 2 << 20):
+        rows = []
+        for *page, text in zip(*(batch.column(c).to_pylist() for c in (*_PAGE, "html")), strict=True):
+            root = parse(text or "")
+            path, share = best(root)
+            main = key_of(path) if path else None
+            for key, (h, chars, links) in own_texts(root).items():
+                rows.append((*page, key - 2**63, path if key == main else None, share if key == main else 0.0, h, chars, links))
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    Pages without a host vote together; an empty table gives an empty one.  The votes of a host are summed map-side
-    first, so a host that holds a third of all pages costs one row per path and input split.
+
+def reported(pages: DataFrame) -> DataFrame:
+    """What each distinct page says of its paths: host, c1, c2 (its key), key of the path, its vote and path if it is the page's own choice, text hash, chars, links.
+
+    Pages without a host report together.  Copies of a page meet map-side first and vote together, but are one page.
+    """
+    rows = pages.select(host().alias("host"), *class_key("html"), F.col("html").cast("string").alias("html"))
+    found = rows.mapInArrow(lean(_reports), _BLOCK_ROW).groupBy(*_PAGE, "key")
+    return found.agg(F.max("path").alias("path"), F.sum("vote").alias("vote"), *[F.max(c).alias(c) for c in ("hash", "chars", "links")])
+
+
+def consensus(reports: DataFrame, least_pages: int = 4, repeated: float = 0.6, linked: float = 0.7) -> DataFrame:
+    """(host, key, path, votes, boilerplate) of every path of a host; path and votes are null where no page chose it.
+
+    A path is boilerplate if at least least_pages pages of the host have text there and, for the share `repeated` of
+    them, it is the text of three pages or more, or if the share `linked` of its characters stands in links; not if half
+    of these pages chose it.  Sums by host and path are made map-side first, so a host may hold any share of the pages.
     """
-    voted = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(lean(_vote), "host string, path string, vote double")
-    summed = voted.where("path <> ''").groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path")))
-    return summed.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    same = reports.groupBy("host", "key", "hash").agg(F.sum(F.when(F.col("chars") + F.col("links") > 0, 1).otherwise(0)).alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum("vote").alias("votes"), F.max("path").alias("path"))
+    path = same.groupBy("host", "key").agg(
+        F.sum("n").alias("pages"), F.sum(F.when(F.col("n") >= 3, F.col("n")).otherwise(0)).alias("again"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.round(F.sum("votes"), 6).alias("votes"), F.max("path").alias("path")
+    )
+    poor = (F.col("again") >= repeated * F.col("pages")) | (F.col("links") >= linked * (F.col("chars") + F.col("links")))
+    boilerplate = (F.col("pages") >= least_pages) & poor & (F.col("votes") < 0.5 * F.col("pages"))
+    return path.select("host", "key", "path", F.when(F.col("path").isNotNull(), F.col("votes")).alias("votes"), boilerplate.alias("boilerplate"))
+
+
+def looked_up(reports: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, c1, c2, paths, without): of the paths that a page has those its host chose, most votes first (ties by path), and its boilerplate."""
+    met = reports.select(*_PAGE, "key").join(found.where("boilerplate or votes is not null"), ["host", "key"])
+    chosen = F.array_sort(F.collect_list(F.when(F.col("votes").isNotNull(), F.struct((-F.col("votes")).alias("less"), "path"))))
+    out = met.groupBy(*_PAGE).agg(chosen.alias("chosen"), F.collect_list(F.when(F.col("boilerplate"), F.col("key"))).alias("without"))
+    return out.select(*_PAGE, F.transform("chosen", lambda x: x["path"]).alias("paths"), "without")
 
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "html"):
+    for batch in slices(batches, "html", 2 << 20):
         out = []
-        for h, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
-            root = parse(h or "")
-            text = next((t for p in paths or () if (t := text_at(root, p))), None)
-            out.append(text_at(root, best(root)[0]) if text is None else text)
+        for h, paths, without in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "without")), strict=True):
+            root, gone = parse(h or ""), {k + 2**63 for k in without or ()}
+            path, text = next(((p, t) for p in paths or () if (t := text_at(root, p))), (None, None))
+            if text is None:
+                path = best(root)[0]
+                text = text_at(root, path)
+            if gone:  # unless the host's other pages are too unlike this one
+                less = text_at(root, path, gone)
+                text = less if 3 * len(less) >= len(text) else text
+            out.append(text)
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extracted(pages: DataFrame, broadcast_bytes: int = 16 << 20, parts: int = 16) -> DataFrame:
+def extracted(pages: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Per row of pages: page_id, url, text and n_chars.
 
     Null html is empty and gives an empty text; pages without a host (or url) vote together; repeated rows come out
-    each; an empty table gives an empty result; other columns are ignored.  The paths of all hosts are written first:
-    up to broadcast_bytes of them are broadcast; beyond that pages meet them by host and one of `parts` groups.
+    each; an empty table gives an empty result; other columns are ignored.  What a page looks up of its own paths is
+    written first and joined by page: broadcast up to broadcast_bytes, shuffled beyond.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
-    found = cut(consensus(pages))
-    size = found.agg(F.sum(F.octet_length("host") + F.aggregate("paths", F.lit(40).cast("long"), lambda n, p: n + F.octet_length(p) + 16))).first()[0] or 0
-    if size <= broadcast_bytes:
-        met = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        met = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int")).join(salted, ["host", "part"], "left")
-    return met.select("page_id", "url", "html", "paths").mapInArrow(lean(_take), "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"), *class_key("html"))
+    reports = cut(reported(pages))
+    found = cut(looked_up(reports, consensus(reports)))
+    release(reports)
+    size = found.agg(F.sum(F.octet_length("host") + 60 + 8 * F.size("without") + F.aggregate("paths", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p) + 16))).first()[0] or 0
+    met = rows.join(F.broadcast(found) if size <= broadcast_bytes else found, [*_PAGE], "left")
+    return met.select("page_id", "url", "html", "paths", "without").mapInArrow(lean(_take), "page_id long, url string, text string, n_chars long")
