@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Weight bands of the confounding table, thresholds of the graph measures, power-law labels.
@@ -32,17 +32,31 @@ def _saved(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored = path
+    return back
+
+
+def _drop(*tables: DataFrame | None) -> None:
+    """Delete the folders behind these results of _saved(), which no later plan reads; other tables are left alone."""
+    for path in {getattr(df, "_stored", None) for df in tables}:
+        for made in [m for m in _made if m[1] == path]:
+            _made.remove(made)
+            _delete(*made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        return
 
 
 @atexit.register
 def _delete_saved() -> None:
-    for spark, path in _made:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+    for made in _made:
+        _delete(*made)
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -197,11 +211,13 @@ def node_degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("name_a", "name_b")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def at_threshold(edges: DataFrame, w: int, total: int) -> DataFrame:
-    """Nodes with an edge of that weight, edges, and the rest as isolated."""
+def at_threshold(edges: DataFrame, w: int, links: DataFrame) -> DataFrame:
+    """Nodes with an edge of that weight, edges, and as isolated the rest of the names in links (name)."""
     kept = edges.where(F.col("weight") >= w)
     nodes = node_degrees(kept).agg(F.count(F.lit(1)).alias("nodes"))
-    return nodes.crossJoin(kept.agg(F.count(F.lit(1)).alias("edges"))).select(F.lit(w).alias("w"), "nodes", "edges", (F.lit(total) - F.col("nodes")).alias("isolated"))
+    total = links.agg(F.count_distinct("name").alias("total"))
+    both = nodes.crossJoin(kept.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(total)  # one row each
+    return both.select(F.lit(w).alias("w"), "nodes", "edges", (F.col("total") - F.col("nodes")).alias("isolated"))
 
 
 def degree_distribution(edges: DataFrame, low: int = 1) -> DataFrame:
@@ -317,10 +333,18 @@ def multi_context(links: DataFrame) -> DataFrame:
 
 
 def source_centrality(edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Per source its facts and the mean degree of its names; and the two correlations over sources."""
+    """Per source its facts and the mean degree of its names."""
     nodes = node_degrees(edges)
-    per = links.join(nodes, "name").groupBy("source_id").agg(F.count_distinct("fact_id").alias("facts"), F.avg("degree").alias("mean_degree"))
-    return per
+    return links.join(nodes, "name").groupBy("source_id").agg(F.count_distinct("fact_id").alias("facts"), F.avg("degree").alias("mean_degree"))
+
+
+def centrality_correlations(per_source: DataFrame, least: int = 10) -> DataFrame:
+    """(sources, pearson, spearman) of facts and mean degree over the sources; null below `least` sources.  Degrees tie by 9 digits."""
+    per_source = _saved(per_source)
+    plain = per_source.agg(F.count(F.lit(1)).alias("sources"), F.corr(F.col("facts").cast("double"), F.col("mean_degree")).alias("pearson"))
+    ranks = spearman(per_source.select("facts", F.round("mean_degree", 9).alias("mean_degree")), "facts", "mean_degree")
+    enough = lambda c: F.when(F.col("sources") >= least, F.col(c))
+    return plain.crossJoin(ranks.select(F.col("rho").alias("spearman"))).select("sources", enough("pearson").alias("pearson"), enough("spearman").alias("spearman"))
 
 
 def fragmentation(concepts: DataFrame, aliases: DataFrame, edges: DataFrame, qualifiers: tuple[str, ...] = ()) -> DataFrame:

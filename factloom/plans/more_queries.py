@@ -294,7 +294,7 @@ def t14_candidates(t: Tables) -> DataFrame:
 
 @query(sql="""WITH n AS (SELECT DISTINCT regexp_extract(p_name, '[a-zA-Z]+') AS w, p_partkey FROM part), c AS (SELECT s_suppkey AS concept_id, n_name AS name, s_suppkey % 3 AS created FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 m AS (SELECT c_custkey AS fact_id, CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' ELSE n_name END AS mention FROM customer JOIN nation ON n_nationkey = c_nationkey), met AS (SELECT m.fact_id, m.mention, c.concept_id, c.created, CASE WHEN m.fact_id % 5 = 0 THEN NULL ELSE list_cosine_similarity(f.embedding::DOUBLE[], g.embedding::DOUBLE[]) END AS s
-FROM m LEFT JOIN c ON c.name = m.mention LEFT JOIN embeddings f ON f.vec_id = m.fact_id % 500 LEFT JOIN embeddings g ON g.vec_id = c.concept_id % 500),
+FROM m LEFT JOIN c ON c.name = m.mention LEFT JOIN embeddings f ON f.vec_id = m.fact_id % (SELECT count(*) FROM embeddings) LEFT JOIN embeddings g ON g.vec_id = c.concept_id % (SELECT count(*) FROM embeddings)),
 r AS (SELECT *, count(concept_id) OVER (PARTITION BY fact_id) AS n, row_number() OVER (PARTITION BY fact_id ORDER BY coalesce(s, -1) DESC, created, concept_id) AS k FROM met)
 SELECT fact_id, mention, CASE WHEN n > 1 AND fact_id % 5 = 0 THEN NULL ELSE concept_id END AS concept_id, CASE WHEN n = 0 THEN 'miss' WHEN n > 1 AND fact_id % 5 = 0 THEN 'deferred' ELSE 'linked' END AS outcome FROM r WHERE k = 1""")
 def t16_disambiguation(t: Tables) -> DataFrame:
@@ -305,7 +305,8 @@ def t16_disambiguation(t: Tables) -> DataFrame:
     met = t.raw("customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
     mentions = met.select(F.col("c_custkey").alias("fact_id"), F.lit("r").alias("repository_id"), F.lit("C").alias("context"), F.when(F.col("c_custkey") % 7 == 0, "nowhere").otherwise(F.col("n_name")).alias("mention"))
     vectors = t.raw("embeddings")
-    of = lambda df, key: df.select(F.col(key), (F.col(key) % 500).alias("vec_id")).join(vectors, "vec_id").select(key, "embedding")
+    number = vectors.count()
+    of = lambda df, key: df.select(F.col(key), (F.col(key) % number).alias("vec_id")).join(vectors, "vec_id").select(key, "embedding")
     return concepts.route(mentions, names, of(known, "concept_id"), of(mentions.where("fact_id % 5 <> 0"), "fact_id"))
 
 

@@ -467,9 +467,9 @@ def g8_hubs(t: Tables) -> DataFrame:
 _ENDS = "(SELECT unnest([name_a, name_b]) AS name FROM edges WHERE weight >= {w})"
 
 
-@query(sql=_EDGES + f" SELECT 2 AS w, count(DISTINCT name) AS nodes, count(*) // 2 AS edges, 2000 - count(DISTINCT name) AS isolated FROM {_ENDS.format(w=2)}")
+@query(sql=_EDGES + f" SELECT 2 AS w, count(DISTINCT name) AS nodes, count(*) // 2 AS edges, (SELECT count(DISTINCT name) FROM op) - count(DISTINCT name) AS isolated FROM {_ENDS.format(w=2)}")
 def g9_at_threshold(t: Tables) -> DataFrame:
-    return graph.at_threshold(_edges(t), 2, 2000)
+    return graph.at_threshold(_edges(t), 2, t.orders_parts)
 
 
 @query(sql=_EDGES + f" SELECT round(avg(d), 6) AS mean, max(d) AS max, median(d) AS median, round(1 + count(*) / sum(ln(d / 0.5)), 6) AS alpha_mle FROM (SELECT name, count(*) AS d FROM {_ENDS.format(w=1)} GROUP BY 1)")
@@ -515,6 +515,16 @@ def g16_source_centrality(t: Tables) -> DataFrame:
     return graph.source_centrality(edges, t.fact_concepts).withColumn("mean_degree", F.round("mean_degree", 6))
 
 
+@query(sql=_LINKS + """, deg AS (SELECT name, count(*) AS degree FROM (SELECT unnest([name_a, name_b]) AS name FROM pairs WHERE weight >= 2) GROUP BY 1),
+per AS (SELECT source_id, count(DISTINCT fact_id) AS x, avg(degree) AS y FROM fact_concepts JOIN deg USING (name) GROUP BY 1),
+r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY round(y, 9)) - 1) / 2 AS ry FROM per)
+SELECT count(*) AS sources, CASE WHEN count(*) >= 10 THEN round(corr(x, y), 6) END AS pearson, CASE WHEN count(*) >= 10 THEN round(corr(rx, ry), 6) END AS spearman FROM r""")
+def g16_centrality_correlations(t: Tables) -> DataFrame:
+    edges = concepts.relations(t.fact_concepts).where("weight >= 2")
+    found = graph.centrality_correlations(graph.source_centrality(edges, t.fact_concepts))
+    return found.select("sources", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
 _HEADS = "n AS (SELECT DISTINCT array_to_string(string_split(lower(text), ' ')[1:k], ' ') AS b FROM facts, range(1, 4) r(k))"
 
 
@@ -613,7 +623,7 @@ def r15_context_windows(t: Tables) -> DataFrame:
 @query()
 def t32_annotations(t: Tables) -> DataFrame:
     rows = t.raw("conversations").select(F.col("conv_id").alias("report_id"), F.col("turn").cast("int").alias("idx"), F.when(F.length("text") < 40, F.rpad("text", 40, ".")).otherwise(F.col("text")).alias("text"))  # all are candidates
-    vectors = rows.select("report_id", "idx", ((F.col("report_id") * 31 + F.col("idx")) % 500).alias("id")).join(t.vectors, "id").select("report_id", "idx", "embedding")
+    vectors = rows.select("report_id", "idx", F.pmod(F.col("report_id") * 31 + F.col("idx"), F.lit(t.vectors.count())).alias("id")).join(t.vectors, "id").select("report_id", "idx", "embedding")
     own = t.facts.select(F.col("fact_id").alias("fid"), F.pmod(F.xxhash64("fact_id"), F.lit(t.vectors.count())).alias("id")).join(t.vectors, "id").select(F.col("fid").alias("id"), "embedding")
     facts = t.facts.select("fact_id", "text")
     return reports.annotate(rows, vectors, facts, own, own.select("id", F.lit("fact").alias("kind")), threshold=NEAR)
@@ -645,4 +655,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.page(strong, F.desc("weight"), "name_a", "name_b", limit=100)
 
 
-from . import more_queries  # noqa: E402,F401 - registers more
+from . import index_queries, more_queries  # noqa: E402,F401 - register more
