@@ -1,9 +1,10 @@
 """Near-duplicate facts by their vectors.
 
 The pass is a fold in a fixed order (stable before new, then id), in which an earlier winner may lose later, so it is
-not a plain grouping.  Spark finds each fact's top neighbour; only facts that have one above the threshold take part in
-the fold, and only facts that are connected by such edges depend on each other.  The fold therefore runs per connected
-component of the candidate edges, in as many tasks as there are components.
+not a plain grouping.  Spark finds each fact's top neighbour; only facts that have one above the threshold take part.
+What a fact does at its turn depends on few earlier ones: those whose neighbour it is, those with the same neighbour, and
+its neighbour.  So the pass runs in rounds of joins, each of which settles all facts whose earlier ones are settled;
+neither a component of near facts nor the facts with one neighbour ever meet in a task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import _drop, _saved
 from .search import neighbours
 
 THRESHOLD = 0.94
@@ -48,20 +49,56 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "new_status", "winner"])
 
 
-def deduplicate(facts: DataFrame, top: DataFrame) -> DataFrame:
+def _settled(state: DataFrame) -> DataFrame:
+    """state (id, hit, own: is the hit a new fact, alive, acts) after one round; null is not known yet.
+
+    alive: was the fact still there at its turn?  acts: did it then take out its neighbour (own) or give way to it (not own)?
+    """
+    met = state.where("own").groupBy(F.col("hit").alias("id")).agg(F.min(F.when(F.col("acts"), F.col("id"))).alias("first"), F.min(F.when(F.col("acts").isNull(), F.col("id"))).alias("open"))
+    met = _saved(met)
+    gives_way = state.where("not own").select(F.col("id").alias("hit"), F.col("alive").alias("left"), F.lit(True).alias("leaves"))
+    rows = state.join(met, "id", "left").join(met.toDF("hit", "hit_first", "hit_open"), "hit", "left").join(gives_way, "hit", "left")
+    earlier = lambda c: F.coalesce(F.col(c) < F.col("id"), F.lit(False))
+    alive = F.coalesce(F.col("alive"), F.when(earlier("first"), False).when(~earlier("open"), True))
+    gone_before = F.coalesce(F.col("leaves") & (F.col("hit") < F.col("id")), F.lit(False))  # the neighbour gives way at its own, earlier turn, if it is alive then
+    acts = (
+        F.when(~F.col("now"), False).when(~F.col("own"), F.col("now")).when(earlier("hit_first"), False).when(gone_before & F.col("left"), False)
+        .when(earlier("hit_open") | (gone_before & F.col("left").isNull()), F.lit(None).cast("boolean")).otherwise(F.col("now"))
+    )
+    return rows.withColumn("now", alive).select("id", "hit", "own", F.col("now").alias("alive"), F.coalesce(F.col("acts"), acts).alias("acts"))
+
+
+def deduplicate(facts: DataFrame, top: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(id, new_status, winner) of every new or stable fact; `winner` is the last survivor of a loser's chain.
 
-    facts: (id, status); top: (id, hit, score) of top_neighbour().  Facts without a vector or a hit become stable.
+    facts: (id, status); top: (id, hit, score) of top_neighbour().  Facts without a vector or a hit become stable.  The
+    result is that of fold() on the whole table; the number of rounds is that of the longest chain of facts with falling
+    ids in which each is the neighbour of the next.
     """
-    live = facts.where(F.col("status").isin("new", "stable")).dropDuplicates(["id"])
-    edges = top.join(live.where("status = 'new'").select("id"), "id", "left_semi").select("id", "hit")
-    inside = edges.join(live.select(F.col("id").alias("hit")), "hit", "left_semi")
-    group = components(inside.select(F.col("id").alias("u"), F.col("hit").alias("v")))
+    live = _saved(facts.where(F.col("status").isin("new", "stable")).groupBy("id").agg(F.max("status").alias("status")))
     kind = live.schema["id"].dataType.simpleString()
-    folded = live.join(group.withColumnRenamed("node", "id"), "id").join(inside, "id", "left")
-    done = folded.select("root", "id", "status", "hit").groupBy("root").applyInPandas(lambda pdf: fold(pdf), f"id {kind}, new_status string, winner {kind}")
-    alone = live.join(group.select(F.col("node").alias("id")), "id", "left_anti").select("id", F.lit("stable").alias("new_status"), F.lit(None).cast(kind).alias("winner"))
-    return done.unionByName(alone)
+    edges = top.join(live.where("status = 'new'").select("id"), "id", "left_semi").groupBy("id").agg(F.min_by("hit", F.struct(-F.col("score"), "hit")).alias("hit"))
+    inside = edges.join(live.select(F.col("id").alias("hit"), (F.col("status") == "new").alias("own")), "hit").where("id <> hit")
+    none = F.lit(None).cast("boolean")
+    state = _saved(inside.select("id", "hit", "own", none.alias("alive"), none.alias("acts")))
+    for _ in range(most_rounds):
+        if state.where("acts is null").isEmpty():
+            break
+        last, state = state, _saved(_settled(state))
+        _drop(last)
+    else:
+        raise RuntimeError("the pass did not settle")
+    acted = state.where("acts")
+    lost = _saved(acted.select(F.when(F.col("own"), F.col("hit")).otherwise(F.col("id")).alias("id"), F.when(F.col("own"), F.col("id")).otherwise(F.col("hit")).alias("winner")))
+    while True:  # a winner that lost later hands on to its own: pointers jump
+        jump = lost.select(F.col("id").alias("winner"), F.col("winner").alias("far"))
+        new = _saved(lost.join(jump, "winner", "left").select("id", F.coalesce("far", "winner").alias("winner"), F.col("far").isNotNull().alias("moved")))
+        moved = not new.where("moved").isEmpty()
+        lost = new.select("id", "winner")
+        if not moved:
+            break
+    out = live.join(lost, "id", "left")
+    return out.select("id", F.when(F.col("winner").isNull(), "stable").otherwise("to_delete").alias("new_status"), F.col("winner").cast(kind).alias("winner"))
 
 
 def merge_sources(fact_sources: DataFrame, verdict: DataFrame, as_of: str) -> DataFrame:

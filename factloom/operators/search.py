@@ -48,9 +48,16 @@ def lexemes(text: Column, stem: bool = False) -> Column:
 
 
 def postings(df: DataFrame, key: str, text: Column, label: str = "D", stem: bool = False) -> DataFrame:
-    """The index as a table: (key, lexeme, positions, label); partition or bucket it by lexeme."""
-    rows = df.select(key, F.explode(lexemes(text, stem)).alias("l"))
-    return rows.groupBy(key, F.col("l.lexeme").alias("lexeme")).agg(F.sort_array(F.collect_list("l.pos")).alias("positions")).withColumn("label", F.lit(label))
+    """The index as a table: (key, lexeme, positions, label); partition or bucket it by lexeme.
+
+    A row's lexemes are sorted and cut into runs within the row, so nothing is shuffled; rows with equal keys stay apart.
+    """
+    lex = F.sort_array(lexemes(text, stem))
+    rows = df.select(key, lex.alias("_l")).where(F.size("_l") > 0)
+    rows = rows.select(key, "_l", F.filter(F.sequence(F.lit(0), F.size("_l") - 1), lambda i: (i == 0) | (F.col("_l")[i]["lexeme"] != F.col("_l")[F.greatest(i - 1, F.lit(0))]["lexeme"])).alias("_at"))
+    ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_l")))
+    runs = F.zip_with("_at", ends, lambda a, b: F.struct(F.col("_l")[a]["lexeme"].alias("lexeme"), F.transform(F.slice("_l", a + 1, b - a), lambda x: x["pos"]).alias("positions")))
+    return rows.select(key, F.explode(runs).alias("r")).select(key, "r.lexeme", "r.positions", F.lit(label).alias("label"))
 
 
 Tree = tuple

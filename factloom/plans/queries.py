@@ -389,7 +389,18 @@ def _pairs(t: Tables) -> DataFrame:
     return near.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score").where("a < b").withColumn("cross", F.col("a") % 7 != F.col("b") % 7)
 
 
-@query()
+@query(
+    "vectors",
+    sql=f""", top AS (SELECT query_id AS id, id AS hit FROM ({_NEAR}) WHERE s >= {NEAR} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) = 1),
+turns AS (SELECT row_number() OVER (ORDER BY id) AS n, id, hit, hit % 3 = 0 AS settled FROM top WHERE id % 3 <> 0),
+pass(n, gone, losers, winners) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT t.n, CASE WHEN stays THEN gone WHEN settled THEN list_append(gone, id) ELSE list_append(gone, hit) END, CASE WHEN stays THEN losers WHEN settled THEN list_append(losers, id) ELSE list_append(losers, hit) END,
+    CASE WHEN stays THEN winners WHEN settled THEN list_append(winners, hit) ELSE list_append(winners, id) END
+  FROM (SELECT t.n, t.id, t.hit, t.settled, gone, losers, winners, list_contains(gone, t.id) OR (NOT t.settled AND list_contains(gone, t.hit)) AS stays FROM pass p JOIN turns t ON t.n = p.n + 1) t),
+lost AS (SELECT unnest(losers) AS id, unnest(winners) AS winner FROM (SELECT * FROM pass ORDER BY n DESC LIMIT 1)),
+chain(id, winner) AS (SELECT id, winner FROM lost UNION SELECT c.id, l.winner FROM chain c JOIN lost l ON l.id = c.winner)
+SELECT v.id, CASE WHEN c.id IS NULL THEN 'stable' ELSE 'to_delete' END AS new_status, c.winner FROM vectors v LEFT JOIN (SELECT * FROM chain WHERE winner NOT IN (SELECT id FROM lost)) c USING (id)""",
+)
 def t10_deduplicated_facts(t: Tables) -> DataFrame:
     top = dedup.top_neighbour(t.vectors, NEAR, None)
     return dedup.deduplicate(t.vectors.select("id", F.when(F.col("id") % 3 == 0, "stable").otherwise("new").alias("status")), top)
@@ -656,3 +667,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import index_queries, more_queries  # noqa: E402,F401 - register more
+
+ORACLES["t10_deduplicated_facts"] = ORACLES["t10_deduplicated_facts"].replace("WITH ", "WITH RECURSIVE ", 1)
