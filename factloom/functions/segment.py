@@ -118,19 +118,20 @@ def sentences(text: Column, most: int = 0) -> Column:
 
 
 def salvage_array(text: str | None) -> str | None:
-    """The JSON array that begins at the first `[` and ends at the last `]` that makes it valid."""
+    """The JSON array that begins at the first `[` of a text and ends where it closes; None if none does or it is not valid.
+
+    Only brackets outside of quoted strings count, so the text is read once and parsed once.
+    """
     import json
 
     start = (text or "").find("[")
-    end = (text or "").rfind("]")
-    while 0 <= start < end:
-        try:
-            if isinstance(json.loads(text[start : end + 1]), list):
-                return text[start : end + 1]
-        except ValueError:
-            pass
-        end = text.rfind("]", start, end)
-    return None
+    if start < 0:
+        return None
+    try:
+        found, end = json.JSONDecoder().raw_decode(text, start)
+    except (ValueError, RecursionError):
+        return None
+    return text[start:end] if isinstance(found, list) else None
 
 
 def salvaged(text: Column) -> Column:

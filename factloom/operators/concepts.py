@@ -170,6 +170,29 @@ def route(mentions: DataFrame, names: DataFrame, concept_vectors: DataFrame, fac
     return ranked.select("fact_id", "mention", F.when(defer, F.lit(None)).otherwise(F.col("concept_id")).alias("concept_id"), outcome.alias("outcome"))
 
 
+def route_direct(mentions: DataFrame, names: DataFrame, concept_vectors: DataFrame, fact_vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Routing without refinement, all mentions at once: (links, created, aliases).
+
+    mentions: (fact_id, repository_id, context, mention, seeds).  A mention that route() links goes to that concept and
+    hands it its seed aliases; any other, deferred ones included, finds or creates the concept of its repository, context
+    and spelling (without regard to case): one id for one key, however many facts ask for it, so nothing races.  links:
+    (fact_id, concept_id, created) once per pair; created: (concept_id, repository_id, context, name), the name as the
+    smallest fact_id spells it; aliases: (concept_id, alias) of seeds, and of created concepts their name.  Empty seeds
+    and blank mentions do not count.
+    """
+    asked = mentions.where("trim(mention) <> ''").withColumns({"context_key": F.lower("context"), "key": F.lower(F.trim("mention"))})
+    routed = route(asked.select("fact_id", "repository_id", "context", "mention"), names, concept_vectors, fact_vectors).where("outcome = 'linked'")
+    found = asked.join(routed.select("fact_id", "mention", "concept_id"), ["fact_id", "mention"], "left")
+    new_id = F.md5(F.to_json(F.struct("repository_id", "context_key", "key")))
+    found = found.withColumn("created", F.col("concept_id").isNull()).withColumn("concept_id", F.coalesce(F.col("concept_id").cast("string"), new_id))
+    links = found.groupBy("fact_id", "concept_id").agg(F.bool_and("created").alias("created"))
+    first = F.min_by(F.struct("context", F.trim("mention").alias("name")), F.struct("fact_id", "mention"))
+    made = found.where("created").groupBy("concept_id", "repository_id").agg(first.alias("first"))
+    created = made.select("concept_id", "repository_id", "first.context", "first.name")
+    seeds = found.select("concept_id", F.explode("seeds").alias("alias")).where("alias <> ''")
+    return links, created, seeds.unionByName(created.select("concept_id", F.col("name").alias("alias"))).distinct()
+
+
 def refine(candidates: DataFrame, names: DataFrame) -> DataFrame:
     """(candidate_id, concept_id, how): by name, then alias, then each seed alias (name, alias), else to be created.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..functions.segment import salvage_array
+from ..functions.segment import salvaged
 from ..operators import concepts, dedup, evaluate, graph, hosts, relational, reports, search, summaries
 from ..sources import bundle
 from .fixtures import Tables, with_tables
@@ -94,8 +94,7 @@ _SALVAGED = [('say [1, 2] and [3]', "[1, 2]"), ('{"a": ["b]", "c"]} tail', '["b]
 
 @query(sql=f"SELECT doc_id, {_pick_sql([b for _, b in _SALVAGED], 'doc_id')} AS found FROM documents")
 def t43_salvaged_arrays(t: Tables) -> DataFrame:
-    salvage = F.udf(salvage_array, "string")  # five strings
-    return t.raw("documents").select("doc_id", salvage(_pick([a for a, _ in _SALVAGED], "doc_id")).alias("found"))
+    return t.raw("documents").select("doc_id", salvaged(_pick([a for a, _ in _SALVAGED], "doc_id")).alias("found"))
 
 
 @query(sql=r"SELECT conv_id, turn, len(list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')[1:20], lambda x: regexp_matches(x, '^(#|- |\* |> |\| |1\. |```)'))) > 0 AS markdown FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '# ' || text WHEN 1 THEN text || chr(10) || '- item' ELSE text END AS text FROM conversations)")

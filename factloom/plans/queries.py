@@ -666,6 +666,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.page(strong, F.desc("weight"), "name_a", "name_b", limit=100)
 
 
-from . import index_queries, more_queries  # noqa: E402,F401 - register more
+from . import index_queries, more_queries, stage_queries  # noqa: E402,F401 - register more
 
 ORACLES["t10_deduplicated_facts"] = ORACLES["t10_deduplicated_facts"].replace("WITH ", "WITH RECURSIVE ", 1)
