@@ -358,10 +358,16 @@ def _drawn_vectors(t: Tables, items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("own"), number.alias("id")).join(t.vectors, "id").select(F.col("own").alias("id"), "embedding")
 
 
-@query()
+@query("facts", "vectors", sql=f""", words AS (SELECT fact_id AS id, len(list_filter(w, lambda x: x IN ('tion', 'thon', 'erin'))) AS n FROM (SELECT fact_id, {_TOKENS} AS w FROM facts)),
+lex AS (SELECT id, row_number() OVER (ORDER BY n DESC, id) - 1 AS l FROM words WHERE n > 0 QUALIFY l < 60),
+near AS (SELECT fact_id AS id, list_cosine_similarity(embedding::DOUBLE[], {PROBE}::DOUBLE[]) AS s FROM facts JOIN vectors v ON v.id = CAST('0x' || substr(md5(fact_id), 1, 8) AS BIGINT) % (SELECT count(*) FROM vectors)),
+sem AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) - 1 AS r FROM near QUALIFY r < 60),
+both_ AS (SELECT id, l, r, coalesce(1.0::DOUBLE / (60 + l), 0) + coalesce(1.0::DOUBLE / (60 + r), 0) AS score FROM lex FULL JOIN sem USING (id)),
+page AS (SELECT *, row_number() OVER (ORDER BY score DESC, l NULLS LAST, r NULLS LAST, id) - 1 AS fused FROM both_ QUALIFY fused < 20)
+SELECT id, text, round(score, 9) AS score, CAST(fused AS INTEGER) AS fused, 'hybrid' AS search_mode FROM page JOIN facts ON fact_id = id""")
 def r8_hybrid_facts(t: Tables) -> DataFrame:
     facts = t.facts.select(F.col("fact_id").alias("id"), "text")
-    return search.hybrid_facts(facts, _drawn_vectors(t, facts), "tion or thon or erin", PROBE)
+    return search.hybrid_facts(facts, _drawn_vectors(t, facts), "tion or thon or erin", PROBE).withColumn("score", F.round("score", 9))
 
 
 @query("facts", "fact_concepts", "vectors", sql=f""", c AS (SELECT concat_ws('|', name, context) AS id, name, count(*) AS fact_count FROM fact_concepts GROUP BY name, context),
@@ -411,7 +417,14 @@ def t10_top_neighbours(t: Tables) -> DataFrame:
     return dedup.top_neighbour(t.vectors, NEAR, None).select("id", "hit", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("vectors", sql=f""", near AS (SELECT query_id AS a, id AS b, s FROM ({_NEAR}) WHERE s >= 0.36 AND query_id < id),
+over_ AS (SELECT t, a, b, a % 7 <> b % 7 AS far FROM near JOIN (SELECT unnest([0.36, {NEAR}, 0.45]::DOUBLE[]) AS t) ON s >= t),
+two AS (SELECT t, a AS u, b AS v, far FROM over_ UNION ALL SELECT t, b, a, far FROM over_),
+walk(t, node, seen) AS (SELECT DISTINCT t, u, u FROM two UNION SELECT w.t, w.node, x.v FROM walk w JOIN two x ON x.t = w.t AND x.u = w.seen),
+roots AS (SELECT t, count(DISTINCT root) AS clusters FROM (SELECT t, node, min(seen) AS root FROM walk GROUP BY ALL) GROUP BY t),
+ends AS (SELECT t, count(*) AS any_neighbour, count(*) FILTER (far) AS cross_source FROM (SELECT t, u, bool_or(far) AS far FROM two GROUP BY ALL) GROUP BY t),
+total AS (SELECT count(*) AS n FROM vectors)
+SELECT t AS threshold, any_neighbour, cross_source, clusters, n - any_neighbour + clusters AS survivors, round((any_neighbour - clusters) * 100.0 / n, 4) AS reduction_pct FROM ends JOIN roots USING (t), total""")
 def g20_threshold_sweep(t: Tables) -> DataFrame:
     return dedup.threshold_sweep(_pairs(t), [0.36, NEAR, 0.45], t.vectors.count())
 
@@ -668,4 +681,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 from . import index_queries, more_queries, stage_queries  # noqa: E402,F401 - register more
 
-ORACLES["t10_deduplicated_facts"] = ORACLES["t10_deduplicated_facts"].replace("WITH ", "WITH RECURSIVE ", 1)
+for _name in ("t10_deduplicated_facts", "g20_threshold_sweep"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
