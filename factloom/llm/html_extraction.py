@@ -447,9 +447,13 @@ def consensus(reports: DataFrame, least_pages: int = 4, repeated: float = 0.6, l
     return path.select("host", "key", "path", F.when(F.col("path").isNotNull(), F.col("votes")).alias("votes"), boilerplate.alias("boilerplate"))
 
 
-def looked_up(reports: DataFrame, found: DataFrame) -> DataFrame:
-    """(host, c1, c2, paths, without): of the paths that a page has those its host chose, most votes first (ties by path), and its boilerplate."""
-    met = reports.select(*_PAGE, "key").join(found.where("boilerplate or votes is not null"), ["host", "key"])
+def looked_up(reports: DataFrame, found: DataFrame, salts: int = 32) -> DataFrame:
+    """(host, c1, c2, paths, without): of the paths that a page has those its host chose, most votes first (ties by path), and its boilerplate.
+
+    The pages of a host meet its paths in `salts` groups, so one host may hold a third of all pages.
+    """
+    told = found.where("boilerplate or votes is not null").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = reports.select(*_PAGE, "key", F.pmod("c1", F.lit(salts)).cast("int").alias("salt")).join(told, ["host", "key", "salt"])
     chosen = F.array_sort(F.collect_list(F.when(F.col("votes").isNotNull(), F.struct((-F.col("votes")).alias("less"), "path"))))
     out = met.groupBy(*_PAGE).agg(chosen.alias("chosen"), F.collect_list(F.when(F.col("boilerplate"), F.col("key"))).alias("without"))
     return out.select(*_PAGE, F.transform("chosen", lambda x: x["path"]).alias("paths"), "without")

@@ -26,8 +26,7 @@ EDGES = [
 ]
 
 
-@pytest.mark.parametrize("n", [0, 1, 16, 17, 300])
-@pytest.mark.parametrize("part_rows", [7, 32_768])
+@pytest.mark.parametrize("n, part_rows", [(0, 7), (1, 7), (17, 7), (300, 7), (300, 32_768)])
 def test_proofs(spark, n, part_rows):
     from factloom.llm import merkle
 
