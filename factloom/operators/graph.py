@@ -21,17 +21,23 @@ _made: list[tuple] = []
 _own_dirs: dict[str, str] = {}
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share and read back: lineage of a loop ends here; deleted when the driver ends."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """A new folder's path where all executors share one; deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + _own_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="factloom-"))
     path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _made.append((spark, path))
+    return path
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    """df written to the folder that all executors share and read back: lineage of a loop ends here."""
+    spark = df.sparkSession
+    path = _folder(spark)
+    df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored = path
     return back

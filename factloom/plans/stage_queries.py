@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import clustering, concepts, failures
+from ..operators import clustering, concepts, failures, graph
+from ..sources import catalog
 from .fixtures import Tables
 from .queries import query
 
@@ -79,3 +80,38 @@ def v8_label_clusters(t: Tables) -> DataFrame:
     parts = t.vectors.withColumn("label", F.col("label") * 4 + F.col("id") % 4)
     items = vec.centroid(parts, "label").select(F.col("label").cast("long").alias("id"), F.col("centroid").alias("embedding"))
     return clustering.clusters(items, 10)
+
+
+def _catalog(t: Tables) -> catalog.Catalog:
+    rows = t.sources.select(F.col("source_id").alias("id"), "url", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "lang", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    return catalog.store(rows, graph._folder(t.spark), buckets=16)
+
+
+@query("sources", sql="SELECT source_id AS id, url, lang, length(coalesce(text, '')) AS n_chars FROM sources WHERE contains(lower(lang), 'e') AND (length(coalesce(text, '')), source_id) > (500, 7) ORDER BY n_chars, id LIMIT 50")
+def s18_catalog_page(t: Tables) -> DataFrame:
+    """A page of the stored catalog after a cursor, of the languages with an e."""
+    stored = _catalog(t)
+    return stored.page("n_chars", "id", limit=50, after=(500, 7), where=stored.search("E", "lang")).select("id", "url", "lang", "n_chars")
+
+
+@query("sources", sql="""SELECT source_id AS row_id, CASE WHEN source_id % 3 = 0 THEN source_id ELSE first END AS id, CASE WHEN source_id % 3 = 0 THEN 'url' ELSE 'content_hash' END AS how
+FROM (SELECT source_id, min(source_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM sources)""")
+def s18_catalog_find(t: Tables) -> DataFrame:
+    """Every source looked up in the stored catalog: a third by its url, the others by their content."""
+    asked = t.sources.select(F.col("source_id").alias("row_id"), F.when(F.col("source_id") % 3 == 0, F.col("url")).otherwise("").alias("url"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return _catalog(t).find(asked)
+
+
+def _lines(t: Tables) -> DataFrame:
+    whole = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"kind":"'), "event_type", F.lit('","p":'), "props", F.lit("}"))
+    return t.raw("events").select(F.when(F.col("event_id") % 10 == 3, F.substring(whole, 1, 12)).when(F.col("event_id") % 10 == 4, "  ").otherwise(whole).alias("value"))
+
+
+@query(sql="SELECT event_id AS id, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 10 NOT IN (3, 4)")
+def s12_json_lines(t: Tables) -> DataFrame:
+    return catalog.json_lines(_lines(t), "id long, kind string, p struct<k: long>")[0].select("id", "kind", "p.k")
+
+
+@query(sql="""SELECT left('{"id":' || event_id || ',"kind":"' || event_type, 12) AS value, count(*) AS n FROM events WHERE event_id % 10 = 3 GROUP BY 1""")
+def s12_bad_lines(t: Tables) -> DataFrame:
+    return catalog.json_lines(_lines(t), "id long, kind string, p struct<k: long>")[1].groupBy("value").agg(F.count(F.lit(1)).alias("n"))
