@@ -101,6 +101,15 @@ def deduplicate(facts: DataFrame, top: DataFrame, most_rounds: int = 10_000) ->
     return out.select("id", F.when(F.col("winner").isNull(), "stable").otherwise("to_delete").alias("new_status"), F.col("winner").cast(kind).alias("winner"))
 
 
+def stable_sweep(facts: DataFrame, top: DataFrame) -> DataFrame:
+    """(id, new_status, winner) of the stable facts after a sweep over them alone, in order of id.
+
+    The smaller id wins of two that are near; a fact whose neighbour is not stable is left to the ordinary pass.
+    """
+    stable = facts.where("status = 'stable'").select("id", F.lit("new").alias("status"))
+    return deduplicate(stable, top)
+
+
 def merge_sources(fact_sources: DataFrame, verdict: DataFrame, as_of: str) -> DataFrame:
     """A loser's sources go to its winner, with `as_of` as first_seen_at; the winner's own rows stay."""
     lost = verdict.where("winner is not null").select(F.col("id").alias("fact_id"), "winner")
@@ -169,8 +178,8 @@ def score_histogram(top: DataFrame, edges: list[float]) -> DataFrame:
 
 
 def examples(pairs: DataFrame, thresholds: list[float], per_band: int = 5) -> DataFrame:
-    """Some pairs of each band [t, next), in the order of a hash."""
+    """Some pairs of each band [t, next), in the order of the MD5 of their ids."""
     bands = list(zip(thresholds, [*thresholds[1:], 1.01], strict=True))
     which = F.coalesce(*[F.when((F.col("score") >= lo) & (F.col("score") < hi), F.lit(float(lo))) for lo, hi in bands])
-    w = Window.partitionBy("band").orderBy(F.xxhash64("a", "b"), "a", "b")
+    w = Window.partitionBy("band").orderBy(F.md5(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))), "a", "b")
     return pairs.withColumn("band", which).where("band is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_band).drop("r")

@@ -174,3 +174,30 @@ def search_any(df: DataFrame, needle: str, *columns: str) -> DataFrame:
     for c in columns:
         hit = hit | F.coalesce(contains_fold(F.col(c), needle), F.lit(False))
     return df.where(hit)
+
+
+def valid_parents(tree: DataFrame, moves: DataFrame, most: int = 10_000) -> DataFrame:
+    """T44 for many moves at once: (node, parent, valid); a parent is valid if it is null, or exists, is not the node and no descendant of it.
+
+    tree: (id, parent_id), without cycles.  All moves climb from their parents to the roots together, a level a join.
+    """
+    up = tree.select(F.col("id").alias("at"), F.col("parent_id").alias("next"))
+    asked = moves.select("node", "parent").distinct()
+    met = asked.where("parent is not null").join(up, F.col("parent") == F.col("at"), "left")
+    state = _stored(met.select("node", "parent", "next", F.col("at").isNotNull().alias("exists"), F.coalesce(F.col("at") == F.col("node"), F.lit(False)).alias("below")))
+    for _ in range(most):
+        if state.where("next is not null and not below").isEmpty():
+            break
+        met = state.withColumnRenamed("next", "here").join(up, F.col("here") == F.col("at"), "left")
+        below = F.col("below") | F.coalesce(F.col("here") == F.col("node"), F.lit(False))
+        state = _stored(met.select("node", "parent", F.when(~below, F.col("next")).alias("next"), "exists", below.alias("below")))
+    else:
+        raise RuntimeError("the tree is deeper than that")
+    told = state.select("node", "parent", (F.col("exists") & ~F.col("below")).alias("valid"))
+    return told.unionByName(asked.where("parent is null").withColumn("valid", F.lit(True)))
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    from .graph import _saved
+
+    return _saved(df)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import clustering, concepts, failures, graph
-from ..sources import catalog
+from ..operators import clustering, concepts, dedup, failures, graph, relational, summaries
+from ..sources import catalog, pages
 from .fixtures import Tables
-from .queries import query
+from .queries import _NEAR, NAME_A, NEAR, ORACLES, _pairs, query
 
 _KEY = """md5('{"repository_id":"r","context_key":"' || lower(context) || '","key":"' || lower(name) || '"}')"""
 
@@ -115,3 +115,69 @@ def s12_json_lines(t: Tables) -> DataFrame:
 @query(sql="""SELECT left('{"id":' || event_id || ',"kind":"' || event_type, 12) AS value, count(*) AS n FROM events WHERE event_id % 10 = 3 GROUP BY 1""")
 def s12_bad_lines(t: Tables) -> DataFrame:
     return catalog.json_lines(_lines(t), "id long, kind string, p struct<k: long>")[1].groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- sweeps, bands, trees, windows, front matter ---------------------------------------------------------------------
+
+
+@query(
+    "vectors",
+    sql=f""", top AS (SELECT query_id AS id, id AS hit FROM ({_NEAR}) WHERE s >= {NEAR} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) = 1),
+turns AS (SELECT row_number() OVER (ORDER BY id) AS n, id, hit FROM top WHERE id % 3 > 0 AND hit % 3 > 0),
+pass(n, gone, winners) AS (SELECT CAST(0 AS BIGINT), []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT t.n, CASE WHEN list_contains(gone, id) OR list_contains(gone, hit) THEN gone ELSE list_append(gone, hit) END, CASE WHEN list_contains(gone, id) OR list_contains(gone, hit) THEN winners ELSE list_append(winners, id) END FROM pass p JOIN turns t ON t.n = p.n + 1),
+lost AS (SELECT unnest(gone) AS id, unnest(winners) AS winner FROM (SELECT * FROM pass ORDER BY n DESC LIMIT 1)),
+chain(id, winner) AS (SELECT id, winner FROM lost UNION SELECT c.id, l.winner FROM chain c JOIN lost l ON l.id = c.winner)
+SELECT v.id, CASE WHEN c.id IS NULL THEN 'stable' ELSE 'to_delete' END AS new_status, c.winner FROM vectors v LEFT JOIN (SELECT * FROM chain WHERE winner NOT IN (SELECT id FROM lost)) c USING (id) WHERE v.id % 3 > 0""",
+)
+def t12_stable_sweep(t: Tables) -> DataFrame:
+    facts = t.vectors.select("id", F.when(F.col("id") % 3 == 0, "new").otherwise("stable").alias("status"))
+    return dedup.stable_sweep(facts, dedup.top_neighbour(t.vectors, NEAR, None))
+
+
+ORACLES["t12_stable_sweep"] = ORACLES["t12_stable_sweep"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("vectors", sql=f"SELECT a, b, round(s, 6) AS score, band FROM (SELECT query_id AS a, id AS b, s, CASE WHEN s >= 0.4 THEN 0.4 WHEN s >= 0.36 THEN 0.36 ELSE 0.3 END AS band FROM ({_NEAR}) WHERE s >= 0.3 AND query_id < id) QUALIFY row_number() OVER (PARTITION BY band ORDER BY md5(a || '-' || b), a, b) <= 5")
+def g22_example_pairs(t: Tables) -> DataFrame:
+    return dedup.examples(_pairs(t), [0.3, 0.36, 0.4]).select("a", "b", F.round("score", 6).alias("score"), "band")
+
+
+@query("fact_concepts", sql=f"SELECT CAST(coalesce(max(CASE WHEN n >= size THEN n // size END), CASE WHEN max(n) > 0 THEN 1 END, 0) AS INTEGER) AS sequence_num FROM (SELECT count(*) AS n, CASE WHEN count(*) >= 10000 THEN 200 WHEN count(*) >= 1000 THEN 100 WHEN count(*) >= 100 THEN 50 ELSE 20 END AS size FROM fact_concepts WHERE name = '{NAME_A}')")
+def a15_last_sequence(t: Tables) -> DataFrame:
+    made = summaries.slices(t.fact_concepts.select(F.col("name").alias("concept_id"), "fact_id", F.col("source_id").alias("first_seen_at")))
+    return summaries.next_sequence(made, NAME_A)
+
+
+@query(sql="""WITH RECURSIVE tree AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id > 0 THEN conv_id // 2 END AS parent_id FROM conversations),
+moves AS (SELECT id AS node, CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN id * 2 WHEN 2 THEN id WHEN 3 THEN id + 1000000 ELSE (id + 1) // 3 END AS parent FROM tree),
+up(id, anc) AS (SELECT id, id FROM tree UNION SELECT u.id, t.parent_id FROM up u JOIN tree t ON t.id = u.anc WHERE t.parent_id IS NOT NULL)
+SELECT node, parent, parent IS NULL OR (parent IN (SELECT id FROM tree) AND NOT EXISTS (SELECT 1 FROM up WHERE up.id = parent AND anc = node)) AS valid FROM moves""")
+def t44_valid_parents(t: Tables) -> DataFrame:
+    """A move of every report: to none, to its child, to itself, to nowhere, to another."""
+    tree = t.reports.select("id", "parent_id")
+    node = F.col("id")
+    kind = node % 5
+    parent = F.when(kind == 1, node * 2).when(kind == 2, node).when(kind == 3, node + 1_000_000).when(kind == 4, F.floor((node + 1) / 3).cast("long"))
+    return relational.valid_parents(tree, tree.select(node.alias("node"), parent.alias("parent")))
+
+
+@query(sql=r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, i AS idx, array_to_string(w[i * 100 + 1:i * 100 + 100], ' ') AS part FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 100.0) AS BIGINT))) AS i FROM w)")
+def t8_windows(t: Tables) -> DataFrame:
+    """Windows of 100 tokens that do not overlap."""
+    return t.raw("documents").select("doc_id", F.posexplode(tx.passages(F.col("text"), 100, 0)).alias("idx", "part")).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(sql="""SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN nullif(trim(regexp_replace(left(text, 20), '[^A-Za-z ]', '', 'g')), '') END AS title, CASE WHEN doc_id % 4 > 1 THEN 'Writer & ' || lang END AS author,
+CASE WHEN doc_id % 4 > 0 THEN source END AS site, CASE WHEN doc_id % 4 > 2 THEN DATE '2024-01-01' + CAST(doc_id % 300 AS INTEGER) END AS date FROM documents""")
+def s7_front_matter(t: Tables) -> DataFrame:
+    """Documents with front matter made of their own fields, some without."""
+    d = t.raw("documents")
+    title = F.trim(F.regexp_replace(F.left("text", F.lit(20)), "[^A-Za-z ]", ""))
+    lines = [
+        F.concat(F.lit("title: "), title), F.when(F.col("doc_id") % 4 > 1, F.concat(F.lit('author: "Writer &amp; '), "lang", F.lit('"'))), F.concat(F.lit("sitename: "), "source"),
+        F.when(F.col("doc_id") % 4 > 2, F.concat(F.lit("published: "), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("string"))),
+    ]
+    head = F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
+    body = F.when(F.col("doc_id") % 4 > 0, F.concat(head, "text")).otherwise(F.col("text"))
+    return d.select("doc_id", pages.front_matter(body).alias("m")).select("doc_id", "m.*")
