@@ -287,9 +287,11 @@ def t26_uncovered_links(t: Tables) -> DataFrame:
     return summaries.uncovered(links, summaries.slices(links)).groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(sql=_LINKS + f""", top AS (SELECT CASE WHEN name_a = '{NAME_A}' THEN name_b ELSE name_a END AS other, weight FROM pairs WHERE '{NAME_A}' IN (name_a, name_b) ORDER BY weight DESC, other LIMIT 10)
+SELECT other, weight, row_number() OVER (ORDER BY weight DESC, other) <= 3 AS with_text, (SELECT array_to_string(list_sort(list(DISTINCT context))[1:5], ',') FROM fact_concepts WHERE name = other) AS contexts FROM top""")
 def t28_enrichment(t: Tables) -> DataFrame:
-    return summaries.enrichment(concepts.relations(t.fact_concepts), t.fact_concepts.select("name", "context"), NAME_A)
+    found = summaries.enrichment(concepts.relations(t.fact_concepts), t.fact_concepts.select("name", "context"), NAME_A)
+    return found.withColumn("contexts", F.array_join("contexts", ","))
 
 
 # ---- full text, vectors, fusion --------------------------------------------------------------------------------------
@@ -462,7 +464,9 @@ def g5_confounded(t: Tables) -> DataFrame:
     return graph.confounded(graph.null_model(_edges(t), t.orders_parts))
 
 
-@query()
+@query(sql=_MODEL + """, tested AS (SELECT weight, round(greatest(0, 1 - coalesce(list_sum(list_transform(range(0, CAST(weight AS BIGINT)), lambda i: exp(i * ln(expected) - expected - lgamma(i + 1)))), 0)), 12) AS p FROM z),
+ranked AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM tested), adjusted AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM ranked)
+SELECT count(*) FILTER (p < 0.05) AS p_05, count(*) FILTER (p < 0.01) AS p_01, count(*) FILTER (q < 0.05) AS q_05, count(*) FILTER (weight >= 2) AS w_2, count(*) FILTER (weight >= 5) AS w_5, count(*) FILTER (weight >= 10) AS w_10 FROM adjusted""")
 def g3_significance(t: Tables) -> DataFrame:
     tested = graph.benjamini_hochberg(graph.significance(graph.null_model(_edges(t), t.orders_parts)))
     return graph.survivors(tested)
