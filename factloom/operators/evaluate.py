@@ -36,15 +36,20 @@ def score(predictions: DataFrame, abstentions: tuple[str, ...] = ABSTENTIONS) ->
 def bootstrap_poisson(rows: DataFrame, value: str, resamples: int = 2000, alpha: float = 0.025, seed: int = 42) -> DataFrame:
     """(lo, hi) of the mean by Poisson bootstrap.
 
-    Every row draws its own Poisson(1) count per resample from a hash of its id, so resampling is one aggregate; the draws
-    are not those of a particular random generator.  rows: (id, value).
+    In a resample every row counts Poisson(1) times, so n rows of one value count Poisson(n) times: rows are grouped by
+    value first and each value draws one count a resample, from hashes; above 64 rows as a rounded normal variable.
+    The draws are not those of a particular random generator.  Rows without a value do not count; without any, both are null.
     """
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    u = F.pmod(F.xxhash64(F.lit(seed), "id", "b"), F.lit(1 << 30)) / float(1 << 30)
-    k = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    drawn = rows.select("id", F.col(value).cast("double").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("k", k)
+    uniform = lambda *key: (F.pmod(F.xxhash64(F.lit(seed), "x", "b", *key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    one = lambda j: sum((F.when(uniform(j) >= c, 1).otherwise(0) for c in cdf), F.lit(0))
+    few = F.aggregate(F.transform(F.sequence(F.lit(1), F.least("n", F.lit(64))), one), F.lit(0), lambda a, k: a + k).cast("double")
+    normal = F.sqrt(-2 * F.ln(uniform(F.lit(-1)))) * F.cos(2 * F.pi() * uniform(F.lit(-2)))
+    k = F.when(F.col("n") <= 64, few).otherwise(F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal)))
+    values = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    drawn = values.select("x", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).withColumn("k", k)
     means = drawn.groupBy("b").agg(F.try_divide(F.sum(F.col("x") * F.col("k")), F.sum("k")).alias("m"))
-    ordered = means.agg(F.array_sort(F.collect_list("m")).alias("s"))
+    ordered = means.agg(F.array_sort(F.collect_list("m")).alias("s"))  # a value a resample
     return ordered.select(F.get("s", F.lit(int(alpha * resamples))).alias("lo"), F.get("s", F.lit(min(int((1 - alpha) * resamples), resamples - 1))).alias("hi"))
 
 

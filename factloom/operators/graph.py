@@ -117,11 +117,12 @@ def poisson_tail(w: int, mean: float) -> float:
 
 
 def significance(model: DataFrame) -> DataFrame:
-    """P of each edge under the null model."""
+    """P of each edge under the null model; edges of a batch with one weight and expectation share the sum."""
 
     @F.pandas_udf("double")
     def tail(w: pd.Series, mean: pd.Series) -> pd.Series:
-        return pd.Series([poisson_tail(int(a), float(b)) for a, b in zip(w, mean, strict=True)])
+        which, pairs = pd.factorize(pd.MultiIndex.from_arrays([w, mean]))
+        return pd.Series([poisson_tail(int(a), float(b)) for a, b in pairs], dtype="float64").take(which).reset_index(drop=True)
 
     return model.withColumn("p", tail("weight", "expected"))
 
