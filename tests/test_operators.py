@@ -96,3 +96,10 @@ def test_path_lengths_reach_to_the_end(spark):
     assert (one["mean_path"], one["diameter"]) == (pytest.approx(20.5), 40)
     assert graph.path_starts(edges, whole=10, drawn=3).count() == 3
     assert graph.path_lengths(edges, starts.limit(0)).first()["mean_path"] is None
+
+
+def test_trimmed_pieces_keep_the_digits_of_their_index(spark):
+    text = spark.createDataFrame([("0 a0. 121!!  2 b 2. \n3.5",)], "text string")
+    assert text.select(tx.rough_sentences(F.col("text"))).first()[0] == ["0 a0.", "121!!", "2 b 2.", "3.5"]
+    line = spark.createDataFrame([("x\n1. first",)], "text string")
+    assert line.select(tx.looks_like_markdown(F.col("text"))).first()[0]
