@@ -103,3 +103,29 @@ def test_trimmed_pieces_keep_the_digits_of_their_index(spark):
     assert text.select(tx.rough_sentences(F.col("text"))).first()[0] == ["0 a0.", "121!!", "2 b 2.", "3.5"]
     line = spark.createDataFrame([("x\n1. first",)], "text string")
     assert line.select(tx.looks_like_markdown(F.col("text"))).first()[0]
+
+
+def test_routing_meets_different_vectors_in_blocks(spark, monkeypatch):
+    """Blocks of 4 vectors: many concepts of one spelling, equal vectors, concepts without a vector, facts of one vector."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pool = rng.normal(size=(9, 8)).tolist()
+    known = [(i, "n", i % 3, pool[i % 9] if i % 4 else None) for i in range(30)] + [(40, "two", 0, None), (41, "two", 0, None), (50, "one", 0, None)]
+    asked = [(i, ["n", "two", "one", "none"][i % 4], rng.normal(size=8).tolist() if i % 5 else None) for i in range(60)]
+    names = spark.createDataFrame([("r", "c", k, i, t) for i, k, t, _ in known], "repository_id string, context_key string, key string, concept_id long, created_at int")
+    vectors = spark.createDataFrame([(i, v) for i, _, _, v in known if v], "concept_id long, embedding array<double>")
+    mentions = spark.createDataFrame([(i, "r", "C", k.upper()) for i, k, _ in asked], "fact_id long, repository_id string, context string, mention string")
+    facts = spark.createDataFrame([(i, v) for i, _, v in asked if v], "fact_id long, embedding array<double>")
+    cos = lambda a, b: -1.0 if b is None else float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = []
+    for i, k, v in asked:
+        some = [x for x in known if x[1] == k]
+        if len(some) > 1 and v is None:
+            want.append((i, None, "deferred"))
+        else:
+            first = min(some, key=lambda x: (-round(cos(v, x[3]), 9) if v else 0, x[2], x[0]), default=None)
+            want.append((i, first and first[0], "linked" if first else "miss"))
+    closest = concepts._closest
+    monkeypatch.setattr(concepts, "_closest", lambda a, b: closest(a, b, block=4))
+    assert rows(concepts.route(mentions, names, vectors, facts), "fact_id", "concept_id", "outcome") == want
