@@ -9,12 +9,16 @@ neither a component of near facts nor the facts with one neighbour ever meet in
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _drop, _saved, components
-from .search import neighbours
+from .search import neighbours, pairs_above
 
 THRESHOLD = 0.94
 STALE_HOURS = 168
@@ -152,13 +156,50 @@ def embed_pass(facts: DataFrame, vectors: DataFrame, model: str, as_of: str) ->
     }).drop("ready")
 
 
+def forest(pairs: pd.DataFrame, cross: pd.Series) -> pd.DataFrame:
+    """Of (query_id, id, score) what a sweep needs: a spanning forest of the largest scores, which connects at every
+    threshold what all pairs connect, and each fact's best pair that is cross."""
+    root: dict = {}
+
+    def top(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    order = np.argsort(-pairs["score"].to_numpy(), kind="stable")
+    pairs, cross = pairs.iloc[order], cross.to_numpy(bool)[order]
+    keep, crossed = np.zeros(len(pairs), bool), set()
+    for n, (a, b, c) in enumerate(zip(pairs["query_id"].tolist(), pairs["id"].tolist(), cross.tolist(), strict=True)):
+        x, y = top(a), top(b)
+        if x != y:
+            root[y] = x
+            keep[n] = True
+        if c and not (a in crossed and b in crossed):
+            crossed.update((a, b))
+            keep[n] = True
+    return pairs[keep]
+
+
+def sweep_pairs(vectors: DataFrame, least: float, cross: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
+    """(a, b, score, cross) for threshold_sweep() at thresholds from `least` on: of each pair of blocks its forest() alone,
+    so what is kept grows with the facts and not with the pairs; the sweep's figures are those of all pairs."""
+    found = pairs_above(vectors, least, thin=lambda df: forest(df, cross(df["query_id"], df["id"])))
+
+    @F.pandas_udf("boolean")
+    def is_cross(a: pd.Series, b: pd.Series) -> pd.Series:
+        return cross(a, b)
+
+    return found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score", is_cross("query_id", "id").alias("cross"))
+
+
 def threshold_sweep(pairs: DataFrame, thresholds: list[float], n_facts: int) -> DataFrame:
     """Per threshold: facts with a neighbour, those with one of other sources, clusters, survivors, reduction.
 
     pairs: (a, b, score, cross) once per unordered pair, cross: no common source.
     """
     spark = pairs.sparkSession
-    out = None
+    pairs, out = _saved(pairs), None
     for t in thresholds:  # a handful of parameters, one plan each
         at = pairs.where(F.col("score") >= t)
         ends = at.select(F.explode(F.array("a", "b")).alias("id"), "cross").groupBy("id").agg(F.bool_or("cross").alias("cross"))
@@ -183,3 +224,16 @@ def examples(pairs: DataFrame, thresholds: list[float], per_band: int = 5) -> Da
     which = F.coalesce(*[F.when((F.col("score") >= lo) & (F.col("score") < hi), F.lit(float(lo))) for lo, hi in bands])
     w = Window.partitionBy("band").orderBy(F.md5(F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))), "a", "b")
     return pairs.withColumn("band", which).where("band is not null").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_band).drop("r")
+
+
+def band_examples(vectors: DataFrame, thresholds: list[float], per_band: int = 5) -> DataFrame:
+    """examples() of all pairs of facts at or above the lowest threshold: each pair of blocks hands on only its own examples."""
+    ends = np.array([*thresholds, 1.01])
+
+    def thin(pairs: pd.DataFrame) -> pd.DataFrame:
+        order = [hashlib.md5(f"{a}-{b}".encode()).hexdigest() for a, b in zip(pairs["query_id"].tolist(), pairs["id"].tolist(), strict=True)]
+        rows = pairs.assign(_o=order, _b=np.searchsorted(ends, pairs["score"].to_numpy(), side="right")).sort_values(["_b", "_o", "query_id", "id"])
+        return rows.groupby("_b").head(per_band)[["query_id", "id", "score"]]
+
+    found = pairs_above(vectors, min(thresholds), thin=thin)
+    return examples(found.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score"), thresholds, per_band)

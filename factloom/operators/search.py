@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from .graph import _saved
 
 # English stop words.
 STOP_WORDS = tuple(
@@ -173,54 +174,132 @@ def cover_density(lex: Column, words: list[str], weight: float = LABEL_WEIGHTS["
 # ---- J15, V3 - V5: nearest neighbours -------------------------------------------------------------------------------
 
 
-def neighbours(queries: DataFrame, items: DataFrame, k: int, minimum: float = -1.0, exclude_self: bool = True, repository: str | None = None, block: int = 1024) -> DataFrame:
+def neighbours(queries: DataFrame, items: DataFrame, k: int, minimum: float = -1.0, exclude_self: bool = True, repository: str | None = None, block: int | None = None) -> DataFrame:
     """Exact top-k by cosine: (query_id, id, score, rank); ties by id.
 
-    Queries and items are dealt to blocks of about `block` rows by a hash of their id; each pair of blocks is one group
-    and one matrix product, and only its k best per query go on, so nothing passes through the driver.
+    Equal vectors meet once: each different one of the items stands for its smallest ids, as many as can be among the k
+    best, and what it finds holds for all queries that have it.  The different ones are dealt to blocks; each pair of
+    blocks is one group, worked through in matrix products, and only its best per vector go on.
     """
     k = max(1, k)
-    return _ranked(_blockwise(queries, items, k, minimum, exclude_self, repository, block), k)
+    wanted = k + 1 if exclude_self else k
+    own = ["_h", "_g"] + ([repository] if repository else [])  # a vector is known by 128 bits
+    keyed = lambda df: df.where("embedding is not null").withColumns({"_h": F.xxhash64("embedding"), "_g": F.xxhash64(F.lit(7), "embedding")})
+    asked = keyed(queries.select("id", "embedding", *own[2:]))
+    first = F.row_number().over(Window.partitionBy(*own).orderBy("id"))
+    some = keyed(items.select("id", "embedding", *own[2:])).withColumn("_n", first).where(F.col("_n") <= wanted)
+    some = _saved(some.groupBy(*own).agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("embedding").alias("embedding")))
+    different = _saved(asked.groupBy(*own).agg(F.first("embedding").alias("embedding")))
+    kind = items.schema["id"].dataType.simpleString()
+    repo = f", {repository} {queries.schema[repository].dataType.simpleString()}" if repository else ""
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.assign(_first=[x[0] for x in right["ids"]]).sort_values("_first", kind="stable", ignore_index=True)
+        found = [left.loc[i, own].reset_index(drop=True).assign(ids=right["ids"].to_numpy()[j], score=score) for i, j, score in _products(left, right, minimum, wanted, repository)]
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in (*own, "ids", "score")})
+
+    found = _in_blocks(different, some, F.col("_h"), F.col("_h"), meet, f"_h long, _g long{repo}, ids array<{kind}>, score double", block)
+    # of each vector the best others, in order of score and smallest id; each query takes the ids from them
+    w = Window.partitionBy(*own).orderBy(F.desc(F.round("score", 9)), F.col("ids")[0])
+    best = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= wanted).groupBy(*own).agg(F.collect_list(F.struct("score", "ids")).alias("best"))
+    met = asked.select(F.col("id").alias("query_id"), *own).join(best, own).select("query_id", F.explode("best").alias("b"))
+    met = met.select("query_id", F.explode("b.ids").alias("id"), F.col("b.score").alias("score"))
+    return _ranked(met.where("query_id <> id") if exclude_self else met, k)
+
+
+def pairs_above(items: DataFrame, minimum: float, block: int | None = None, thin: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """All (query_id, id, score) of different items at or above the threshold, both ways.
+
+    thin, on (query_id, id, score) with query_id < id, keeps of the pairs of a strip, then of those kept in a pair of
+    blocks, what the caller needs of them; then each pair comes once, the smaller id first.
+    """
+    kind = items.schema["id"].dataType.simpleString()
+    rows = items.where("embedding is not null").select("id", "embedding")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+        found = []
+        for i, j, score in _products(left, right, minimum):
+            met = pd.DataFrame({"query_id": a[i], "id": b[j], "score": score})
+            met = met[met["query_id"] != met["id"]]
+            found.append(met if thin is None else thin(met[met["query_id"] < met["id"]]))
+        met = pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return met if thin is None else thin(met)
+
+    return _in_blocks(rows, rows, F.xxhash64("id"), F.xxhash64("id"), meet, f"query_id {kind}, id {kind}, score double", block)
 
 
-def pairs_above(items: DataFrame, minimum: float, block: int = 1024) -> DataFrame:
-    """All (query_id, id, score) of different items at or above the threshold, both ways."""
-    return _blockwise(items, items, None, minimum, True, None, block)
+def _in_blocks(left: DataFrame, right: DataFrame, by_left: Column, by_right: Column, meet: Callable, schema: str, block: int | None) -> DataFrame:
+    """meet(left rows, right rows) for each pair of blocks, to which rows are dealt by a hash.
+
+    Up to 8 blocks a side of 1,024 rows or more, then blocks of 65,536, so each row is sent at most N / 65,536 times.
+    """
 
+    def number(df: DataFrame) -> int:
+        n = df.count()
+        return max(1, -(-n // (block or min(65_536, max(1024, -(-n // 8))))))
 
-def _blockwise(queries: DataFrame, items: DataFrame, k: int | None, minimum: float, exclude_self: bool, repository: str | None, block: int) -> DataFrame:
-    keep = ["id", "embedding"] + ([repository] if repository else [])
-    n_q, n_i = (max(1, -(-df.count() // block)) for df in (queries, items))
-    own = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    n_l, n_r = number(left), number(right)
+    own = lambda by, n: F.pmod(by, F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select(*keep).withColumn("qb", own(queries, n_q)).withColumn("ib", every(n_i))
-    x = items.select(*keep).withColumn("ib", own(items, n_i)).withColumn("qb", every(n_q))
-    x = x.toDF(*[f"{c}_" for c in x.columns])  # both sides may be one table
-    schema = f"query_id {queries.schema['id'].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, score double"
-    empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    def meet(asked: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(some):
-            return empty
-        some = some.rename(columns=lambda c: c[:-1]).sort_values("id", kind="stable")
-        a, b = (np.array(df["embedding"].tolist(), np.float64) for df in (asked, some))
-        if a.ndim < 2 or b.ndim < 2 or a.shape[1] != b.shape[1]:
-            return empty
-        q_ids, ids = asked["id"].to_numpy(), some["id"].to_numpy()
-        n = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
-        score = np.divide(a @ b.T, n, out=np.full(n.shape, -1.0), where=n > 0)
-        out = score < max(minimum, -1.0)
-        if exclude_self:
-            out |= q_ids[:, None] == ids[None]
-        if repository:
-            out |= asked[repository].to_numpy()[:, None] != some[repository].to_numpy()[None]
-        if k is not None and k < len(ids):  # ids are in order, so equal scores keep it
-            best = np.argsort(np.where(out, np.inf, -np.round(score, 9)), axis=1, kind="stable")[:, k:]
-            np.put_along_axis(out, best, True, axis=1)
-        i, j = np.nonzero(~out)
-        return pd.DataFrame({"query_id": q_ids[i], "id": ids[j], "score": score[i, j]})
-
-    return q.groupBy("qb", "ib").cogroup(x.groupBy("qb_", "ib_")).applyInPandas(meet, schema)
+    x = left.withColumn("_lb", own(by_left, n_l)).withColumn("_rb", every(n_r))
+    y = right.withColumn("_rb", own(by_right, n_r)).withColumn("_lb", every(n_l))
+    y = y.toDF(*[f"{c}_" for c in y.columns])  # both sides may be one table
+    both = lambda a, b: meet(a, b.rename(columns=lambda c: c[:-1])) if len(a) and len(b) else meet(a.iloc[:0], b.iloc[:0].rename(columns=lambda c: c[:-1]))
+    return x.groupBy("_lb", "_rb").cogroup(y.groupBy("_lb_", "_rb_")).applyInPandas(both, schema)
+
+
+def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int | None = None, repository: str | None = None, strip: int = 512, span: int = 8192):
+    """(i, j, score) by strips of left rows: the pairs of rows (embedding) with a score at or above minimum, or for each i the k best of them.
+
+    Equal scores (to 9 digits) go by the order of the right rows.  Products in single precision find what may be wanted,
+    within their rounding error; the scores are computed in double precision.  Vectors of unlike lengths do not meet.
+    """
+    minimum = max(minimum, -1.0)
+    la, lb = (np.array([len(v) for v in df["embedding"]], np.int64) for df in (left, right))
+    for width in np.intersect1d(la, lb):
+        rows, others = np.flatnonzero(la == width), np.flatnonzero(lb == width)
+        if not width:
+            continue
+        b = np.array(right["embedding"].iloc[others].tolist(), np.float64)
+        nb = np.linalg.norm(b, axis=1)
+        units = (b / np.where(nb > 0, nb, 1)[:, None]).astype(np.float32)
+        codes = pd.factorize(pd.concat([left[repository].iloc[rows], right[repository].iloc[others]]))[0] if repository else None
+        slack = np.float32(1e-7 * width + 1e-6)
+        for start in range(0, len(rows), strip):
+            mine = rows[start : start + strip]
+            a = np.array(left["embedding"].iloc[mine].tolist(), np.float64)
+            na = np.linalg.norm(a, axis=1)
+            u = (a / np.where(na > 0, na, 1)[:, None]).astype(np.float32)
+            least = np.full(len(mine), minimum, np.float32) - slack
+            i, j, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            for at in range(0, len(others), span):
+                near = u @ units[at : at + span].T
+                near[na == 0] = -1
+                near[:, nb[at : at + span] == 0] = -1
+                if codes is not None:
+                    near[codes[start : start + len(mine)][:, None] != codes[len(rows) + at : len(rows) + at + span][None]] = -np.inf
+                maybe = near >= least[:, None]
+                if k is not None and k < near.shape[1] and np.count_nonzero(maybe) > 8 * k * len(mine):
+                    least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - 2 * slack)
+                    maybe = near >= least[:, None]
+                ni, nj = np.nonzero(maybe)
+                nj = nj + at
+                new = np.full(len(ni), -1.0)
+                for part in range(0, len(ni), 100_000):
+                    p, q = ni[part : part + 100_000], nj[part : part + 100_000]
+                    n = na[p] * nb[q]
+                    np.divide(np.einsum("ij,ij->i", a[p], b[q]), n, out=new[part : part + 100_000], where=n > 0)
+                good = new >= minimum
+                i, j, score = np.concatenate([i, ni[good]]), np.concatenate([j, nj[good]]), np.concatenate([score, new[good]])
+                if k is not None and len(i):
+                    order = np.lexsort((j, -np.round(score, 9), i))
+                    i, j, score = i[order], j[order], score[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    full = place == k - 1
+                    least[i[full]] = np.maximum(least[i[full]], score[full].astype(np.float32) - 2 * slack)
+                    i, j, score = i[place < k], j[place < k], score[place < k]
+            yield mine[i], others[j], score
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

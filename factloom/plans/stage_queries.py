@@ -10,7 +10,7 @@ from ..functions import vectors as vec
 from ..operators import clustering, concepts, dedup, failures, graph, relational, summaries
 from ..sources import catalog, pages
 from .fixtures import Tables
-from .queries import _NEAR, NAME_A, NEAR, ORACLES, _pairs, query
+from .queries import _NEAR, NAME_A, NEAR, ORACLES, query
 
 _KEY = """md5('{"repository_id":"r","context_key":"' || lower(context) || '","key":"' || lower(name) || '"}')"""
 
@@ -140,7 +140,7 @@ ORACLES["t12_stable_sweep"] = ORACLES["t12_stable_sweep"].replace("WITH ", "WITH
 
 @query("vectors", sql=f"SELECT a, b, round(s, 6) AS score, band FROM (SELECT query_id AS a, id AS b, s, CASE WHEN s >= 0.4 THEN 0.4 WHEN s >= 0.36 THEN 0.36 ELSE 0.3 END AS band FROM ({_NEAR}) WHERE s >= 0.3 AND query_id < id) QUALIFY row_number() OVER (PARTITION BY band ORDER BY md5(a || '-' || b), a, b) <= 5")
 def g22_example_pairs(t: Tables) -> DataFrame:
-    return dedup.examples(_pairs(t), [0.3, 0.36, 0.4]).select("a", "b", F.round("score", 6).alias("score"), "band")
+    return dedup.band_examples(t.vectors, [0.3, 0.36, 0.4]).select("a", "b", F.round("score", 6).alias("score"), "band")
 
 
 @query("fact_concepts", sql=f"SELECT CAST(coalesce(max(CASE WHEN n >= size THEN n // size END), CASE WHEN max(n) > 0 THEN 1 END, 0) AS INTEGER) AS sequence_num FROM (SELECT count(*) AS n, CASE WHEN count(*) >= 10000 THEN 200 WHEN count(*) >= 1000 THEN 100 WHEN count(*) >= 100 THEN 50 ELSE 20 END AS size FROM fact_concepts WHERE name = '{NAME_A}')")

@@ -129,3 +129,35 @@ def test_routing_meets_different_vectors_in_blocks(spark, monkeypatch):
     closest = concepts._closest
     monkeypatch.setattr(concepts, "_closest", lambda a, b: closest(a, b, block=4))
     assert rows(concepts.route(mentions, names, vectors, facts), "fact_id", "concept_id", "outcome") == want
+
+
+def test_neighbours_of_copies_in_blocks(spark):
+    """Equal vectors meet once, and the result is that of all rows: ties by id, no row its own neighbour, repositories apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    pool = rng.normal(size=(40, 6)).tolist() + [[0.0] * 6]
+    items = [(i, pool[int(rng.integers(0, 41))], "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(items, "id long, embedding array<float>, repo string").repartition(3)
+    x = np.array([v for _, v, _ in items], np.float32).astype(float)
+    n = np.linalg.norm(x, axis=1)
+    score = np.where(n[:, None] * n > 0, x @ x.T / np.where(n[:, None] * n > 0, n[:, None] * n, 1), -1)
+    for repo, minimum in ((None, -1.0), ("repo", 0.3)):
+        want = []
+        for i in range(300):
+            some = [j for j in range(300) if j != i and score[i, j] >= minimum and (repo is None or i % 2 == j % 2)]
+            want += [(i, j, r + 1) for r, j in enumerate(sorted(some, key=lambda j: (-round(score[i, j], 9), j))[:4])]
+        assert rows(search.neighbours(df, df, 4, minimum, True, repo, block=16), "query_id", "id", "rank") == sorted(want)
+
+
+def test_thinned_pairs_give_the_sweep_and_examples_of_all(spark):
+    import numpy as np
+
+    x = np.random.default_rng(9).normal(size=(150, 6)).tolist()
+    df = spark.createDataFrame(list(enumerate(x)), "id long, embedding array<double>").cache()
+    cross = lambda a, b: a % 7 != b % 7
+    every = search.pairs_above(df, 0.5, block=40).where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score").withColumn("cross", F.col("a") % 7 != F.col("b") % 7)
+    thin = dedup.sweep_pairs(df, 0.5, cross)
+    assert thin.count() < every.count()
+    assert dedup.threshold_sweep(thin, [0.5, 0.7, 0.9], 150).collect() == dedup.threshold_sweep(every, [0.5, 0.7, 0.9], 150).collect()
+    assert rows(dedup.band_examples(df, [0.5, 0.7]), "a", "b", "band") == rows(dedup.examples(every, [0.5, 0.7]), "a", "b", "band")
