@@ -161,3 +161,25 @@ def test_thinned_pairs_give_the_sweep_and_examples_of_all(spark):
     assert thin.count() < every.count()
     assert dedup.threshold_sweep(thin, [0.5, 0.7, 0.9], 150).collect() == dedup.threshold_sweep(every, [0.5, 0.7, 0.9], 150).collect()
     assert rows(dedup.band_examples(df, [0.5, 0.7]), "a", "b", "band") == rows(dedup.examples(every, [0.5, 0.7]), "a", "b", "band")
+
+
+def test_texts_are_inverted_within_their_rows(spark):
+    texts = [(1, "b a  b"), (1, "second text of one id"), (2, ""), (3, " x "), (4, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", "text", tx.inverted_of(F.split("text", " ")).alias("at"))
+    assert [r["at"] for r in df.collect()][0] == {"b": [0, 3], "a": [1], "": [2]}
+    back = df.select("text", tx.abstract_of(F.col("at")).alias("back"))
+    assert all(r["text"] == r["back"] for r in back.collect()) and "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_and_q_values_of_rows_that_stand_for_many(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [(int(a), float(b)) for a, b in zip(rng.integers(0, 6, 500), rng.integers(0, 9, 500))]
+    df = spark.createDataFrame(data, "x int, y double")
+    ranks = pd.DataFrame(data).rank()
+    assert graph.spearman(df, "x", "y").first()["rho"] == pytest.approx(np.corrcoef(ranks[0], ranks[1])[0, 1])
+    many = [(w, round(p, 2), n) for w, p, n in zip(rng.integers(1, 12, 60).tolist(), (rng.random(60) ** 3).tolist(), rng.integers(1, 5, 60).tolist())]
+    short = spark.createDataFrame(many, "weight int, p double, n int")
+    whole = short.select("weight", "p", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    assert graph.survivors(graph.benjamini_hochberg(short, "n"), "n").collect() == graph.survivors(graph.benjamini_hochberg(whole)).collect()
