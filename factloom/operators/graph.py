@@ -142,14 +142,15 @@ def _running(counts: DataFrame, column: str, parts: int = 64) -> DataFrame:
     return own.join(heads, "_r").withColumn("_c", F.col("_own") + F.col("_before")).drop("_own", "_before")
 
 
-def benjamini_hochberg(edges: DataFrame) -> DataFrame:
-    """Q values; ties of p share the value of the last of them.
+def benjamini_hochberg(edges: DataFrame, number: str | None = None) -> DataFrame:
+    """Q values; ties of p share the value of the last of them.  number: a column that says how many edges a row stands for.
 
     p is rounded to 12 digits.  Ranks of distinct p values are running counts and q a running minimum from above, both
     per range of p values; only the ranges' totals meet.
     """
-    counted = _running(edges.groupBy(F.round("p", 12).alias("_p")).agg(F.count(F.lit(1)).alias("_n")), "_p")
-    total = edges.agg(F.count(F.lit(1)).alias("_all"))
+    many = F.lit(1) if number is None else F.col(number)
+    counted = _saved(_running(edges.groupBy(F.round("p", 12).alias("_p")).agg(F.sum(many).alias("_n")), "_p"))
+    total = counted.agg(F.sum("_n").alias("_all"))
     raw = _saved(counted.crossJoin(F.broadcast(total)).withColumn("_q", F.col("_p") * F.col("_all") / F.col("_c")))
     after = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     low = raw.groupBy("_r").agg(F.min("_q").alias("_m")).select("_r", F.min("_m").over(after).alias("_after"))
@@ -165,9 +166,18 @@ def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row with rho."""
-    both = average_ranks(average_ranks(df, x, "_rx"), y, "_ry")
-    return both.agg(F.corr("_rx", "_ry").alias("rho"))
+    """One row with rho.  df is read once: equal (x, y) count together, and ranks and sums are taken over those."""
+    pairs = _saved(df.groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_m")).where("_x is not null and _y is not null"))
+    for c in ("_x", "_y"):
+        ranked = _running(pairs.groupBy(c).agg(F.sum("_m").alias("_n")), c)
+        mine = ranked.select(c, (F.col("_c") - (F.col("_n") - 1) / 2).alias(f"_r{c}"))
+        pairs = pairs.join(mine, c)
+    pairs = _saved(pairs)
+    mean = pairs.agg(*[(F.sum(F.col("_m") * F.col(f"_r{c}")) / F.sum("_m")).alias(f"_a{c}") for c in ("_x", "_y")])
+    d = lambda c: F.col(f"_r{c}") - F.col(f"_a{c}")
+    met = pairs.crossJoin(F.broadcast(mean))  # one row
+    sums = met.agg(F.sum(F.col("_m") * d("_x") * d("_y")).alias("xy"), *[F.sum(F.col("_m") * d(c) * d(c)).alias(c) for c in ("_x", "_y")])
+    return sums.select(F.when((F.col("_x") > 0) & (F.col("_y") > 0), F.col("xy") / F.sqrt(F.col("_x")) / F.sqrt(F.col("_y"))).alias("rho"))
 
 
 def confounded(model: DataFrame) -> DataFrame:
@@ -177,11 +187,13 @@ def confounded(model: DataFrame) -> DataFrame:
     return rows.groupBy("band").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.abs("z") < 1).alias("confounded"))
 
 
-def survivors(tested: DataFrame) -> DataFrame:
-    """One row of counts by p, q and weight."""
+def survivors(tested: DataFrame, number: str | None = None) -> DataFrame:
+    """One row of counts by p, q and weight; number: how many edges a row stands for."""
+    many = F.lit(1) if number is None else F.col(number)
+    count = lambda c: F.coalesce(F.sum(F.when(c, many)), F.lit(0)).cast("long")
     return tested.agg(
-        F.count_if(F.col("p") < 0.05).alias("p_05"), F.count_if(F.col("p") < 0.01).alias("p_01"), F.count_if(F.col("q") < 0.05).alias("q_05"),
-        F.count_if(F.col("weight") >= 2).alias("w_2"), F.count_if(F.col("weight") >= 5).alias("w_5"), F.count_if(F.col("weight") >= 10).alias("w_10"),
+        count(F.col("p") < 0.05).alias("p_05"), count(F.col("p") < 0.01).alias("p_01"), count(F.col("q") < 0.05).alias("q_05"),
+        count(F.col("weight") >= 2).alias("w_2"), count(F.col("weight") >= 5).alias("w_5"), count(F.col("weight") >= 10).alias("w_10"),
     )
 
 
