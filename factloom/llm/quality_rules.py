@@ -78,28 +78,33 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return _settled(rows, "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
-def trusted(labels: DataFrame, most: int = 50_000) -> DataFrame:
-    """(id, held_out) of documents labelled good and not toxic in every label they have; about `most` of them, drawn by a hash.
+def trusted(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, held_out) of all documents labelled good and not toxic in every label they have; of about `most` of them, drawn by a hash, if given.
 
     One in five is held out.
     """
     each = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("toxic"))
-    good = each.where("quality = 1 and toxic = 0").withColumn("h", F.xxhash64(F.lit(77), "id"))
-    number = good.count()
-    share = min(1.0, most / max(1, number))
-    chosen = good.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    chosen = each.where("quality = 1 and toxic = 0").withColumn("h", F.xxhash64(F.lit(77), "id"))
+    if most is not None:
+        share = min(1.0, most / max(1, chosen.count()))
+        chosen = chosen.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     return chosen.select("id", (F.pmod(F.shiftright("h", 20), F.lit(5)) == 0).alias("held_out"))
 
 
+def _small(ids: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """ids, to be broadcast while they are few, so that no text is shuffled for them."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def weights(docs: DataFrame, chosen: DataFrame, buckets: int = BUCKETS, shrink: float = 1.0) -> DataFrame | None:
     """One row (weights): for each bucket the logarithm of its probability in the chosen documents over that in all docs.
 
     Of the chosen ones those held out do not count as trusted.  shrink: how many n-grams a bucket is worth of the raw
-    corpus' evidence.  None where no trusted n-gram is found.  chosen is broadcast, so it must be bounded as by trusted().
+    corpus' evidence.  None where no trusted n-gram is found.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
     target = F.coalesce((~F.col("held_out")).cast("int"), F.lit(0))
-    grams = rows.join(F.broadcast(chosen), "id", "left").select(target.alias("good"), F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
+    grams = rows.join(_small(chosen), "id", "left").select(target.alias("good"), F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")))  # a row a bucket at most
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
     if not total["good"]:
@@ -119,12 +124,41 @@ def _scored(rows: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
     return met.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams"))).drop("_grams", "weights")
 
 
-def judged(docs: DataFrame, labels: DataFrame, percentile: float = 0.005, slack: float = 0.03, most_trusted: int = 50_000, buckets: int = BUCKETS, min_trusted: int = 20) -> DataFrame:
+def _low(scored: DataFrame, percentile: float):
+    """A row (n, low): how many scores there are, and their percentile, interpolated; scores by 9 digits are counted in parallel.
+
+    A first count by 4 digits says between which steps the two scores lie that the percentile stands between.
+    """
+    scores = cut(scored.where("score is not null").select(F.round("score", 9).alias("score")))
+    coarse = F.floor(F.col("score") * 10_000)
+    steps = sorted((r["s"], r["n"]) for r in scores.groupBy(coarse.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect())  # a mean of logarithms: some 10^5 steps at most
+    number = sum(n for _, n in steps)
+    at = percentile * max(0, number - 1)
+    seen, wanted = 0, {}
+    for step, n in steps:
+        for place in {int(at), min(int(at) + 1, number - 1)}:
+            if seen <= place < seen + n:
+                wanted[place] = (step, place - seen)
+        seen += n
+    value = {}
+    for place, (step, nth) in wanted.items():
+        counts = scores.where(coarse == step).groupBy("score").agg(F.count(F.lit(1)).alias("n")).orderBy("score").collect()  # 10^5 different ones at most
+        for r in counts:
+            if nth < r["n"]:
+                value[place] = r["score"]
+                break
+            nth -= r["n"]
+    release(scores)
+    below, above = value.get(int(at)), value.get(min(int(at) + 1, number - 1))
+    return {"n": number, "low": None if below is None else below + (above - below) * (at - int(at))}
+
+
+def judged(docs: DataFrame, labels: DataFrame, percentile: float = 0.005, slack: float = 0.03, most_trusted: int | None = None, buckets: int = BUCKETS, min_trusted: int = 20) -> DataFrame:
     """docs with the base counts, base_failed, score and kept.
 
-    The trusted target is learned from about most_trusted labelled documents (a bounded sample of labelled rows); the raw
-    counts are of all docs.  The threshold lies `slack` under the given percentile of the scores of held-out trusted
-    documents that pass the base rules.  With fewer than min_trusted of these, the base rules alone decide.
+    The trusted target is learned from all documents labelled good that are not held out (from about most_trusted of them,
+    if given); the raw counts are of all docs.  The threshold lies `slack` under the given percentile of the scores, counted
+    by 9 digits, of all held-out trusted documents that pass the base rules.  With fewer than min_trusted of these, the base rules alone decide.
 
     Null texts are empty and fail; a null doc_id has no label; repeated rows are judged each; a repeated label must be
     good in all its rows; an empty table gives an empty result.  Columns of docs with the new names are replaced.
@@ -136,8 +170,8 @@ def judged(docs: DataFrame, labels: DataFrame, percentile: float = 0.005, slack:
     rows, least = measured(docs), None
     if table is not None:
         held = chosen.where("held_out").select(F.col("id").alias("_id"))
-        sample = measured(docs.join(F.broadcast(held), F.col("doc_id").cast("long") == F.col("_id"), "left_semi"))
-        found = _scored(sample, table, buckets).agg(F.count("score").alias("n"), F.expr(f"percentile(score, {percentile})").alias("low")).first()
+        tested = measured(docs.join(_small(held), F.col("doc_id").cast("long") == F.col("_id"), "left_semi"))
+        found = _low(_scored(tested, table, buckets), percentile)
         least = found["low"] - slack if found["n"] >= min_trusted else None
     if least is None:
         out = rows.withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))

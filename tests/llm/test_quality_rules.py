@@ -79,3 +79,16 @@ def test_no_python_in_the_plan(spark):
 
     plan = op12_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_all_labelled_documents_count_and_the_percentile_is_exact(spark):
+    from factloom.llm import quality_rules
+
+    many = spark.range(70_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality_rules.trusted(many).count() == 70_000
+    scores = np.random.default_rng(1).normal(size=3001)
+    df = spark.createDataFrame([(float(x),) for x in scores] + [(None,)], "score double")
+    for p in (0.0, 0.005, 0.25, 1.0):
+        found = quality_rules._low(df, p)
+        assert found["n"] == 3001 and found["low"] == pytest.approx(np.percentile(scores, 100 * p), abs=2e-9)
+    assert quality_rules._low(df.limit(0), 0.5) == {"n": 0, "low": None}
