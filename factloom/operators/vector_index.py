@@ -74,9 +74,10 @@ def _located(df: DataFrame, centroids: np.ndarray, number: int | None) -> DataFr
     c = centroids
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(2048, 65_536 // max(1, len(c) if number is None else min(number, len(c)))))  # rows times cells, so that a batch stays small
         for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 rows = batch.column("embedding").to_pylist()
                 batch = batch.filter(pa.array([len(r) == c.shape[1] > 0 for r in rows], pa.bool_()))
                 x = _units([r for r in rows if len(r) == c.shape[1] > 0])
