@@ -265,10 +265,10 @@ def _find(match: int, keys: list[int]):
                 edge = group_starts(group)
                 low = np.minimum.reduceat(least[window], edge)
                 least[window] = np.repeat(low, np.diff(np.append(edge, len(group))))
-        for some in np.array_split(np.arange(len(doc)), max(1, int(windows[which].sum()) >> 22)):  # in bounded memory
+        for some in _batches(windows[which]):  # in bounded memory
             k = windows[which[some]]
-            group = np.repeat(np.arange(len(some)), k)
-            step = ranges(np.zeros(len(some), np.int64), k)
+            group = np.repeat(np.arange(len(k)), k)
+            step = ranges(np.zeros(len(k), np.int64), k)
             hit = least[offsets[which[some]][group] + step] < owner[some][group]
             yield hit_rows(hit, group, start[some][group] + step, c1, c2, doc[some])
 
@@ -276,9 +276,20 @@ def _find(match: int, keys: list[int]):
 
 
 def _string_minimisers(strings: list[bytes], lengths: np.ndarray, match: int) -> np.ndarray:
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    low, _ = minimisers(data, lengths, match, min(_GRAM, match))
-    return low[np.cumsum(lengths) - lengths]
+    """The minimiser that all windows of a string have in common, by string; hashes take some 40 bytes a byte of text, so a batch of strings at a time."""
+    out = np.empty(len(strings), np.uint64)
+    for part in _batches(lengths):
+        data = np.frombuffer(b"".join(strings[part]), np.uint8)
+        low, _ = minimisers(data, lengths[part], match, min(_GRAM, match))
+        out[part] = low[np.cumsum(lengths[part]) - lengths[part]]
+    return out
+
+
+def _batches(sizes: np.ndarray) -> Iterator[slice]:
+    """Slices of consecutive items whose sizes add up to about _BATCH."""
+    edges = [*group_starts((np.cumsum(sizes) - 1) // _BATCH).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:]):  # noqa: B905 - one longer
+        yield slice(a, b)
 
 
 def hits(found: DataFrame, match: int, buckets: int) -> DataFrame:
