@@ -249,11 +249,13 @@ def _in_blocks(left: DataFrame, right: DataFrame, by_left: Column, by_right: Col
     return x.groupBy("_lb", "_rb").cogroup(y.groupBy("_lb_", "_rb_")).applyInPandas(both, schema)
 
 
-def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int | None = None, repository: str | None = None, strip: int = 512, span: int = 8192):
+def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int | None = None, repository: str | None = None, strip: int = 512, span: int = 8192, probed: bool = False):
     """(i, j, score) by strips of left rows: the pairs of rows (embedding) with a score at or above minimum, or for each i the k best of them.
 
     Equal scores (to 9 digits) go by the order of the right rows.  Products in single precision find what may be wanted,
     within their rounding error; the scores are computed in double precision.  Vectors of unlike lengths do not meet.
+    probed: a left row meets those right rows alone whose `cell` is among its `cells`; a strip passes over what none of it
+    meets.  Not together with repository.
     """
     minimum = max(minimum, -1.0)
     la, lb = (np.array([len(v) for v in df["embedding"]], np.int64) for df in (left, right))
@@ -265,13 +267,25 @@ def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int |
         nb = np.linalg.norm(b, axis=1)
         units = (b / np.where(nb > 0, nb, 1)[:, None]).astype(np.float32)
         codes = pd.factorize(pd.concat([left[repository].iloc[rows], right[repository].iloc[others]]))[0] if repository else None
+        cells, cell = np.unique(right["cell"].to_numpy()[others], return_inverse=True) if probed else (None, None)
         slack = np.float32(1e-7 * width + 1e-6)
+        every = others, units, nb, cell, b
         for start in range(0, len(rows), strip):
             mine = rows[start : start + strip]
             a = np.array(left["embedding"].iloc[mine].tolist(), np.float64)
             na = np.linalg.norm(a, axis=1)
             u = (a / np.where(na > 0, na, 1)[:, None]).astype(np.float32)
             least = np.full(len(mine), minimum, np.float32) - slack
+            others, units, nb, cell, b = every
+            if probed:
+                asked = left["cells"].iloc[mine].tolist()
+                meets = np.zeros((len(mine), len(cells)), bool)
+                to, row = np.concatenate(asked), np.repeat(np.arange(len(mine)), [len(x) for x in asked])
+                here = np.isin(to, cells)
+                meets[row[here], np.searchsorted(cells, to[here])] = True
+                pool = np.flatnonzero(meets.any(0)[cell])
+                if len(pool) < len(others):
+                    others, units, nb, cell, b = others[pool], units[pool], nb[pool], cell[pool], b[pool]
             i, j, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
             for at in range(0, len(others), span):
                 near = u @ units[at : at + span].T
@@ -279,6 +293,8 @@ def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int |
                 near[:, nb[at : at + span] == 0] = -1
                 if codes is not None:
                     near[codes[start : start + len(mine)][:, None] != codes[len(rows) + at : len(rows) + at + span][None]] = -np.inf
+                if probed:
+                    near[~meets[:, cell[at : at + span]]] = -np.inf
                 maybe = near >= least[:, None]
                 if k is not None and k < near.shape[1] and np.count_nonzero(maybe) > 8 * k * len(mine):
                     least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - 2 * slack)

@@ -5,7 +5,8 @@ it.  A query meets the items of the few cells nearest to it, whose scores are co
 on a bounded set of queries against the exact answer.  With a threshold nothing is left to chance: by the triangle
 inequality on angles a cell's ring of angles can be skipped if it cannot hold a vector near enough, and all others are met.
 
-Work and shuffle grow with items times probes.  Cells are cut into blocks of bounded size, so a hot cell is many groups.
+Cells are cut into blocks of bounded size, so a hot cell is many groups.  A search deals the blocks to bins and sends each
+query once to a bin, with the cells that it probes there: its work grows with items times probes, its shuffle does not.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import _saved
-from .search import neighbours
+from .search import _products, neighbours
 
 _SLACK = 1e-6  # on angles, for rounding
 
@@ -69,8 +70,11 @@ class Index:
     id_type: str = field(default="bigint")
 
 
-def _located(df: DataFrame, centroids: np.ndarray, number: int | None) -> DataFrame:
-    """(id, embedding, cell, angle) for the `number` nearest centroids of each vector, or for all of them; vectors of another length meet none."""
+def _located(df: DataFrame, centroids: np.ndarray, number: int | None, together: bool = False) -> DataFrame:
+    """(id, embedding, cell, angle) for the `number` nearest centroids of each vector, or for all of them; vectors of another length meet none.
+
+    together: one row (id, embedding, cells) a vector instead, nearest first.
+    """
     c = centroids
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,13 +90,16 @@ def _located(df: DataFrame, centroids: np.ndarray, number: int | None) -> DataFr
                 dots = np.clip(x @ c.T, -1, 1)
                 k = len(c) if number is None else min(number, len(c))
                 near = np.argsort(-dots, axis=1, kind="stable")[:, :k]
+                if together:
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["id", "embedding", "cells"])
+                    continue
                 each = pa.array(np.repeat(np.arange(len(x)), k))
                 angle = np.arccos(np.take_along_axis(dots, near, 1)).ravel()
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(each), batch.column("embedding").take(each), pa.array(near.ravel().astype(np.int32)), pa.array(angle)], ["id", "embedding", "cell", "angle"])
 
     kind = df.schema["id"].dataType.simpleString()
     rows = df.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(locate, f"id {kind}, embedding array<double>, cell int, angle double")
+    return rows.mapInArrow(locate, f"id {kind}, embedding array<double>, " + ("cells array<int>" if together else "cell int, angle double"))
 
 
 def build(items: DataFrame, cells: int | None = None, block_rows: int = 4096, sample: int = 20_000) -> Index:
@@ -154,11 +161,64 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(index: Index, queries: DataFrame, k: int, minimum: float = -1.0, probes: int | None = None, exclude_self: bool = True) -> DataFrame:
-    """(query_id, id, score, rank): the k best of the items in the `probes` cells nearest to each query; scores are exact, ties by id."""
-    near = _located(queries, index.centroids, probes or index.probes)
-    asked = near.select("id", "embedding", "cell").join(index.blocks.select("cell", "block"), "cell")
-    return _best(_met(index, asked, queries.schema["id"].dataType.simpleString(), max(1, k), minimum, exclude_self), max(1, k))
+def _bins(n: int, most: int) -> int:
+    """Up to 8 of 1,024 rows or more, then of `most` rows."""
+    return max(1, -(-n // min(most, max(1024, -(-n // 8)))))
+
+
+def _by_bin(near: DataFrame, of_cell: DataFrame) -> DataFrame:
+    """(id, embedding, bin, cells): each query once for each bin that holds one of its cells; of_cell: (cell, bin), at most a row a block."""
+    held: dict[int, list[int]] = {}
+    for r in of_cell.collect():
+        held.setdefault(r["cell"], []).append(r["bin"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, bins, cells = [], [], []
+            for row, probed in enumerate(batch.column("cells").to_pylist()):
+                met: dict[int, list[int]] = {}
+                for cell in probed:
+                    for at in held.get(cell, ()):
+                        met.setdefault(at, []).append(cell)
+                rows += [row] * len(met)
+                bins += met
+                cells += met.values()
+            if rows:
+                each = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(each), batch.column("embedding").take(each), pa.array(bins, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["id", "embedding", "bin", "cells"])
+
+    return near.mapInArrow(deal, f"id {near.schema['id'].dataType.simpleString()}, embedding array<double>, bin int, cells array<int>")
+
+
+def search(index: Index, queries: DataFrame, k: int, minimum: float = -1.0, probes: int | None = None, exclude_self: bool = True, most: int = 65_536) -> DataFrame:
+    """(query_id, id, score, rank): the k best of the items in the `probes` cells nearest to each query; scores are exact, ties by id.
+
+    Each pair of a bin of blocks and a part of the queries, both of at most about `most` rows, is one group, worked through
+    in matrix products of which the k best a query go on: a row is sent N / most times at most, whatever the probes.
+    """
+    k = max(1, k)
+    wanted = k + 1 if exclude_self else k
+    n = index.items.count()
+    bin_of = F.pmod(F.xxhash64("cell", "block"), F.lit(_bins(n, most))).cast("int")
+    parts = _bins(queries.count(), most)
+    near = _by_bin(_located(queries, index.centroids, probes or index.probes, True), index.blocks.select("cell", bin_of.alias("bin")).distinct())
+    asked = near.select(F.col("id").alias("query_id"), "embedding", "cells", "bin", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(parts)).cast("int").alias("part"))
+    some = index.items.select("id", F.col("embedding"), "cell", bin_of.alias("bin_"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part_"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            right = right.sort_values("id", kind="stable", ignore_index=True)
+            copy = pd.Series([v.tobytes() for v in right["embedding"]])
+            right = right[(right.groupby([copy, "cell"]).cumcount() < wanted).to_numpy()].reset_index(drop=True)  # of equal vectors the first ids are as many as can be wanted
+            left = left.assign(_near=[c[0] for c in left["cells"]]).sort_values("_near", kind="stable", ignore_index=True)  # strips of queries that probe the same cells
+            ids, own = right["id"].to_numpy(), left["query_id"].to_numpy()
+            found = [pd.DataFrame({"query_id": own[i], "id": ids[j], "score": score}) for i, j, score in _products(left, right, minimum, wanted, probed=True)]
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    schema = f"query_id {queries.schema['id'].dataType.simpleString()}, id {index.id_type}, score double"
+    found = asked.groupBy("bin", "part").cogroup(some.groupBy("bin_", "part_")).applyInPandas(meet, schema)
+    return _best(found.where("query_id <> id") if exclude_self else found, k)
 
 
 def within(index: Index, queries: DataFrame, minimum: float, k: int | None = None, exclude_self: bool = True) -> DataFrame:

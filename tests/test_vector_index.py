@@ -48,3 +48,15 @@ def test_edges(spark):
     assert {(r["query_id"], r["id"]) for r in vector_index.within(index, same, 0.9).collect()} == {(3, 4), (4, 3)}
     none = vector_index.build(odd.limit(0))
     assert vector_index.search(none, odd, 3).count() == 0 and vector_index.within(none, odd, 0.5).count() == 0
+
+
+def test_search_sends_a_query_once_a_bin(spark, clustered):
+    index = vector_index.build(clustered, block_rows=50)
+    cells = len(index.centroids)
+    bins = index.blocks.selectExpr("cell", "cast(pmod(xxhash64(cell, block), 3) as int) as bin").distinct()
+    sent = vector_index._by_bin(vector_index._located(clustered, index.centroids, cells, True), bins)
+    assert sent.count() == 900 * bins.select("bin").distinct().count()  # not 900 times the blocks
+    key = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+    for probes, k in ((cells, 7), (3, 4)):
+        assert key(vector_index.search(index, clustered, k, probes=probes, most=100)) == key(vector_index.search(index, clustered, k, probes=probes))
+    assert key(vector_index.search(index, clustered, 7, probes=cells, most=100)) == key(search.neighbours(clustered, clustered, 7))
