@@ -249,11 +249,23 @@ def _in_blocks(left: DataFrame, right: DataFrame, by_left: Column, by_right: Col
     return x.groupBy("_lb", "_rb").cogroup(y.groupBy("_lb_", "_rb_")).applyInPandas(both, schema)
 
 
-def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int | None = None, repository: str | None = None, strip: int = 512, span: int = 8192, probed: bool = False):
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a mask in which little is set: it looks at 8 places at once."""
+    if mask.shape[1] % 8:
+        at = np.flatnonzero(mask)
+    else:
+        words = np.flatnonzero(mask.ravel().view(np.uint64) != 0)
+        word, bit = np.nonzero(mask.reshape(-1, 8)[words])
+        at = words[word] * 8 + bit
+    return np.divmod(at, mask.shape[1])
+
+
+def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int | None = None, repository: str | None = None, strip: int = 512, span: int = 1024, probed: bool = False):
     """(i, j, score) by strips of left rows: the pairs of rows (embedding) with a score at or above minimum, or for each i the k best of them.
 
     Equal scores (to 9 digits) go by the order of the right rows.  Products in single precision find what may be wanted,
     within their rounding error; the scores are computed in double precision.  Vectors of unlike lengths do not meet.
+    A tile of strip times span products stays in a core's cache; what it finds is ranked once it is twice what is kept.
     probed: a left row meets those right rows alone whose `cell` is among its `cells`; a strip passes over what none of it
     meets.  Not together with repository.
     """
@@ -268,8 +280,12 @@ def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int |
         units = (b / np.where(nb > 0, nb, 1)[:, None]).astype(np.float32)
         codes = pd.factorize(pd.concat([left[repository].iloc[rows], right[repository].iloc[others]]))[0] if repository else None
         cells, cell = np.unique(right["cell"].to_numpy()[others], return_inverse=True) if probed else (None, None)
+        place_of = np.full(cells[-1] + 1, -1) if probed else None  # of a cell's number among those of the right rows
+        if probed:
+            place_of[cells] = np.arange(len(cells))
         slack = np.float32(1e-7 * width + 1e-6)
         every = others, units, nb, cell, b
+        tile = np.empty((strip, span), np.float32)
         for start in range(0, len(rows), strip):
             mine = rows[start : start + strip]
             a = np.array(left["embedding"].iloc[mine].tolist(), np.float64)
@@ -281,25 +297,33 @@ def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int |
                 asked = left["cells"].iloc[mine].tolist()
                 meets = np.zeros((len(mine), len(cells)), bool)
                 to, row = np.concatenate(asked), np.repeat(np.arange(len(mine)), [len(x) for x in asked])
-                here = np.isin(to, cells)
-                meets[row[here], np.searchsorted(cells, to[here])] = True
+                row, to = row[to < len(place_of)], place_of[to[to < len(place_of)]]
+                meets[row[to >= 0], to[to >= 0]] = True
                 pool = np.flatnonzero(meets.any(0)[cell])
-                if len(pool) < len(others):
+                if len(pool) < 0.8 * len(others):  # else the copies cost more than they save
                     others, units, nb, cell, b = others[pool], units[pool], nb[pool], cell[pool], b[pool]
-            i, j, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            kept = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            fresh, many = [], 0  # found since kept was ranked
             for at in range(0, len(others), span):
-                near = u @ units[at : at + span].T
-                near[na == 0] = -1
-                near[:, nb[at : at + span] == 0] = -1
+                some = units[at : at + span].T
+                wide = some.shape[1]
+                near = np.matmul(u, some, out=tile) if (len(mine), wide) == tile.shape else u @ some
+                zero = nb[at : at + span] == 0
+                if zero.any() or not na.all():
+                    near[na == 0] = -1
+                    near[:, zero] = -1
                 if codes is not None:
                     near[codes[start : start + len(mine)][:, None] != codes[len(rows) + at : len(rows) + at + span][None]] = -np.inf
-                if probed:
-                    near[~meets[:, cell[at : at + span]]] = -np.inf
                 maybe = near >= least[:, None]
-                if k is not None and k < near.shape[1] and np.count_nonzero(maybe) > 8 * k * len(mine):
+                if k is not None and k < wide and np.count_nonzero(maybe) > 8 * k * len(mine):
+                    if probed:
+                        near[~meets[:, cell[at : at + span]]] = -np.inf
                     least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - 2 * slack)
                     maybe = near >= least[:, None]
-                ni, nj = np.nonzero(maybe)
+                ni, nj = _places(maybe)
+                if probed:
+                    met = meets[ni, cell[at + nj]]
+                    ni, nj = ni[met], nj[met]
                 nj = nj + at
                 new = np.full(len(ni), -1.0)
                 for part in range(0, len(ni), 100_000):
@@ -307,14 +331,19 @@ def _products(left: pd.DataFrame, right: pd.DataFrame, minimum: float, k: int |
                     n = na[p] * nb[q]
                     np.divide(np.einsum("ij,ij->i", a[p], b[q]), n, out=new[part : part + 100_000], where=n > 0)
                 good = new >= minimum
-                i, j, score = np.concatenate([i, ni[good]]), np.concatenate([j, nj[good]]), np.concatenate([score, new[good]])
-                if k is not None and len(i):
-                    order = np.lexsort((j, -np.round(score, 9), i))
-                    i, j, score = i[order], j[order], score[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    full = place == k - 1
-                    least[i[full]] = np.maximum(least[i[full]], score[full].astype(np.float32) - 2 * slack)
-                    i, j, score = i[place < k], j[place < k], score[place < k]
+                fresh.append((ni[good], nj[good], new[good]))
+                many += len(fresh[-1][0])
+                if k is None or (many < 2 * k * len(mine) and len(kept[0]) and at + span < len(others)) or not many:
+                    continue
+                i, j, score = (np.concatenate(x) for x in zip(kept, *fresh))
+                order = np.lexsort((j, -np.round(score, 9), i))
+                i, j, score = i[order], j[order], score[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                full = place == k - 1
+                least[i[full]] = np.maximum(least[i[full]], score[full].astype(np.float32) - 2 * slack)
+                kept = i[place < k], j[place < k], score[place < k]
+                fresh, many = [], 0
+            i, j, score = (np.concatenate(x) for x in zip(kept, *fresh))
             yield mine[i], others[j], score
 
 

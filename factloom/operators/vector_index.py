@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +27,10 @@ from .search import _products, neighbours
 _SLACK = 1e-6  # on angles, for rounding
 
 
-def _units(rows: list) -> np.ndarray:
+def _units(rows: list | np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 (a row of zeros stays); without columns if their lengths differ."""
     same = len({len(r) for r in rows}) == 1
-    x = np.array([list(r) for r in rows], np.float64) if same else np.zeros((len(rows), 0))
+    x = np.array(rows if isinstance(rows, np.ndarray) else [list(r) for r in rows], np.float64) if same else np.zeros((len(rows), 0))
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
@@ -82,24 +83,25 @@ def _located(df: DataFrame, centroids: np.ndarray, number: int | None, together:
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
-                rows = batch.column("embedding").to_pylist()
-                batch = batch.filter(pa.array([len(r) == c.shape[1] > 0 for r in rows], pa.bool_()))
-                x = _units([r for r in rows if len(r) == c.shape[1] > 0])
-                if not len(x):
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), c.shape[1])) if c.shape[1] else batch.slice(0, 0)
+                if not batch.num_rows:
                     continue
+                x = _units(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, c.shape[1]))
                 dots = np.clip(x @ c.T, -1, 1)
                 k = len(c) if number is None else min(number, len(c))
                 near = np.argsort(-dots, axis=1, kind="stable")[:, :k]
                 if together:
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["id", "embedding", "cells"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(near.ravel().astype(np.int32)))], ["id", "embedding", "cells"])
                     continue
                 each = pa.array(np.repeat(np.arange(len(x)), k))
                 angle = np.arccos(np.take_along_axis(dots, near, 1)).ravel()
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(each), batch.column("embedding").take(each), pa.array(near.ravel().astype(np.int32)), pa.array(angle)], ["id", "embedding", "cell", "angle"])
 
     kind = df.schema["id"].dataType.simpleString()
-    rows = df.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(locate, f"id {kind}, embedding array<double>, " + ("cells array<int>" if together else "cell int, angle double"))
+    of = df.schema["embedding"].dataType.simpleString()
+    of = of if of == "array<float>" else "array<double>"  # float is half as much to send, and exact in double
+    rows = df.where("embedding is not null").select("id", F.col("embedding").cast(of).alias("embedding"))
+    return rows.mapInArrow(locate, f"id {kind}, embedding {of}, " + ("cells array<int>" if together else "cell int, angle double"))
 
 
 def build(items: DataFrame, cells: int | None = None, block_rows: int = 4096, sample: int = 20_000) -> Index:
@@ -168,26 +170,28 @@ def _bins(n: int, most: int) -> int:
 
 def _by_bin(near: DataFrame, of_cell: DataFrame) -> DataFrame:
     """(id, embedding, bin, cells): each query once for each bin that holds one of its cells; of_cell: (cell, bin), at most a row a block."""
-    held: dict[int, list[int]] = {}
-    for r in of_cell.collect():
-        held.setdefault(r["cell"], []).append(r["bin"])
+    held = np.array(sorted((r["cell"], r["bin"]) for r in of_cell.collect()), np.int64).reshape(-1, 2)
+    top = held[-1, 0] + 1 if len(held) else 0
+    first, many = np.searchsorted(held[:, 0], np.arange(top)), np.bincount(held[:, 0], minlength=top)  # of a cell in held
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, bins, cells = [], [], []
-            for row, probed in enumerate(batch.column("cells").to_pylist()):
-                met: dict[int, list[int]] = {}
-                for cell in probed:
-                    for at in held.get(cell, ()):
-                        met.setdefault(at, []).append(cell)
-                rows += [row] * len(met)
-                bins += met
-                cells += met.values()
-            if rows:
-                each = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(each), batch.column("embedding").take(each), pa.array(bins, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["id", "embedding", "bin", "cells"])
-
-    return near.mapInArrow(deal, f"id {near.schema['id'].dataType.simpleString()}, embedding array<double>, bin int, cells array<int>")
+            probed = batch.column("cells")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(probed).to_numpy(zero_copy_only=False))
+            cell = probed.flatten().to_numpy(zero_copy_only=False)
+            row, cell = row[cell < top], cell[cell < top]
+            n = many[cell]
+            at = np.repeat(first[cell] + n - np.cumsum(n), n) + np.arange(n.sum())
+            row, cell, to = np.repeat(row, n), np.repeat(cell, n), held[at, 1]
+            order = np.lexsort((to, row))  # stable: the cells stay nearest first
+            row, cell, to = row[order], cell[order], to[order]
+            starts = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(to, prepend=-1))
+            if len(starts):
+                each, bounds = pa.array(row[starts]), pa.array(np.append(starts, len(row)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(each), batch.column("embedding").take(each), pa.array(to[starts].astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(cell.astype(np.int32)))], ["id", "embedding", "bin", "cells"])
+
+    kind = {c: near.schema[c].dataType.simpleString() for c in ("id", "embedding")}
+    return near.mapInArrow(deal, f"id {kind['id']}, embedding {kind['embedding']}, bin int, cells array<int>")
 
 
 def search(index: Index, queries: DataFrame, k: int, minimum: float = -1.0, probes: int | None = None, exclude_self: bool = True, most: int = 65_536) -> DataFrame:
@@ -198,9 +202,8 @@ def search(index: Index, queries: DataFrame, k: int, minimum: float = -1.0, prob
     """
     k = max(1, k)
     wanted = k + 1 if exclude_self else k
-    n = index.items.count()
-    bin_of = F.pmod(F.xxhash64("cell", "block"), F.lit(_bins(n, most))).cast("int")
-    parts = _bins(queries.count(), most)
+    bins, parts = _bins(index.items.count(), most), _bins(queries.count(), most)
+    bin_of = F.pmod(F.xxhash64("cell", "block"), F.lit(bins)).cast("int")
     near = _by_bin(_located(queries, index.centroids, probes or index.probes, True), index.blocks.select("cell", bin_of.alias("bin")).distinct())
     asked = near.select(F.col("id").alias("query_id"), "embedding", "cells", "bin", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(parts)).cast("int").alias("part"))
     some = index.items.select("id", F.col("embedding"), "cell", bin_of.alias("bin_"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part_"))
