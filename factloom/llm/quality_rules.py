@@ -13,6 +13,8 @@ the counts by bucket is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,11 @@ MIN_WORDS = 50
 _SYMBOLS = "[#*$%&|<>]"
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-
-
-def _grams(words: Column, buckets: int) -> Column:
-    """The buckets of all words and of all pairs of neighbours."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
-    single = F.transform(words, lambda w: bucket(w))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: bucket(words[i - 1], words[i]))
-    return F.when(F.size(words) > 1, F.concat(single, pairs)).otherwise(single)
+def _pieces(text: Column) -> Column:
+    """text cut at every single space character: its words, and an empty string where two of these meet."""
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")  # by one plain character no pattern is run
 
 
 def _after(array: Column) -> Column:
@@ -40,42 +37,64 @@ def _after(array: Column) -> Column:
     return F.slice(array, 2, F.greatest(F.size(array), F.lit(1)))
 
 
+def _next(array: str, f: Callable[[Column, Column], Column]) -> Column:
+    """f of all neighbours in the array."""
+    return F.zip_with(F.slice(array, 1, F.greatest(F.size(array) - 1, F.lit(0))), _after(F.col(array)), f)
+
+
+def _grams() -> dict[str, Column]:
+    """The hashes of all words and of all pairs of neighbours."""
+    return {"_one": F.transform("words", lambda w: F.xxhash64(w)), "_two": _next("words", lambda x, y: F.xxhash64(x, y))}
+
+
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)) if buckets & (buckets - 1) else h.bitwiseAND(F.lit(buckets - 1))  # the same for powers of two
+
+
 def _settled(df: DataFrame, *columns: str) -> DataFrame:
     """df, whose filters on these columns stay above it: pushed below they would compute the columns again, once for each use in them."""
     return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """rows (with _two) and n_repeat_words; a window of three words is known by the hashes of its two pairs.
+
+    Only where a hash of 64 bits comes twice the hashes are sorted, with the places of their windows as lower half.
+    Neighbours of equal upper half are candidates, and only these are compared by both pairs.
+    """
+    low = (1 << 31) - 1  # an array has fewer places
+    rows = rows.withColumn("_keys", _next("_two", lambda x, y: F.xxhash64(x, y)))
+    placed = F.transform("_keys", lambda x, i: x.bitwiseAND(F.lit(-1 - low)).bitwiseOR(i.cast("long")))
+    rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct("_keys")) < F.size("_keys"), F.sort_array(placed))).drop("_keys")
+    places = lambda pairs: F.array_distinct(F.flatten(F.array_compact(pairs)))
+    alike = _next("_sorted", lambda x, y: F.when(F.shiftright(x.bitwiseXOR(y), 31) == 0, F.array(x.bitwiseAND(F.lit(low)), y.bitwiseAND(F.lit(low)))))
+    pairs = F.transform(places(alike), lambda i: F.struct(F.col("_two")[i].alias("a"), F.col("_two")[i + 1].alias("b"), i.alias("i")))
+    rows = rows.withColumn("_sorted", F.sort_array(pairs))
+    rows = rows.withColumn("_at", F.sort_array(places(_next("_sorted", lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]), F.array(x["i"], y["i"])))))).drop("_sorted")
+    covered = F.aggregate(F.zip_with("_at", _after(F.col("_at")), lambda x, y: F.coalesce(F.least(y - x, F.lit(3)), F.lit(3))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with words (array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text is empty.
 
-    Windows of three words are compared by 96 bits within their document.
+    Windows of three words are compared by 128 bits within their document.  _one and _two: the hashes of words and pairs.
     """
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(plain, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.withColumns({"_plain": plain, "_lines": lines, "words": _words(plain)})
-    words = F.col("words")
-    window = lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("a"), F.hash(words[i], words[i + 1], words[i + 2]).alias("b"))
+    rows = docs.withColumns({"_plain": plain, "_lines": lines, "_pieces": _pieces(plain)})
+    without = F.length(F.regexp_replace("_plain", _SYMBOLS, ""))
     rows = rows.withColumns(
         {
-            "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
-            "n_symbols": (F.length("_plain") - F.length(F.regexp_replace("_plain", _SYMBOLS, ""))).cast("long"),
+            "words": F.array_remove("_pieces", ""),
+            "word_chars": (F.length("_plain") - F.size("_pieces") + 1).cast("long"),  # all but the space characters
+            "n_symbols": F.when(F.col("_plain").rlike(_SYMBOLS), F.length("_plain") - without).otherwise(0).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.when(F.size("words") > 2, F.transform(F.sequence(F.lit(0), F.size("words") - 3), window)).otherwise(F.array().cast("array<struct<a:bigint,b:int>>")),
         }
-    ).drop("_plain", "_lines")
-    # windows in order of their hashes: those equal to a neighbour, by their places
-    some = F.size(F.array_distinct(F.transform("_windows", lambda x: x["a"]))) < F.size("_windows")
-    placed = F.transform("_windows", lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("i")))
-    rows = rows.withColumn("_sorted", F.when(some, F.sort_array(placed))).drop("_windows")
-    rows = rows.withColumn("_same", F.zip_with("_sorted", _after(F.col("_sorted")), lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]), F.lit(False))))
-    before = F.concat(F.array(F.lit(False)), F.col("_same"))
-    either = F.zip_with(F.zip_with("_sorted", "_same", lambda x, e: F.when(e, x["i"]).otherwise(-1 - x["i"])), before, lambda x, e: F.when(e & (x < 0), -1 - x).otherwise(x))
-    rows = rows.withColumn("_at", F.sort_array(F.filter(either, lambda x: x >= 0))).drop("_sorted", "_same")
-    covered = F.aggregate(F.zip_with("_at", _after(F.col("_at")), lambda x, y: F.coalesce(F.least(y - x, F.lit(3)), F.lit(3))), F.lit(0), lambda a, x: a + x)
-    rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
+    ).drop("_plain", "_lines", "_pieces")
+    rows = _repeated(rows.withColumns({"n_words": F.size("words").cast("long"), **_grams()}))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return _settled(rows, "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return _settled(rows, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_one", "_two")
 
 
 def trusted(labels: DataFrame, most: int | None = None) -> DataFrame:
@@ -102,10 +121,12 @@ def weights(docs: DataFrame, chosen: DataFrame, buckets: int = BUCKETS, shrink:
     Of the chosen ones those held out do not count as trusted.  shrink: how many n-grams a bucket is worth of the raw
     corpus' evidence.  None where no trusted n-gram is found.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    words = F.array_remove(_pieces(F.coalesce(F.col("text").cast("string"), F.lit(""))), "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), words.alias("words"))
+    rows = _settled(rows.select("id", F.concat(*_grams().values()).alias("grams")), "grams")  # what is exploded is filtered, too
     target = F.coalesce((~F.col("held_out")).cast("int"), F.lit(0))
-    grams = rows.join(_small(chosen), "id", "left").select(target.alias("good"), F.explode(_grams(F.col("words"), buckets)).alias("bucket"))
-    counts = cut(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")))  # a row a bucket at most
+    grams = rows.join(_small(chosen), "id", "left").select(target.alias("good"), F.explode("grams").alias("h"))
+    counts = cut(grams.groupBy(_bucket(F.col("h"), buckets).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")))  # a row a bucket at most
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
     if not total["good"]:
         release(counts)
@@ -118,10 +139,11 @@ def weights(docs: DataFrame, chosen: DataFrame, buckets: int = BUCKETS, shrink:
 
 
 def _scored(rows: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
-    """rows (with words) and score, the mean weight of the n-grams of a document; null where it has none or has failed the base rules."""
-    met = rows.withColumn("_grams", F.when(~F.col("base_failed"), _grams(F.col("words"), buckets))).crossJoin(F.broadcast(table))  # one row of fixed size
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.col("weights")[b])
-    return met.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams"))).drop("_grams", "weights")
+    """rows (of measured()) and score, the mean weight of the n-grams of a document; null where it has none or has failed the base rules."""
+    met = rows.crossJoin(F.broadcast(table.select(F.col("weights").cast("array<double>"))))  # one row of fixed size
+    add = lambda a, h: a + F.col("weights")[_bucket(h, buckets)]
+    total, n = F.aggregate("_two", F.aggregate("_one", F.lit(0.0), add), add), F.size("_one") + F.size("_two")
+    return met.withColumn("score", F.when(~F.col("base_failed") & (n > 0), total / n)).drop("_one", "_two", "weights")
 
 
 def _low(scored: DataFrame, percentile: float):
@@ -164,7 +186,7 @@ def judged(docs: DataFrame, labels: DataFrame, percentile: float = 0.005, slack:
     good in all its rows; an empty table gives an empty result.  Columns of docs with the new names are replaced.
     """
     new = ("words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    docs = docs.drop(*new, "_plain", "_lines", "_windows", "_sorted", "_same", "_at", "_grams", "weights")
+    docs = docs.drop(*new, "_plain", "_lines", "_pieces", "_one", "_two", "_keys", "_sorted", "_at", "weights")
     chosen = cut(trusted(labels, most_trusted))
     table = weights(docs, chosen, buckets)
     rows, least = measured(docs), None
@@ -174,7 +196,7 @@ def judged(docs: DataFrame, labels: DataFrame, percentile: float = 0.005, slack:
         found = _low(_scored(tested, table, buckets), percentile)
         least = found["low"] - slack if found["n"] >= min_trusted else None
     if least is None:
-        out = rows.withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
+        out = rows.drop("_one", "_two").withColumn("score", F.lit(None).cast("double")).withColumn("kept", ~F.col("base_failed"))
     else:
         out = _scored(rows, table, buckets).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= least, F.lit(True)))
     return _settled(out.drop("words"), "score", "kept")

@@ -92,3 +92,25 @@ def test_all_labelled_documents_count_and_the_percentile_is_exact(spark):
         found = quality_rules._low(df, p)
         assert found["n"] == 3001 and found["low"] == pytest.approx(np.percentile(scores, 100 * p), abs=2e-9)
     assert quality_rules._low(df.limit(0), 0.5) == {"n": 0, "low": None}
+
+
+def test_windows_whose_hashes_agree_are_compared_by_their_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from factloom.llm import quality_rules
+
+    docs = [(1, "a b c d e f g h i j"), (2, "a b c x a b c y a b d"), (3, "b c d " * 40), (4, "a b")]
+    plain = quality_rules._next
+    monkeypatch.setattr(quality_rules, "_next", lambda array, f: plain(array, f if array != "_two" else lambda x, y: F.lit(7).cast("long")))
+    got = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.measured(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: brute.base_rules(t)[4] for d, t in docs}
+
+
+def test_words_and_pairs_are_hashed_once(spark, monkeypatch):
+    from factloom.llm import quality_rules
+
+    docs, plans, plain = spark.createDataFrame(EDGES, "doc_id long, text string"), [], quality_rules.cut
+    monkeypatch.setattr(quality_rules, "cut", lambda df: plans.append(df) or plain(df))
+    table = quality_rules.weights(docs, spark.createDataFrame([(9, False)], "id long, held_out boolean"))
+    plans = [plans[0], quality_rules._scored(quality_rules.measured(docs), table, quality_rules.BUCKETS)]
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") for df in plans] == [2, 3]  # windows are hashed, too
