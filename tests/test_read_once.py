@@ -39,3 +39,15 @@ def test_pairs_of_a_task_do_not_grow_with_the_input(spark):
         assert "RepartitionByExpression [fact_id#" in (plan := found._jdf.queryExecution().optimizedPlan().toString())
         assert max(int(line.rsplit(",", 1)[1]) for line in plan.splitlines() if "RepartitionByExpression [fact_id#" in line) >= pairs / most
         assert found.agg({"weight": "sum"}).first()[0] == pairs
+
+
+def test_counted_pairs_of_a_task_do_not_grow_with_the_input(spark):
+    links = spark.range(4000).selectExpr("id div 8 as fact_id", "pmod(xxhash64(id), 50) as name")
+    wide = spark.range(400).selectExpr("7 as fact_id", "id + 100 as name")
+    for some in (links, wide):
+        pairs = some.distinct().groupBy("fact_id").count().selectExpr("sum(count * (count - 1) div 2)").first()[0]
+        found = concepts.relations(some, block=64, most=1000)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        dealt = [int(line.rsplit(",", 1)[1]) for line in plan.splitlines() if "RepartitionByExpression [name_a#" in line]
+        assert dealt and min(dealt) >= 2 * pairs / 1000
+        assert found.agg({"weight": "sum"}).first()[0] == pairs
