@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from factloom.operators import communities, graph
+from factloom.plans import index_queries, queries  # noqa: F401 - registers
 
 
 def modularity(edges, label):
@@ -80,6 +81,13 @@ def test_louvain(spark):
     assert mine >= lpa - 1e-9
 
 
+def test_louvain_query_takes_pairs_of_one_order(spark, tmp_path):
+    lines = [(o, p) for o, parts in enumerate([(1, 2, 3), (4, 5, 6), (3, 4)]) for p in parts]  # no pair of parts meets twice
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries.QUERIES["g12_louvain"](spark, str(tmp_path)).first()
+    assert got["communities"] == 2 and abs(got["modularity"] - (6 / 7 - 0.5)) < 1e-9
+
+
 def test_louvain_small(spark):
     assert communities.louvain(frame(spark, [])).count() == 0
     two = [("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("x", "y", 1), ("y", "z", 1), ("x", "z", 1), ("c", "x", 1), ("a", "b", 1)]
