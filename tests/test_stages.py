@@ -64,6 +64,25 @@ def test_direct_routing_creates_one_concept_for_one_key(spark):
     assert {(r["concept_id"], r["alias"]) for r in aliases.collect()} == {("c1", "g"), (made["r", "cell"], "unit"), (made["r", "cell"], "cell"), (made["q", "cell"], "cell")}
 
 
+def test_direct_routing_sends_a_mention_once(spark, monkeypatch):
+    rows = [("f2", "r", "Bio", " Cell ", ["unit"]), ("f1", "r", "bio", "cell", None), (None, "r", "bio", "gene", ["g", None]), ("f3", "r", "bio", "Gene", ["g"]), ("f4", "r", "bio", "gene", ["h"]), ("f4", "q", "bio", "gene", ["i"]), ("f5", "r", None, "gene", []), ("f6", "r", "bio", "two", ["t"])]
+    mentions = spark.createDataFrame(rows, "fact_id string, repository_id string, context string, mention string, seeds array<string>")
+    known = spark.createDataFrame([("c1", "gene", "bio", "r"), ("c2", "two", "bio", "r"), ("c3", "two", "bio", "r")], "concept_id string, name string, context string, repository_id string").withColumn("created_at", F.current_timestamp())
+    names = concepts.named_concepts(known, spark.createDataFrame([], "concept_id string, alias string"))
+    none = spark.createDataFrame([], "concept_id string, embedding array<float>")
+    routed = lambda: concepts.route_direct(mentions, names, none, none.withColumnRenamed("concept_id", "fact_id"))
+    links, created, aliases = routed()
+    sent = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert sent(links) == 1 and sent(created) <= 2 and sent(aliases) <= 3  # the rows once, then what they are grouped by
+    assert {(r["fact_id"], r["created"]) for r in links.where("concept_id = 'c1'").collect()} == {("f3", False), ("f4", False)}
+    assert links.count() == 7 and {r["name"] for r in links.join(created, "concept_id").where("fact_id = 'f6'").collect()} == {"two"}
+    assert {r["alias"] for r in aliases.where("concept_id = 'c1'").collect()} == {"g", "h", "i"}  # a concept is that of a fact and its mention
+    small = [sorted(map(str, df.collect())) for df in (links, created, aliases)]
+    own = concepts._candidates
+    monkeypatch.setattr(concepts, "_candidates", lambda *of: own(*of, most_bytes=0))
+    assert [sorted(map(str, df.collect())) for df in routed()] == small
+
+
 def test_salvaged_arrays():
     cases = {"say [1, 2] and [3]": "[1, 2]", '{"a": ["b]", "c"]} tail': '["b]", "c"]', "none": None, "[[1], [2]] x": "[[1], [2]]", "[open": None, "[" * 200_000: None, None: None, "[1," + "]" * 100_000: None}
     assert {k: salvage_array(k) for k in cases} == cases
