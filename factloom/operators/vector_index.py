@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .graph import _saved
 from .search import _products, neighbours
@@ -125,39 +126,6 @@ def build(items: DataFrame, cells: int | None = None, block_rows: int = 4096, sa
     return Index(centroids, stored, blocks, id_type=items.schema["id"].dataType.simpleString())
 
 
-def _met(index: Index, asked: DataFrame, query_type: str, k: int | None, minimum: float, exclude_self: bool, block_queries: int = 4096) -> DataFrame:
-    """Exact scores of queries (id, embedding, cell, block) with the items of their blocks; the k best of each query and block, or all at or above minimum."""
-    q = asked.withColumn("part", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(1 << 30)))
-    sizes = q.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("parts"))
-    q = q.join(sizes, ["cell", "block"]).withColumn("part", F.pmod("part", F.col("parts").cast("long")).cast("int"))
-    x = index.items.join(sizes, ["cell", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    schema = f"query_id {query_type}, id {index.id_type}, score double"
-    empty = pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    def meet(asked: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(some):
-            return empty
-        some = some.sort_values("id", kind="stable")
-        q_ids, ids = asked["query_id"].to_numpy(), some["id"].to_numpy()
-        b, found = _units(some["embedding"].tolist()), []
-        for start in range(0, len(asked), 512):
-            a = _units(asked["embedding"].tolist()[start : start + 512])
-            score = a @ b.T
-            out = score < minimum
-            if exclude_self:
-                out |= q_ids[start : start + 512, None] == ids[None]
-            if k is not None and k < len(ids):
-                best = np.argsort(np.where(out, np.inf, -np.round(score, 9)), axis=1, kind="stable")[:, k:]
-                np.put_along_axis(out, best, True, axis=1)
-            i, j = np.nonzero(~out)
-            found.append(pd.DataFrame({"query_id": q_ids[start + i], "id": ids[j], "score": score[i, j]}))
-        return pd.concat(found) if found else empty
-
-    key = ["cell", "block", "part"]
-    left = q.select(F.col("id").alias("query_id"), "embedding", *key).groupBy(*key)
-    return left.cogroup(x.select("id", "embedding", *[F.col(c).alias(f"{c}_") for c in key]).groupBy(*[f"{c}_" for c in key])).applyInPandas(meet, schema)
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")  # k rows for each block that was met
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -224,16 +192,51 @@ def search(index: Index, queries: DataFrame, k: int, minimum: float = -1.0, prob
     return _best(found.where("query_id <> id") if exclude_self else found, k)
 
 
-def within(index: Index, queries: DataFrame, minimum: float, k: int | None = None, exclude_self: bool = True) -> DataFrame:
+def within(index: Index, queries: DataFrame, minimum: float, k: int | None = None, exclude_self: bool = True, most: int = 65_536) -> DataFrame:
     """(query_id, id, score) of all items at or above the threshold, or of the k best of them: exact, by the bound on angles.
 
     For a query at angle a to a centroid, an item at angle x to it is no nearer than |a - x|; blocks whose angles all lie
-    further than the threshold's angle from a are not met.
+    further than the threshold's angle from a are not met.  As in search(), a pair of a bin of blocks and a part of the
+    queries is one group, so a row is sent N / most times at most; a query learns its angles to the bin's centroids there.
     """
-    limit = float(np.arccos(np.clip(minimum, -1, 1))) + _SLACK
-    near = _located(queries, index.centroids, None).withColumnRenamed("angle", "a")
-    asked = near.join(F.broadcast(index.blocks), "cell").where(F.col("a").between(F.col("low") - limit, F.col("high") + limit)) if index.blocks.count() < 500_000 else near.join(index.blocks, "cell").where(F.col("a").between(F.col("low") - limit, F.col("high") + limit))
-    found = _met(index, asked.select("id", "embedding", "cell", "block"), queries.schema["id"].dataType.simpleString(), k, minimum, exclude_self)
+    limit, centroids = float(np.arccos(np.clip(minimum, -1, 1))) + _SLACK, index.centroids
+    wanted = None if k is None else max(1, k) + 1 if exclude_self else max(1, k)
+    bins, parts = _bins(index.items.count(), most), _bins(queries.count(), most)
+    bin_of = lambda *by: F.pmod(F.xxhash64(*by), F.lit(bins)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kind = queries.schema["id"].dataType.simpleString()
+    null = lambda of: F.lit(None).cast(of)
+    part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(3)), F.lit(parts)).cast("int")
+    asked = queries.where("embedding is not null").select(F.col("id").alias("query_id"), null(index.id_type).alias("id"), "embedding", null("int").alias("cell"), null("double").alias("angle"), null("int").alias("block"), every(bins).alias("bin"), part.alias("part"))
+    some = index.items.select(null(kind).alias("query_id"), "id", "embedding", "cell", "angle", "block", bin_of("cell", "block").alias("bin"), every(parts).alias("part"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(list(batches))
+        own = pc.is_null(both.column("cell"))
+        left, right = both.filter(own).to_pandas(), both.filter(pc.invert(own)).to_pandas()
+        left = left[left["embedding"].map(len) == centroids.shape[1]]
+        if not len(left) or not len(right):
+            return
+        right = right.sort_values("id", kind="stable", ignore_index=True)
+        of_block = right.groupby(["cell", "block"])
+        blocks = of_block["angle"].agg(["min", "max"]).reset_index()
+        near, low, high = centroids[blocks["cell"].to_numpy(np.int64)].T, blocks["min"].to_numpy() - limit, blocks["max"].to_numpy() + limit
+        right["cell"] = of_block.ngroup()  # the blocks of the bin, in their order
+        ids = right["id"].to_numpy()
+        for start in range(0, len(left), 8192):
+            mine = left.iloc[start : start + 8192]
+            a = np.arccos(np.clip(_units(mine["embedding"].tolist()) @ near, -1, 1))
+            mine = mine.assign(cells=[np.flatnonzero(m).astype(np.int32) for m in (a >= low) & (a <= high)]).iloc[np.argsort(a.argmin(1), kind="stable")]  # strips of queries that meet the same blocks
+            mine = mine[mine["cells"].map(len) > 0]
+            q_ids = mine["query_id"].to_numpy()
+            for i, j, score in _products(mine, right, minimum, wanted, strip=512 if k else 128, probed=True):  # without k a strip may find all
+                for at in range(0, len(i), 65_536):
+                    x, y, z = i[at : at + 65_536], j[at : at + 65_536], score[at : at + 65_536]
+                    out = pa.RecordBatch.from_arrays([pa.array(q_ids[x], types[0]), pa.array(ids[y], types[1]), pa.array(z)], ["query_id", "id", "score"])
+                    yield out.filter(pa.array(q_ids[x] != ids[y])) if exclude_self else out
+
+    types = [to_arrow_type(df.schema["id"].dataType) for df in (queries, index.items)]
+    found = asked.unionByName(some).groupBy("bin", "part").applyInArrow(meet, f"query_id {kind}, id {index.id_type}, score double")
     return found if k is None else _best(found, k).drop("rank")
 
 

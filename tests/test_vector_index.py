@@ -60,3 +60,24 @@ def test_search_sends_a_query_once_a_bin(spark, clustered):
     for probes, k in ((cells, 7), (3, 4)):
         assert key(vector_index.search(index, clustered, k, probes=probes, most=100)) == key(vector_index.search(index, clustered, k, probes=probes))
     assert key(vector_index.search(index, clustered, 7, probes=cells, most=100)) == key(search.neighbours(clustered, clustered, 7))
+
+
+def _sent_rows(spark, df):
+    """The rows of a run of df, and how many it wrote to shuffles."""
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    return df.collect(), written() - before
+
+
+def test_threshold_sends_a_query_once_a_bin(spark, clustered):
+    index = vector_index.build(clustered, block_rows=50)
+    key = lambda found: sorted((r["query_id"], r["id"], round(r["score"], 6)) for r in found)
+    for minimum, k in ((0.3, None), (0.3, 3), (0.9, None)):
+        got, sent = _sent_rows(spark, vector_index.within(index, clustered, minimum, k))
+        assert sent <= 900 * 2 + 1000 + 900 * ((k or -1) + 1)  # queries and items once, then the best of each query; not 900 times the blocks
+        want = (search.neighbours(clustered, clustered, k, minimum) if k else search.pairs_above(clustered, minimum)).collect()
+        assert key(got) == key(want)
+        assert key(vector_index.within(index, clustered, minimum, k, most=100).collect()) == key(want)
